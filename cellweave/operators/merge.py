@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from cellweave.model import Experiment, update_column
 from cellweave.operators.cluster import cluster_cells
-from cellweave.operators.hvg import rank_genes
+from cellweave.operators.hvg import dispersion_scores, flag_variable, gene_moments
 from cellweave.operators.markers import find_markers
-from cellweave.operators.normalize import normalize_counts
+from cellweave.operators.normalize import normalized
 from cellweave.operators.pca_genes import rank_pca_genes
-from cellweave.operators.qc import filter_cells, filter_genes
+from cellweave.operators.qc import good_cells, good_genes
 from cellweave.operators.sampling import sample_cells
 from cellweave.session import materialize
 
@@ -24,6 +24,7 @@ HVG_KEEP = 1000
 BATCH_CONF = 0.1
 BATCH_MARKERS = {"lfc_th": 1, "q_th": 0.001, "nDE": 20}
 DROPPED_CELL_COLUMNS = ("cluster_id", "sample_cluster_id")
+DERIVED_GENE_COLUMNS = ("dispersion_norm", "hvg", "pca_gene", "common_de")
 
 # Batch b's cells keep their index plus b times this stride, so keys stay unique
 # without renumbering.
@@ -49,11 +50,68 @@ def common_genes(batch_genes: DataFrame, n_batches: int, key: str = "gene_idx")
     )
 
 
+def prepare_batches(expr: DataFrame, cells: DataFrame, genes: DataFrame, ngenes_keep: int = HVG_KEEP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Filter, normalise and rank genes of all batches in one plan.
+
+    All three tables carry ``batch``; statistics are grouped by it, so the number
+    of jobs does not grow with the number of batches.
+    """
+    by = ["batch"]
+    keep_cells = materialize(good_cells(expr, cells, by=by).select("cell_idx"), "kept")
+    cells = cells.join(keep_cells, "cell_idx", "left_semi")
+    expr = materialize(expr.join(keep_cells, "cell_idx", "left_semi"), "expr")
+    keep_genes = materialize(good_genes(expr, genes, by=by, **GENE_FILTER).select("batch", "gene_idx"), "kept")
+    genes = genes.join(keep_genes, ["batch", "gene_idx"], "left_semi")
+    expr = materialize(normalized(expr.join(keep_genes, ["batch", "gene_idx"], "left_semi"), cells, by), "expr")
+    moments = materialize(gene_moments(expr, genes, cells, by=by), "moments")
+    scores = flag_variable(materialize(dispersion_scores(moments, by), "scores"), ngenes_keep, by)
+    genes = genes.join(scores.select("batch", "gene_idx", "dispersion_norm", "hvg"), ["batch", "gene_idx"])
+    return expr, materialize(cells, "cells"), materialize(genes, "genes")
+
+
+def stack(objects: Sequence[Experiment]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(expr, cells, genes)`` of all batches with ``batch`` = 1, 2, ... and unique cell keys.
+
+    Gene keys stay those of their batch; columns that not every batch has are left out.
+    """
+    def shared(tables: list[DataFrame]) -> list[str]:
+        return [c for c in tables[0].columns if c != "batch" and all(c in t.columns for t in tables)]
+
+    cell_columns = shared([e.cells for e in objects])
+    gene_columns = shared([e.genes for e in objects])
+    exprs, cells, genes = [], [], []
+    for i, exp in enumerate(objects, 1):
+        batch = F.lit(i).alias("batch")
+        shift = (F.col("cell_idx") + F.lit(i * CELL_STRIDE)).alias("cell_idx")
+        exprs.append(exp.expr.select(batch, shift, "gene_idx", "count"))
+        cells.append(exp.cells.select(batch, shift, *[c for c in cell_columns if c != "cell_idx"]))
+        genes.append(exp.genes.select(batch, *gene_columns))
+    return tuple(reduce(DataFrame.unionByName, tables) for tables in (exprs, cells, genes))
+
+
+def batch_markers(expr: DataFrame, cells: DataFrame, genes: DataFrame, n_batches: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(gene ids, sampled flags)``: markers of the clusters of every batch.
+
+    Only the model fits on the bounded samples go batch by batch.
+    """
+    found, flags = [], []
+    for i in range(1, n_batches + 1):
+        mine = F.col("batch") == i
+        exp = Experiment(expr.where(mine).drop("batch"), cells.where(mine), genes.where(mine).drop("batch"))
+        exp = rank_pca_genes(sample_cells(exp, seed=seed))
+        exp = cluster_cells(exp, method="default", conf=BATCH_CONF, seed=seed)
+        _, markers = find_markers(exp, seed=seed, **BATCH_MARKERS)
+        top = markers.where(F.col("rn") <= BATCH_MARKERS["nDE"]).select("gene_idx")
+        found.append(exp.genes.join(top, "gene_idx", "left_semi").select("gene_id"))
+        flags.append(exp.cells.select("cell_idx", "sampled"))
+    return reduce(DataFrame.unionByName, found).distinct(), reduce(DataFrame.unionByName, flags)
+
+
 def merge_experiments(objects: Sequence[Experiment], use_de_genes: bool = True, seed: int = 0) -> Experiment:
     """One experiment over all batches with ``cells.batch`` = 1, 2, ...
 
-    Every batch is filtered, normalised and ranked on its own. Raw counts of the
-    common genes are stacked; genes are matched by ``gene_id``. With
+    Every batch is filtered, normalised and ranked by its own statistics. Raw
+    counts of the common genes are stacked; genes are matched by ``gene_id``. With
     ``use_de_genes`` the markers of every batch's clusters are flagged as
     ``genes.common_de``.
     """
@@ -62,44 +120,22 @@ def merge_experiments(objects: Sequence[Experiment], use_de_genes: bool = True,
     for exp in objects:
         if "gene_id" not in exp.genes.columns:
             raise ValueError("genes need a gene_id")
-    batches, markers = [], []
-    for exp in objects:
-        exp = filter_genes(filter_cells(exp), **GENE_FILTER).written()
-        exp = rank_genes(normalize_counts(exp), HVG_KEEP)
-        if use_de_genes:
-            exp = rank_pca_genes(sample_cells(exp, seed=seed))
-            exp = cluster_cells(exp, method="default", conf=BATCH_CONF, seed=seed)
-            _, found = find_markers(exp, seed=seed, **BATCH_MARKERS)
-            top = found.where(F.col("rn") <= BATCH_MARKERS["nDE"]).select("gene_idx")
-            markers.append(exp.genes.join(top, "gene_idx", "left_semi").select("gene_id"))
-        batches.append(exp)
-
-    kept = reduce(
-        DataFrame.unionByName,
-        [b.genes.select("gene_id", "hvg").withColumn("batch", F.lit(i)) for i, b in enumerate(batches, 1)],
-    )
-    shared = materialize(common_genes(kept, len(batches), "gene_id"), "common")
-    genes = batches[0].genes.join(shared, "gene_id", "left_semi")
+    expr, cells, batch_genes = stack(objects)
+    dropped = [c for c in (*DERIVED_GENE_COLUMNS,) if c in batch_genes.columns]
+    expr, cells, batch_genes = prepare_batches(expr, cells.drop(*DROPPED_CELL_COLUMNS), batch_genes.drop(*dropped))
+    shared = materialize(common_genes(batch_genes, len(objects), "gene_id"), "common")
+    genes = batch_genes.where(F.col("batch") == 1).drop("batch").join(shared, "gene_id", "left_semi")
     if use_de_genes:
-        flagged = reduce(DataFrame.unionByName, markers).distinct().withColumn("common_de", F.lit(True))
-        genes = update_column(genes, flagged, "gene_id", {"common_de": False})
+        markers, flags = batch_markers(expr, cells, batch_genes, len(objects), seed)
+        genes = update_column(genes, markers.withColumn("common_de", F.lit(True)), "gene_id", {"common_de": False})
+        cells = update_column(cells, flags, "cell_idx")
     genes = materialize(genes, "genes")
-
-    shared_columns = [
-        c for c in batches[0].cells.columns
-        if all(c in b.cells.columns for b in batches) and not (use_de_genes and c in DROPPED_CELL_COLUMNS)
-    ]
-    target = genes.select("gene_id", F.col("gene_idx").alias("new_gene"))
-    exprs, cells = [], []
-    for i, batch in enumerate(batches, 1):
-        shift = (F.col("cell_idx") + F.lit(i * CELL_STRIDE)).alias("cell_idx")
-        rekeyed = batch.genes.select("gene_idx", "gene_id").join(target, "gene_id").select("gene_idx", "new_gene")
-        exprs.append(batch.expr.join(rekeyed, "gene_idx").select(shift, F.col("new_gene").alias("gene_idx"), "count"))
-        others = [c for c in shared_columns if c not in ("cell_idx", "batch")]
-        cells.append(batch.cells.select(shift, *others, F.lit(i).alias("batch")))
-    merged = Experiment(
-        expr=materialize(reduce(DataFrame.unionByName, exprs), "expr"),
-        cells=materialize(reduce(DataFrame.unionByName, cells), "cells"),
-        genes=genes,
+    # Every batch's gene key maps to that of batch 1; one row per batch and common gene.
+    target = batch_genes.select("batch", "gene_idx", "gene_id").join(
+        genes.select("gene_id", F.col("gene_idx").alias("_gene")), "gene_id"
+    )
+    counts = expr.join(target.select("batch", "gene_idx", "_gene"), ["batch", "gene_idx"]).select(
+        "cell_idx", F.col("_gene").alias("gene_idx"), "count"
     )
-    return merged.evolve("merge_experiments", {"use_de_genes": use_de_genes, "batches": len(batches)})
+    merged = Experiment(expr=materialize(counts, "expr"), cells=materialize(cells, "cells"), genes=genes)
+    return merged.evolve("merge_experiments", {"use_de_genes": use_de_genes, "batches": len(objects)})

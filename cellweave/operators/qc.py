@@ -42,19 +42,18 @@ def good_cells(
     return support.where((F.col("n_genes") >= q[0]) & (F.col("n_genes") <= q[1])).select("cell_idx", *by, "n_genes")
 
 
-def gene_support(expr: DataFrame, genes: DataFrame, min_count: float = 2) -> DataFrame:
+def gene_support(expr: DataFrame, genes: DataFrame, min_count: float = 2, by: Sequence[str] = ()) -> DataFrame:
     """Cells with ``count > min_count`` per gene, zero for unseen genes."""
-    hits = (
-        expr.where(F.col("count") > min_count)
-        .groupBy("gene_idx")
-        .agg(F.count(F.lit(1)).alias("n_cells"))
-    )
-    return genes.select("gene_idx").join(hits, "gene_idx", "left").na.fill(0, ["n_cells"])
+    key = [*by, "gene_idx"]
+    hits = expr.where(F.col("count") > min_count).groupBy(*key).agg(F.count(F.lit(1)).alias("n_cells"))
+    return genes.select(*key).join(hits, key, "left").na.fill(0, ["n_cells"])
 
 
-def good_genes(expr: DataFrame, genes: DataFrame, min_count: float = 2, min_cell: int = 3) -> DataFrame:
+def good_genes(
+    expr: DataFrame, genes: DataFrame, min_count: float = 2, min_cell: int = 3, by: Sequence[str] = ()
+) -> DataFrame:
     """Genes seen (strictly) above ``min_count`` in more than ``min_cell`` cells."""
-    return gene_support(expr, genes, min_count).where(F.col("n_cells") > min_cell)
+    return gene_support(expr, genes, min_count, by).where(F.col("n_cells") > min_cell)
 
 
 def filter_cells(exp: Experiment, min_count: float = 3, ql_th: float = 0.001, qh_th: float = 1.0) -> Experiment:

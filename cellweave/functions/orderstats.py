@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cellweave.session import materialize
 
+SMALL_ROWS = 1_000_000
 SPLIT_ROWS = 10_000_000
 FAN_OUT = 64
 
@@ -26,16 +27,21 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     accuracy: int = 10_000,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Interpolated quantiles (R type 7) as column ``q array<double>``.
 
-    ``by`` must name a small set of groups (bins, batches); any group may hold
-    most of the rows. The sketch errs by at most n/accuracy ranks, so the
-    bracket holds a bounded share of the rows, and ranks just outside it are
-    still answered exactly by the neighbouring extreme.
+    Pass a written table: it is read more than once. Up to ``small_rows`` rows the
+    built-in exact percentile holds its values in one task. Beyond that, ``by``
+    must name a small set of groups (bins, batches), any of which may hold most
+    of the rows. The sketch errs by at most n/accuracy ranks, so the bracket holds
+    a bounded share of the rows, and ranks just outside it are still answered
+    exactly by the neighbouring extreme.
     """
     by = list(by)
     base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if base.count() <= (SMALL_ROWS if small_rows is None else small_rows):
+        return base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     margin = 2.0 / accuracy
     low = [max(p - margin, 0.0) for p in probs]
     high = [min(p + margin, 1.0) for p in probs]

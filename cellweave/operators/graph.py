@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.session import materialize
@@ -50,7 +50,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: int = 7) -> DataFrame:
+def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: int = 5) -> DataFrame:
     """``(node, community)`` by modularity optimisation, communities numbered by size.
 
     Every sweep is one distributed round: links meet the community of their far
@@ -60,24 +60,27 @@ def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: i
     its communities become the nodes of the next level. State is written after
     every round, so lineage stays short.
     """
-    links = materialize(both_ways(edges).withColumn("w", F.lit(1.0)), "links")
+    loops = F.struct("src", F.col("src").alias("dst"), F.lit(0.0).alias("w"))
+    step = F.struct("src", "dst", F.lit(1.0).alias("w"))
+    ends = both_ways(edges).select(F.explode(F.array(step, loops)).alias("l")).select("l.*")
+    links = materialize(ends.groupBy("src", "dst").agg(F.sum("w").alias("w")), "links")
     total = links.agg(F.sum("w")).first()[0] or 0.0  # twice the edge count
-    members = links.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    members = links.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("community"))
     if not total:
         return members.withColumn("community", F.lit(1))
-    strength = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    members, best_q = materialize(members, "members"), -1.0
+    best_q = -1.0
     for level in range(max_levels):
-        state = strength.select("node", "k", F.col("node").alias("community"), F.lit(seed + 97 * level).alias("turn"))
-        state = materialize(state, "state")
+        state = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select(
+            "node", "k", F.col("node").alias("community"), F.lit(seed + 97 * level).alias("turn")
+        )
         n_nodes = state.count()
         for sweep in range(max_sweeps):
             state = materialize(_sweep(links, state, total), "state")
-            moved = state.where("moved").count()
-            if moved <= n_nodes // 100:
+            if sweep and state.where("moved").count() <= n_nodes // 100:
                 break
         placed = state.select("node", "community")
-        q = _quality(links, state, total)
+        links = materialize(_contract(links, placed), "links")
+        q = _quality(links, total)
         if q <= best_q + 1e-7:
             break
         best_q = q
@@ -86,43 +89,38 @@ def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: i
             .select("node", F.col("upper").alias("community")),
             "members",
         )
-        strength = state.groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k"))
-        if placed.select("community").distinct().count() == n_nodes:
+        if links.where("src = dst").count() == n_nodes:
             break
-        links = materialize(_contract(links, placed), "links")
     return number_by_size(members)
 
 
 def _sweep(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
+    """``(node, k, community, turn, moved)`` after one round.
+
+    Every node has a loop row, which carries its own community without adding to
+    its pull, so no node is lost and staying is always among the choices.
+    """
+    here = state.select(F.col("node").alias("src"), "k", F.col("community").alias("home"), "turn")
     volume = state.groupBy("community").agg(F.sum("k").alias("volume"))
-    far = state.select(F.col("node").alias("dst"), "community")
+    there = state.select(F.col("node").alias("dst"), "community").join(volume, "community")
+    weight = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.col("w"))
     pull = (
-        links.where(F.col("src") != F.col("dst"))
-        .join(far, "dst")
-        .groupBy(F.col("src").alias("node"), "community")
-        .agg(F.sum("w").alias("into"))
+        links.join(there, "dst").join(here, "src")
+        .groupBy("src", "k", "home", "turn", "community")
+        .agg(F.sum(weight).alias("into"), F.max("volume").alias("volume"))
     )
-    own = state.select("node", "k", F.col("community").alias("home"), "turn")
-    home_volume = volume.withColumnsRenamed({"community": "home", "volume": "home_volume"})
-    scored = pull.join(volume, "community").join(own, "node")
-    gain = F.col("into") - F.col("k") * F.col("volume") / total
-    best = scored.groupBy("node").agg(
-        F.max(F.when(F.col("community") != F.col("home"), F.struct(gain.alias("gain"), (-F.col("community")).alias("c")))).alias("best"),
-        F.max(F.when(F.col("community") == F.col("home"), F.col("into"))).alias("kept"),
+    staying = F.col("community") == F.col("home")
+    rest = F.col("volume") - F.when(staying, F.col("k")).otherwise(0.0)
+    gain = F.col("into") - F.col("k") * rest / total
+    choice = pull.groupBy("src", "k", "home", "turn").agg(
+        F.max(F.when(~staying, F.struct(gain.alias("gain"), (-F.col("community")).alias("minus")))).alias("best"),
+        F.max(F.when(staying, gain)).alias("stay"),
     )
-    stay = F.coalesce("kept", F.lit(0.0)) - F.col("k") * (F.col("home_volume") - F.col("k")) / total
-    active = F.pmod(F.xxhash64("node", "turn"), F.lit(2)) == 0
-    better = F.col("best.gain").isNotNull() & (F.col("best.gain") > stay + 1e-9)
-    return (
-        own.join(home_volume, "home")
-        .join(best, "node", "left")
-        .select(
-            "node",
-            "k",
-            F.when(better & active, -F.col("best.c")).otherwise(F.col("home")).alias("community"),
-            (F.col("turn") + 1).alias("turn"),
-            F.coalesce(better, F.lit(False)).alias("moved"),
-        )
+    active = F.pmod(F.xxhash64("src", "turn"), F.lit(2)) == 0
+    better = F.coalesce(F.col("best.gain") > F.col("stay") + 1e-9, F.lit(False))
+    return choice.select(
+        F.col("src").alias("node"), "k", (F.col("turn") + 1).alias("turn"), better.alias("moved"),
+        F.when(better & active, -F.col("best.minus")).otherwise(F.col("home")).alias("community"),
     )
 
 
@@ -136,17 +134,16 @@ def _contract(links: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
-def _quality(links: DataFrame, state: DataFrame, total: float) -> float:
-    placed = state.select("node", "community")
-    inside = _contract(links, placed).where("src = dst").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inside"))
-    square = state.groupBy("community").agg(F.sum("k").alias("v")).agg(F.sum(F.col("v") * F.col("v")).alias("square"))
-    return inside.first()[0] / total - square.first()[0] / total**2
+def _quality(links: DataFrame, total: float) -> float:
+    """Modularity of the communities that are the nodes of a contracted graph."""
+    inside = F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0))
+    per = links.groupBy("src").agg(F.sum("w").alias("k"), inside.alias("inside"))
+    inner, square = per.agg(F.sum("inside"), F.sum(F.col("k") * F.col("k"))).first()
+    return inner / total - square / total**2
 
 
 def number_by_size(members: DataFrame) -> DataFrame:
     """Communities renumbered 1.. from the largest; ties by the smallest member."""
-    from pyspark.sql import Window
-
     sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "first")  # one row per community
     numbered = sizes.select("community", F.row_number().over(order).alias("number"))

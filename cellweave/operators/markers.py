@@ -204,7 +204,7 @@ def find_markers(
 ) -> tuple[DataFrame, DataFrame]:
     """``(genes_df, markers)``.
 
-    ``markers(cluster_id, gene_idx, symbol, pvalue, qvalue, lfc, rn)`` lists every
+    ``markers(cluster_id, gene_idx, symbol, pvalue, qvalue, lfc)`` lists every
     significant gene per cluster; ``genes_df`` shows the top ``nDE`` symbols side
     by side. Selected clusters are tested against all other sampled cells.
     """
@@ -212,11 +212,5 @@ def find_markers(
     wanted = check_clusters(labels, selected_clusters)
     tested = test_markers(expr, labels).where(F.col("cluster_id").isin(wanted))
     found = significant(tested, lfc_th, q_th).join(exp.genes.select("gene_idx", "symbol"), "gene_idx")
-    order = Window.partitionBy("cluster_id").orderBy("qvalue", F.abs("lfc"), "gene_idx")
-    found = materialize(
-        found.withColumn("rn", F.row_number().over(order)).select(
-            "cluster_id", "gene_idx", "symbol", "pvalue", "qvalue", "lfc", "rn"
-        ),
-        "markers",
-    )
-    return markers_wide(found.where(F.col("rn") <= nDE), wanted), found
+    found = materialize(found.select("cluster_id", "gene_idx", "symbol", "pvalue", "qvalue", "lfc"), "markers")
+    return markers_wide(top_markers(found, nDE), wanted), found

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cellweave.model import Experiment, update_column
 from cellweave.operators.cluster import cluster_cells
 from cellweave.operators.hvg import dispersion_scores, flag_variable, gene_moments
-from cellweave.operators.markers import find_markers
+from cellweave.operators.markers import find_markers, top_markers
 from cellweave.operators.normalize import normalized
 from cellweave.operators.pca_genes import rank_pca_genes
 from cellweave.operators.qc import good_cells, good_genes
@@ -101,7 +101,7 @@ def batch_markers(expr: DataFrame, cells: DataFrame, genes: DataFrame, n_batches
         exp = rank_pca_genes(sample_cells(exp, seed=seed))
         exp = cluster_cells(exp, method="default", conf=BATCH_CONF, seed=seed)
         _, markers = find_markers(exp, seed=seed, **BATCH_MARKERS)
-        top = markers.where(F.col("rn") <= BATCH_MARKERS["nDE"]).select("gene_idx")
+        top = top_markers(markers, BATCH_MARKERS["nDE"]).select("gene_idx")
         found.append(exp.genes.join(top, "gene_idx", "left_semi").select("gene_id"))
         flags.append(exp.cells.select("cell_idx", "sampled"))
     return reduce(DataFrame.unionByName, found).distinct(), reduce(DataFrame.unionByName, flags)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.numeric import log2p1
 from cellweave.model import Experiment, update_column
-from cellweave.operators.vectors import dense_vectors, gene_positions
+from cellweave.operators.vectors import dense_vectors, gene_positions, list_matrix, matrix_list
 from cellweave.session import materialize
 
 # Components computed, components kept for the gene score, and the
@@ -20,17 +23,58 @@ COMPONENTS = 50
 BEST_COMPONENTS = 10
 GRID = 512
 
+MAX_PCA_GENES = 8_000  # the driver holds one genes x genes matrix
+
+
+def gram_matrix(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """``(rows, column sums, X'X)``.
+
+    Every task multiplies its own batches and sends one genes x genes partial sum,
+    row by row; Spark adds the rows up. The cells themselves never meet.
+    """
+    width = vectors.agg(F.max(F.size("vec"))).first()[0]
+    if width > MAX_PCA_GENES:
+        raise ValueError(f"components of {width} genes do not fit the driver; select genes first")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width + 1, width + 1))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.hstack([list_matrix(batch.column("vec")), np.ones((batch.num_rows, 1))])
+                total += x.T @ x
+        for lo in range(0, width + 1, 256):
+            rows = total[lo:lo + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(rows))), matrix_list(rows)], ["i", "row"])
+
+    rows = vectors.select("vec").mapInArrow(partial, "i long, row array<double>")
+    added = rows.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
+    held = added.orderBy("i").toArrow()
+    full = list_matrix(held.column("row"))
+    return int(round(full[-1, -1])), full[-1, :-1], full[:-1, :-1]
+
 
 def principal_components(vectors: DataFrame, k: int):
     """``(scores(cell_idx, vec), loadings as a numpy genes x k array, variance shares)``.
 
-    MLlib aggregates the Gram matrix over the cells; only genes x genes numbers
-    meet, never the cells.
+    Centred, not scaled; a component's largest loading is positive.
     """
-    points = vectors.select("cell_idx", array_to_vector("vec").alias("features"))
-    model = PCA(k=k, inputCol="features", outputCol="scores").fit(points)
-    scores = model.transform(points).select("cell_idx", vector_to_array("scores").alias("vec"))
-    return scores, model.pc.toArray(), model.explainedVariance.toArray()
+    n, sums, squares = gram_matrix(vectors)
+    center = sums / n
+    values, axes = np.linalg.eigh((squares - n * np.outer(center, center)) / max(n - 1, 1))
+    order = np.argsort(values)[::-1][:k]
+    axes = axes[:, order]
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    model = vectors.sparkSession.sparkContext.broadcast((center, axes))
+
+    def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle, rotation = model.value
+        for batch in batches:
+            if batch.num_rows:
+                x = (list_matrix(batch.column("vec")) - middle) @ rotation
+                yield pa.RecordBatch.from_arrays([batch.column("cell_idx"), matrix_list(x)], ["cell_idx", "vec"])
+
+    scores = vectors.select("cell_idx", "vec").mapInArrow(rotate, "cell_idx long, vec array<double>")
+    return scores, axes, np.maximum(values[order], 0) / max(values.clip(0).sum(), 1e-300)
 
 
 def long_scores(scores: DataFrame) -> DataFrame:

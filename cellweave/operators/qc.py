@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.orderstats import exact_quantiles
 from cellweave.model import Experiment
+from cellweave.session import materialize
 
 
 def cell_support(expr: DataFrame, cells: DataFrame, min_count: float = 3, by: Sequence[str] = ()) -> DataFrame:
@@ -32,7 +33,7 @@ def good_cells(
     """Cells whose support lies within two quantiles of all cells, bounds included."""
     if qh_th < ql_th:
         raise ValueError("lower limit must not exceed upper limit")
-    support = cell_support(expr, cells, min_count, by)
+    support = materialize(cell_support(expr, cells, min_count, by), "support")
     bounds = exact_quantiles(support, "n_genes", [ql_th, qh_th], by)
     if by:
         support = support.join(F.broadcast(bounds), list(by))  # one row per batch

@@ -168,20 +168,21 @@ def vectors(spark, folder) -> DataFrame:
 
 
 def vector_sample(spark, folder) -> DataFrame:
-    return sampling.random_sample(vectors(spark, folder), SAMPLED_VECTORS, SEED)
+    return materialize(sampling.random_sample(vectors(spark, folder), SAMPLED_VECTORS, SEED), "sample")
 
 
-def sampled_knn(spark, folder) -> DataFrame:
-    return materialize(knn.nearest(vectors(spark, folder), vector_sample(spark, folder), 11), "knn")
+def sampled_knn(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """``(knn, sample)``: every vector's 11 nearest among the sample."""
+    sample = vector_sample(spark, folder)
+    return materialize(knn.nearest(vectors(spark, folder), sample, 11), "knn"), sample
 
 
 def vector_labels(spark, folder) -> DataFrame:
     return T.vectors(spark, folder).select("cell_idx", whole("label"))
 
 
-def sampled_labels(spark, folder) -> DataFrame:
-    sampled = vector_sample(spark, folder).select("cell_idx")
-    return vector_labels(spark, folder).join(sampled, "cell_idx", "left_semi")
+def labels_of(spark, folder, sample: DataFrame) -> DataFrame:
+    return vector_labels(spark, folder).join(sample.select("cell_idx"), "cell_idx", "left_semi")
 
 
 def partition_edges(spark, folder) -> DataFrame:
@@ -212,7 +213,8 @@ def modularity(spark, folder):
 
 
 def votes(spark, folder, conf: float) -> DataFrame:
-    return cluster.vote(sampled_knn(spark, folder), sampled_labels(spark, folder), conf)
+    near, sample = sampled_knn(spark, folder)
+    return cluster.vote(near, labels_of(spark, folder, sample), conf)
 
 
 @query
@@ -236,15 +238,17 @@ def unassigned_count(spark, folder):
 
 @query
 def relabel_clusters(spark, folder):
-    held = materialize(votes(spark, folder, 0.3), "votes")
-    return cluster.relabel(held, sampled_labels(spark, folder)).select("cell_idx", whole("cluster_id"))
+    near, sample = sampled_knn(spark, folder)
+    held = materialize(cluster.vote(near, labels_of(spark, folder, sample), 0.3), "votes")
+    return cluster.relabel(held, sample).select("cell_idx", whole("cluster_id"))
 
 
 @query
 def project_coords(spark, folder):
     labels = vector_labels(spark, folder).withColumnRenamed("label", "cluster_id")
-    layout = vector_sample(spark, folder).select("cell_idx", F.slice("vec", 1, 2).alias("vec"))
-    placed = embed.project(sampled_knn(spark, folder), labels, layout)
+    near, sample = sampled_knn(spark, folder)
+    layout = sample.select("cell_idx", F.slice("vec", 1, 2).alias("vec"))
+    placed = embed.project(near, labels, layout)
     return placed.select("cell_idx", rounded(F.col("vec")[0], "x"), rounded(F.col("vec")[1], "y"))
 
 
@@ -256,8 +260,8 @@ def stream_assignment(spark, folder):
         spark.readStream.schema(source.schema).option("pathGlobFilter", "embeddings.parquet").parquet(folder)
         .select(F.col("vec_id").alias("cell_idx"), F.col("embedding").cast("array<double>").alias("vec"))
     )
-    sample = materialize(vector_sample(spark, folder), "sample")
-    labels = materialize(sampled_labels(spark, folder), "labels")
+    sample = vector_sample(spark, folder)
+    labels = materialize(labels_of(spark, folder, sample), "labels")
     out = f"{checkpoint_root(spark)}/cellweave/stream-{uuid.uuid4().hex}"
     sink = lambda df, epoch: df.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
     assign_stream(stream, sample, labels, sink, f"{out}/state", conf=0.3).awaitTermination()

@@ -29,7 +29,7 @@ def scatter_points(layout: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def label_centers(points: DataFrame) -> DataFrame:
-    """``(label, x, y, n)``: median position per label. Labels are few, points may be many."""
+    """``(label, x, y, n)``: median position per label of a written table of points."""
     x = exact_quantiles(points, "x", [0.5], ["label"]).select("label", F.col("q")[0].alias("x"))
     y = exact_quantiles(points, "y", [0.5], ["label"]).select("label", F.col("q")[0].alias("y"))
     n = points.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -113,7 +113,7 @@ def heatmap(exp: Experiment, markers: DataFrame, selected_clusters: Sequence[int
     expr, labels = reduce_for_markers(exp, seed=seed)
     wanted = check_clusters(labels, selected_clusters)
     labels = labels.where(F.col("cluster_id").isin(wanted))
-    genes = materialize(top_markers(markers.drop("rn"), nDE).select("gene_idx").distinct(), "genes")
+    genes = materialize(top_markers(markers, nDE).select("gene_idx").distinct(), "genes")
     cells = z_scores(expr, labels, genes).join(labels, "cell_idx").join(exp.genes.select("gene_idx", "symbol"), "gene_idx")
     return {"cells": cells, "labels": label_positions(labels), "colors": cluster_colors(len(wanted))}
 

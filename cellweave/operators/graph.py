@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.session import materialize
+from cellweave.session import materialize, materialize_with
 
 
 def graph_edges(knn: DataFrame) -> DataFrame:
@@ -73,10 +73,11 @@ def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: i
         state = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select(
             "node", "k", F.col("node").alias("community"), F.lit(seed + 97 * level).alias("turn")
         )
-        n_nodes = state.count()
-        for sweep in range(max_sweeps):
-            state = materialize(_sweep(links, state, total), "state")
-            if sweep and state.where("moved").count() <= n_nodes // 100:
+        for _ in range(max_sweeps):
+            state, seen = materialize_with(
+                _sweep(links, state, total), "state", nodes=F.count(F.lit(1)), moved=F.sum(F.col("moved").cast("long"))
+            )
+            if seen["moved"] <= seen["nodes"] // 100:
                 break
         placed = state.select("node", "community")
         links = materialize(_contract(links, placed), "links")
@@ -89,7 +90,7 @@ def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: i
             .select("node", F.col("upper").alias("community")),
             "members",
         )
-        if links.where("src = dst").count() == n_nodes:
+        if seen["moved"] == 0 and seen["nodes"] == 1:
             break
     return number_by_size(members)
 

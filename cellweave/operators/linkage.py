@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.orderstats import exact_quantiles
 from cellweave.operators.graph import number_by_size
 from cellweave.operators.knn import nearest
-from cellweave.session import materialize
+from cellweave.session import materialize, materialize_with
 
 # The cut lies at this share between a low quantile of the merge
 # heights and the highest merge; smaller branches are not clusters of their own.
@@ -57,8 +57,8 @@ def average_linkage(links: DataFrame, max_rounds: int = 500) -> DataFrame:
             .where("ends = 2")
             .select("child", "parent", "height", F.lit(turn).alias("round"))
         )
-        joined = materialize(joined, "merges")
-        if joined.isEmpty():
+        joined, seen = materialize_with(joined, "merges", n=F.count(F.lit(1)))
+        if not seen["n"]:
             break
         merges = merges.unionByName(joined)
         into = joined.select("child", "parent")
@@ -91,12 +91,12 @@ def cut_tree(merges: DataFrame, cells: DataFrame, height: float) -> DataFrame:
     )
     while True:
         up = state.select(F.col("cell_idx").alias("root"), F.col("root").alias("upper"))
-        doubled = materialize(
-            state.join(up, "root").select("cell_idx", F.col("upper").alias("root"), (F.col("upper") != F.col("root")).alias("moved")),
-            "roots",
+        doubled = state.join(up, "root").select(
+            "cell_idx", F.col("upper").alias("root"), (F.col("upper") != F.col("root")).alias("moved")
         )
-        state = doubled.drop("moved")
-        if doubled.where("moved").isEmpty():
+        state, seen = materialize_with(doubled, "roots", moved=F.sum(F.col("moved").cast("long")))
+        state = state.drop("moved")
+        if not seen["moved"]:
             return state
 
 

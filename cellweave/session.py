@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_roots: dict[str, str] = {}
@@ -59,6 +59,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def materialize_with(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` and return its reader with totals taken while writing, in one job."""
+    seen = Observation()
+    written = materialize(df.observe(seen, *[c.alias(k) for k, c in totals.items()]), name)
+    return written, seen.get
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once and return a reader of the written table."""
     spark = df.sparkSession

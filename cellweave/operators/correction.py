@@ -158,6 +158,29 @@ def cosine_scaled(vectors: DataFrame) -> DataFrame:
     return vectors.select("cell_idx", F.when(norm > 0, F.transform("vec", lambda x: x / norm)).otherwise(F.col("vec")).alias("vec"))
 
 
+def center_along(vectors: DataFrame, direction: list[float]) -> DataFrame:
+    """Take away the spread of a batch along one unit direction, keeping its mean there."""
+    axis = F.array(*[F.lit(float(x)) for x in direction])
+    dot = F.aggregate(F.zip_with("vec", axis, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    placed = materialize(vectors.select("cell_idx", "vec", dot.alias("_at")), "mnn")
+    middle = placed.agg(F.avg("_at")).first()[0]
+    move = F.lit(middle) - F.col("_at")
+    return placed.withColumn("_move", move).select(
+        "cell_idx", F.zip_with("vec", F.transform(axis, lambda x: x * F.col("_move")), lambda a, b: a + b).alias("vec")
+    )
+
+
+def pair_shifts(pairs: DataFrame, goal: DataFrame, moving: DataFrame) -> DataFrame:
+    """``(cell_idx, shift)``: mean difference of a moving cell to its partners."""
+    return (
+        pairs.join(goal.select(F.col("cell_idx").alias("left_idx"), F.col("vec").alias("goal")), "left_idx")
+        .join(moving.select(F.col("cell_idx").alias("right_idx"), "vec"), "right_idx")
+        .select(F.col("right_idx").alias("cell_idx"), array_to_vector(F.zip_with("goal", "vec", lambda a, b: a - b)).alias("shift"))
+        .groupBy("cell_idx")
+        .agg(vector_to_array(Summarizer.mean(F.col("shift"))).alias("shift"))
+    )
+
+
 def mutual_neighbour_correction(vectors: DataFrame, batches: DataFrame, order: list[int], k: int = MNN_NEIGHBOURS) -> DataFrame:
     """``(cell_idx, vec)`` with every later batch moved onto the batches before it.
 
@@ -169,25 +192,27 @@ def mutual_neighbour_correction(vectors: DataFrame, batches: DataFrame, order: l
     done = materialize(tagged.where(F.col("batch") == order[0]).select("cell_idx", "vec"), "mnn")
     for batch in order[1:]:
         moving = materialize(tagged.where(F.col("batch") == batch).select("cell_idx", "vec"), "mnn")
-        pairs = mutual_pairs(done, moving, k, "euclidean")
-        shift = (
-            pairs.join(done.select(F.col("cell_idx").alias("left_idx"), F.col("vec").alias("goal")), "left_idx")
-            .join(moving.select(F.col("cell_idx").alias("right_idx"), "vec"), "right_idx")
-            .select("right_idx", array_to_vector(F.zip_with("goal", "vec", lambda a, b: a - b)).alias("shift"))
-            .groupBy("right_idx")
-            .agg(vector_to_array(Summarizer.mean(F.col("shift"))).alias("shift"))
-        )
-        shift = materialize(shift, "mnn")
-        anchors = moving.join(shift.select(F.col("right_idx").alias("cell_idx")), "cell_idx", "left_semi")
-        if anchors.isEmpty():
+        pairs = materialize(mutual_pairs(done, moving, k, "euclidean").select("left_idx", "right_idx"), "mnn")
+        shift = materialize(pair_shifts(pairs, done, moving), "mnn")
+        mean = shift.agg(vector_to_array(Summarizer.mean(array_to_vector("shift")))).first()[0]
+        if mean is None:
             raise ValueError(f"batch {batch} shares no mutual neighbours with the batches before it")
+        length = float(np.linalg.norm(mean))
+        if length > 0:
+            # Pairs form where the batches face each other, so spread along the
+            # batch direction would hide a part of the shift.
+            direction = [x / length for x in mean]
+            done = materialize(center_along(done, direction), "mnn")
+            moving = materialize(center_along(moving, direction), "mnn")
+            shift = materialize(pair_shifts(pairs, done, moving), "mnn")
+        anchors = moving.join(shift.select("cell_idx"), "cell_idx", "left_semi")
         near = nearest(moving, anchors, k, "euclidean")
         middle = F.percentile("dist", F.lit(0.5)).over(Window.partitionBy("cell_idx"))  # k rows per cell
         reach = F.greatest(middle * MNN_REACH, F.lit(1e-8))
         tricube = F.pow(1 - F.pow(F.least(F.lit(1.0), F.col("dist") / reach), F.lit(3)), F.lit(3)) + 1e-12
         smooth = (
             near.withColumn("w", tricube)
-            .join(shift, F.col("nn_cell_idx") == F.col("right_idx"))
+            .join(shift.withColumnRenamed("cell_idx", "nn_cell_idx"), "nn_cell_idx")
             .groupBy("cell_idx")
             .agg(vector_to_array(Summarizer.mean(array_to_vector("shift"), F.col("w"))).alias("shift"))
         )

@@ -19,6 +19,7 @@ from cellweave.session import materialize
 SMALL_ROWS = 1_000_000
 SPLIT_ROWS = 10_000_000
 FAN_OUT = 64
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def exact_quantiles(
@@ -32,9 +33,8 @@ def exact_quantiles(
     """Interpolated quantiles (R type 7) as column ``q array<double>``.
 
     Pass a written table: it is read more than once. Up to ``small_rows`` rows the
-    built-in exact percentile holds its values in one task. Beyond that, ``by``
-    must name a small set of groups (bins, batches), any of which may hold most
-    of the rows. The sketch errs by at most n/accuracy ranks, so the bracket holds
+    built-in exact percentile holds its values in one task. Beyond that, any
+    group may hold most of the rows. The sketch errs by at most n/accuracy ranks, so the bracket holds
     a bounded share of the rows, and ranks just outside it are still answered
     exactly by the neighbouring extreme.
     """
@@ -63,7 +63,9 @@ def exact_quantiles(
     ])
     summary = summary.select(*by, brackets.alias("_brackets"))
     if by:
-        base = base.join(F.broadcast(summary), by)  # one row per bin or batch
+        summary = materialize(summary, "brackets")
+        few = summary.count() <= MAX_BROADCAST_GROUPS
+        base = base.join(F.broadcast(summary) if few else summary, by)
         opened = base.select(*by, "_v", F.explode("_brackets").alias("b"))
     else:
         opened = base.select("_v", F.explode(summary.scalar()).alias("b"))

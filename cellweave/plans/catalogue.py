@@ -127,7 +127,7 @@ def rank_genes_hvg(spark, folder):
 @query
 def presample(spark, folder):
     lines = T.table(spark, folder, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("cell_idx"))
-    return sampling.presample(lines.distinct(), SEED)
+    return sampling.presample(materialize(lines.distinct(), "lines"), SEED)
 
 
 @query

@@ -71,7 +71,7 @@ def z_scores(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     and deviations come from the non-zeros alone. ``genes`` are a few chosen ones.
     """
     chosen = genes.select("gene_idx").distinct()
-    seen = expr.join(F.broadcast(chosen), "gene_idx").join(cells.select("cell_idx"), "cell_idx", "left_semi").select(
+    seen = expr.join(chosen, "gene_idx").join(cells.select("cell_idx"), "cell_idx", "left_semi").select(
         "gene_idx", "cell_idx", log2p1("norm").alias("value")
     )
     n = cells.agg(F.count(F.lit(1))).scalar()
@@ -132,7 +132,7 @@ def violin_summary(expr: DataFrame, labels: DataFrame, genes: DataFrame, probs:
     first, so no dense table is built.
     """
     seen = (
-        expr.join(F.broadcast(genes.select("gene_idx").distinct()), "gene_idx")
+        expr.join(genes.select("gene_idx").distinct(), "gene_idx")
         .join(labels.select("cell_idx", "cluster_id"), "cell_idx")
         .groupBy("gene_idx", "cluster_id", log2p1("norm").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))

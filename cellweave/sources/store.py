@@ -21,9 +21,12 @@ def read_files(spark: SparkSession, paths, format: str = "10x", **options) -> Ex
 
 
 def save(exp: Experiment, folder: str, mode: str = "errorifexists") -> None:
-    """One Parquet table per part; the matrix is clustered by gene so that a gene
-    selection skips row groups."""
-    exp.expr.repartitionByRange("gene_idx").sortWithinPartitions("gene_idx", "cell_idx").write.mode(mode).parquet(f"{folder}/expr")
+    """One Parquet table per part.
+
+    The matrix is range-partitioned by gene, then cell, so that a gene selection
+    skips row groups and a gene seen everywhere is spread over several files.
+    """
+    exp.expr.repartitionByRange("gene_idx", "cell_idx").sortWithinPartitions("gene_idx", "cell_idx").write.mode(mode).parquet(f"{folder}/expr")
     exp.cells.write.mode(mode).parquet(f"{folder}/cells")
     exp.genes.write.mode(mode).parquet(f"{folder}/genes")
     if exp.knn is not None:

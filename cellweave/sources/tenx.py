@@ -94,16 +94,16 @@ def _features(spark: SparkSession, file: str, gene_column: int, unique: bool) ->
 def _coordinates(spark: SparkSession, file: str) -> DataFrame:
     """Entries of a MatrixMarket coordinate file, 1-based gene and cell made 0-based.
 
-    The size line looks like an entry; it is the first line that is no comment.
-    A plain file is read by many tasks, a compressed one by one task and then spread.
+    The size line looks like an entry: it is the first line that is no comment and
+    is left out by its row id, found by looking at the start of the file only. A
+    plain file is read by many tasks, a compressed one by one task and then spread.
     """
-    head = spark.read.text(file).where(~F.col("value").startswith("%")).first()
-    if head is None:
+    rows = spark.read.text(file).withColumn("id", F.monotonically_increasing_id()).where(~F.col("value").startswith("%"))
+    size_line = rows.first()
+    if size_line is None:
         raise ValueError(f"{file} has no size line")
-    rows = numbered_lines(spark, file).where(~F.col("line").startswith("%"))
-    parts = F.split(F.trim("line"), r"\s+")
-    size_line = rows.agg(F.min("idx")).scalar()
-    entries = rows.where(F.col("idx") > size_line).select(
+    parts = F.split(F.trim("value"), r"\s+")
+    entries = rows.where((F.col("id") != size_line["id"]) & (F.trim("value") != "")).select(
         (parts[1].cast("long") - 1).alias("cell_idx"),
         (parts[0].cast("long") - 1).alias("gene_idx"),
         F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("count"),

@@ -39,16 +39,10 @@ def whole(name: str | Column, alias: str | None = None) -> Column:
     return column.cast("long").alias(alias or name)
 
 
-_normalized: dict[tuple, DataFrame] = {}
-
-
 def norm_matrix(spark: SparkSession, folder: str, gene: str) -> DataFrame:
     """The normalised matrix, written once per session as a shared stage."""
-    key = (spark.sparkContext.applicationId, folder, gene)
-    if key not in _normalized:
-        expr = normalize.normalized(T.stored_matrix(spark, folder, gene), T.cells(spark, folder))
-        _normalized[key] = materialize(expr, f"norm-{gene}")
-    return _normalized[key]
+    build = lambda: normalize.normalized(T.stored_matrix(spark, folder, gene), T.cells(spark, folder))
+    return T.once(spark, (folder, "norm", gene), build)
 
 
 # ---- quality, normalisation, gene ranking ----

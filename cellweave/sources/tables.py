@@ -6,14 +6,26 @@ are cells, the things they buy are genes and the summed quantity is the count.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.session import materialize
+from cellweave.sources.files import exists
 
 _written: dict[tuple, DataFrame] = {}
 
 
+def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per session, again if its files were cleaned away."""
+    key = (spark.sparkContext.applicationId, *key)
+    held = _written.get(key)
+    if held is None or not all(exists(spark, f) for f in held.inputFiles()[:1]):
+        _written[key] = materialize(build(), "-".join(str(k) for k in key[2:]))
+    return _written[key]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -40,10 +52,7 @@ def count_matrix(spark: SparkSession, folder: str, gene: str = "part") -> DataFr
 
 def stored_matrix(spark: SparkSession, folder: str, gene: str = "part") -> DataFrame:
     """The count matrix written once per session, as an input that many queries share."""
-    key = (spark.sparkContext.applicationId, folder, gene)
-    if key not in _written:
-        _written[key] = materialize(count_matrix(spark, folder, gene), f"matrix-{gene}")
-    return _written[key]
+    return once(spark, (folder, "matrix", gene), lambda: count_matrix(spark, folder, gene))
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:

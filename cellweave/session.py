@@ -66,9 +66,9 @@ def materialize_with(df: DataFrame, name: str, **totals: Column) -> tuple[DataFr
     return written, seen.get
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write ``df`` once and return a reader of the written table."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/cellweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -36,17 +36,20 @@ from cellweave.llm.common import LOWER, blocks, id_remainder, texts_of
 from cellweave.session import materialize, materialize_with
 
 DEPTH = 4
-NODES = 1 << 19
+NODES = 1 << 18
 END = 0
 
 #: Words whose counts are sent to every task.
-COMMON = 150_000
+COMMON = 100_000
 
 #: Distinct words a task counts before it hands them on.
 COUNTED_WORDS = 300_000
 
+#: Bytes of text scored at once.
+SCORED_BYTES = 1 << 20
+
 #: Entries of a task's store of byte probabilities.
-STORED_GRAMS = 1 << 20
+STORED_GRAMS = 1 << 19
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -246,11 +249,17 @@ class Store:
 
 
 def score_texts(store: Store, texts: list[bytes]) -> np.ndarray:
-    """Log10 probability of each text and its end."""
-    if not texts:
-        return np.zeros(0)
-    begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])[:-1]))
-    return np.add.reduceat(store.log10(grams(texts)), begin)
+    """Log10 probability of each text and its end, over pieces of about ``SCORED_BYTES``."""
+    sums = np.zeros(len(texts))
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text) + 1
+        if size >= SCORED_BYTES or i == len(texts) - 1:
+            some = texts[first : i + 1]
+            begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in some])[:-1]))
+            sums[first : i + 1] = np.add.reduceat(store.log10(grams(some)), begin)
+            first, size = i + 1, 0
+    return sums
 
 
 def collect_tree(nodes: DataFrame) -> Tree:
@@ -279,11 +288,15 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     ends = training.count()
     n_all, n_distinct = totals["words"] + ends, totals["distinct"] + (ends > 0)
     tree = collect_tree(tree_nodes(training.select("text")))
-    frequent = counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    frequent = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     size = n_all + 0.1 * (n_distinct + 1)
     floor = math.log10(0.1 / size)
     shared = spark.sparkContext.broadcast(
-        (tree, {bytes(r.token): math.log10((r.n + 0.1) / size) for r in frequent}, math.log10((ends + 0.1) / size))
+        (
+            tree,
+            dict(zip(frequent.column("token").to_pylist(), np.log10((frequent.column("n").to_numpy() + 0.1) / size).tolist())),
+            math.log10((ends + 0.1) / size),
+        )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,9 +307,14 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             split = [t.translate(LOWER).split() for t in texts]
             known = [[common[w] for w in ws if w in common] for ws in split]
             others = [Counter(w for w in ws if w not in common) for ws in split]
-            flat = [{"token": w, "n": n} for c in others for w, n in c.items()]
+            flat = pa.StructArray.from_arrays(
+                [
+                    pa.array([w for c in others for w in c], pa.binary()),
+                    pa.array([n for c in others for n in c.values()], pa.int64()),
+                ],
+                names=["token", "n"],
+            )
             bounds = np.concatenate(([0], np.cumsum([len(c) for c in others]))).astype(np.int32)
-            kind = pa.struct([("token", pa.binary()), ("n", pa.int64())])
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
@@ -306,7 +324,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     pa.array([math.fsum(k) + end for k in known], pa.float64()),
                     pa.array(score_texts(store, texts)),
                     pa.array([len(t) + 1 for t in texts], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, kind)),
+                    pa.ListArray.from_arrays(pa.array(bounds), flat),
                 ],
                 names=["doc_id", "row", "n_tokens", "n_common", "common_score", "score", "n_bytes", "others"],
             )

@@ -46,13 +46,15 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into blocks of about ``BLOCK_BYTES`` of text, whole rows each."""
+def blocks(
+    batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cut Arrow batches into blocks of about ``most`` bytes of text, whole rows each."""
     for batch in batches:
         texts = texts_of(batch.column(text))
         start, size = 0, 0
         for i, t in enumerate(texts):
-            if size and size + len(t) > BLOCK_BYTES:
+            if size and size + len(t) > most:
                 yield batch.slice(start, i - start), texts[start:i]
                 start, size = i, 0
             size += len(t)

@@ -43,9 +43,10 @@ END = 0
 COMMON = 100_000
 
 #: Distinct words a task counts before it hands them on.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 200_000
 
-#: Bytes of text scored at once.
+#: Bytes of text whose grams are counted, and that are scored, at once.
+COUNTED_BYTES = 2 << 20
 SCORED_BYTES = 1 << 20
 
 #: Entries of a task's store of byte probabilities.
@@ -97,7 +98,7 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in blocks(batches, 0):
+    for _, texts in blocks(batches, 0, COUNTED_BYTES):
         code, n = np.unique(grams(texts), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["gram", "n"])
 
@@ -303,7 +304,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         tree, common, end = shared.value
         store = Store(tree)
         row = TaskContext.get().partitionId() << 40
-        for rows, texts in blocks(batches):
+        for rows, texts in blocks(batches, 1, SCORED_BYTES):
             split = [t.translate(LOWER).split() for t in texts]
             known = [[common[w] for w in ws if w in common] for ws in split]
             others = [Counter(w for w in ws if w not in common) for ws in split]

@@ -4,8 +4,7 @@ Two strings are compared by the subsequences of three bytes they share, each ste
 skipping at most one byte, and every skipped byte costing a factor ``DECAY``. A word
 with a letter put in, left out or set apart keeps most of its subsequences.
 
-Landmarks are the strings that mark toxic texts among the labelled ones, no two alike,
-and a few words of clean texts. A sentence
+Landmarks are the strings that mark toxic texts among the labelled ones, no two alike. A sentence
 has, for each landmark, the best kernel value of its words; the Nyström map turns these
 values into coordinates in which a support vector machine is fitted, on the most
 suspicious sentence of each labelled text. A text's score is that of its most toxic
@@ -41,10 +40,9 @@ SAMPLE = {1: 1500, 0: 1500}
 DECAY = 0.7
 LENGTHS = range(4, 8)
 LANDMARKS = 60
-CLEAN_LANDMARKS = 8
 
 #: Words whose best kernel value is below this count as unlike every landmark.
-FLOOR = 0.45
+FLOOR = 0.5
 
 #: Least score of a text that is called toxic.
 TOXIC = 0.7
@@ -95,12 +93,20 @@ class Kernel:
         for owner, code, weight in parts:
             np.add.at(self.weights, (self.feature[code], owner), weight)
         self.own = np.maximum((self.weights**2).sum(axis=0), 1e-9)
+        self.most = np.append((self.weights / self.own).max(axis=1, initial=0.0), 0.0)  # of any landmark; the last for no feature
 
     def values(self, words: list[bytes]) -> np.ndarray:
         """Of long lists in pieces, so that memory is bounded."""
         pieces = [self._values(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
         return np.concatenate(pieces) if pieces else np.zeros((0, len(self.landmarks)), np.float32)
 
+    def can_reach(self, words: list[bytes], value: float) -> np.ndarray:
+        """Which words may have a kernel value of at least this: a bound over all landmarks at once."""
+        bound = np.zeros(len(words))
+        for owner, code, weight in subsequences(words):
+            bound += weight * np.bincount(owner, self.most[self.feature[code]], minlength=len(words))
+        return bound >= value
+
     def _values(self, words: list[bytes]) -> np.ndarray:
         result = np.zeros((len(words), len(self.landmarks)), np.float32)
         for owner, code, weight in subsequences(words):
@@ -162,20 +168,22 @@ class Scorer:
         self.known.update(new)
         if self.kernel is None or not new:
             return
-        values = self.kernel.values([w.encode() for w in new])
-        apart = [i for i, w in enumerate(new) if not w.isalnum()]
-        bare = self.kernel.values([_APART.sub("", new[i]).encode() for i in apart])
-        values[apart] = np.maximum(values[apart], bare)
-        for i in np.flatnonzero(values.max(axis=1) >= FLOOR):
-            self.suspects[new[i]] = values[i]
+        # a word with other characters than letters and digits also stands for what is left without them
+        forms = [(w, w.encode()) for w in new] + [(w, _APART.sub("", w).encode()) for w in new if not w.isalnum()]
+        for lo in range(0, len(forms), 50_000):
+            some = forms[lo : lo + 50_000]
+            some = [some[i] for i in np.flatnonzero(self.kernel.can_reach([x for _, x in some], FLOOR))]
+            for (w, _), values in zip(some, self.kernel.values([x for _, x in some])):
+                if values.max(initial=0.0) >= FLOOR:
+                    self.suspects[w] = np.maximum(values, self.suspects[w]) if w in self.suspects else values
 
     def sentence_values(self, text: str) -> np.ndarray:
         """A row for each sentence with suspicious words, and one of zeros."""
-        rows = [self.nothing[0]]
-        for sentence in [*sentences(text), *(_APART.sub("", m) for m in _SPACED.findall(text.lower()))]:
-            held = [self.suspects[w] for w in tokens(sentence) if w in self.suspects]
+        rows, lower = [self.nothing[0]], text.lower()
+        for words in [*map(str.split, sentences(lower)), *([_APART.sub("", m)] for m in _SPACED.findall(lower))]:
+            held = [self.suspects[w] for w in words if w in self.suspects]
             if held:
-                rows.append(np.max(held, axis=0))
+                rows.append(held[0] if len(held) == 1 else np.max(held, axis=0))
         return np.array(rows)
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -190,21 +198,23 @@ class Scorer:
 
 
 def without_copies(texts: list[str]) -> list[str]:
-    """The texts without copies and near copies of earlier ones: two of four minimum hashes of their words agree."""
-    seen: list[set[int]] = [set() for _ in range(4)]
+    """The texts without copies and near copies: those that share four of eight minimum hashes with an earlier one."""
+    seen: dict[tuple[int, int], list[int]] = {}
     kept = []
-    for text in texts:
-        words = {w.encode() for w in tokens(text)} or {b""}
-        marks = [min(zlib.crc32(w, k * 0x9E3779B1 & 0xFFFFFFFF) for w in words) for k in range(4)]
-        if sum(m in s for m, s in zip(marks, seen)) < 2:
+    for i, text in enumerate(texts):
+        words = [w.encode() for w in set(tokens(text))] or [b""]
+        hashes = np.array([zlib.crc32(w) for w in words], np.uint64)
+        marks = [(k, int(((hashes * (2 * k + 1) * 0x9E3779B1) & 0xFFFFFFFF).min())) for k in range(8)]
+        shared = Counter(j for m in marks for j in seen.get(m, ()))
+        if max(shared.values(), default=0) < 4:
             kept.append(text)
-        for m, s in zip(marks, seen):
-            s.add(m)
+        for m in marks:
+            seen.setdefault(m, []).append(i)
     return kept
 
 
 def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
-    """The strings found in most toxic texts and hardly any clean one, no two with three characters in common; then frequent words of clean texts."""
+    """The strings found in most toxic texts and hardly any clean one, no two with three characters in common."""
     in_toxic = [set(tokens(t)) for t in toxic]
     in_clean = [set(tokens(t)) for t in clean]
     toxic_count = Counter(w for ws in in_toxic for w in ws)
@@ -226,21 +236,29 @@ def choose_landmarks(toxic: list[str], clean: list[str]) -> list[str]:
     half = Counter(s for ws in in_toxic[::2] for s in set().union(*map(parts, ws & telling)) & frequent)
     # what both halves of the toxic texts hold, less what clean texts hold
     gain = {s: 2 * min(half[s], counts[s] - half[s]) - 10 * ratio * in_clean_too[s] for s in frequent}
+    words_of: dict[str, list[str]] = {}
+    texts_of: dict[str, set[int]] = {}
+    for i, ws in enumerate(in_toxic):
+        for w in ws & telling:
+            texts_of.setdefault(w, set()).add(i)
+    for w in texts_of:
+        for s in parts(w) & frequent:
+            words_of.setdefault(s, []).append(w)
     landmarks: list[str] = []
     used: set[str] = set()
     for s in sorted(frequent, key=lambda s: (-gain[s], -len(s), s)):
         threes = {s[i : i + 3] for i in range(len(s) - 2)}
         if gain[s] < least or len(landmarks) == LANDMARKS:
             break
-        if used.isdisjoint(threes):
+        # words that an earlier landmark explains do not speak for this one
+        rest = [texts_of[w] for w in words_of[s] if not any(x in w for x in landmarks)]
+        if used.isdisjoint(threes) and len(set().union(*rest)) >= least:
             landmarks.append(s)
             used |= threes
-    ordered = sorted((w for w in clean_count if len(w) >= 4), key=lambda w: (-clean_count[w], w))[:2000]
-    step = max(1, len(ordered) // CLEAN_LANDMARKS)
-    return landmarks + [w for w in ordered[::step][:CLEAN_LANDMARKS] if w not in landmarks]
+    return landmarks
 
 
-def _separate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
+def _separate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 100.0) -> np.ndarray:
     """The plane of least squared hinge loss, by Newton steps on the rows within the margin."""
     plane = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1])

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import bpe, decontaminate, secrets, simhash, toxicity
 from cellweave.llm.common import read_table
-from cellweave.session import materialize
+from cellweave.session import materialize, materialize_with
+
+#: Digests of contaminated texts up to this many are broadcast; beyond it the join shuffles.
+BROADCAST_TEXTS = 100_000
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,10 +33,16 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Rows are told apart by id and text, so one row stays where an id is repeated; null ids come last."""
     key = F.struct(F.col("doc_id").isNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.xxhash64("text").alias("c"))
     keyed = docs.select(key.alias("doc_id"), "text")
-    groups = simhash.near_duplicates(keyed)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first")).distinct()
+    groups = simhash.near_duplicates(keyed).filter(F.col("doc_id") == F.col("component_id"))
+    first, seen = materialize_with(
+        groups.groupBy(F.col("doc_id").alias("first")).agg(F.count("*").alias("n")),
+        "first",
+        repeated=F.count_if(F.col("n") > 1),
+    )
     kept = docs.select(*COLUMNS, key.alias("row")).join(first, F.col("row") == F.col("first"), "left_semi")
-    return kept.dropDuplicates(["row"]).select(*COLUMNS)
+    if seen["repeated"]:  # whole rows that occur again
+        kept = kept.dropDuplicates(["row"])
+    return kept.select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +50,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     keyed = docs.select(digest.alias("doc_id"), "text")
     tests = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    verdicts = materialize(decontaminate.contamination(keyed, tests).filter("contaminated").select(F.col("doc_id").alias("bad")).distinct(), "verdicts")
-    return docs.select(*COLUMNS, digest.alias("digest")).join(verdicts, F.col("digest") == F.col("bad"), "left_anti").select(*COLUMNS)
+    contaminated = decontaminate.contamination(keyed, tests).filter("contaminated")
+    bad, seen = materialize_with(contaminated.select(F.col("doc_id").alias("bad")).distinct(), "bad", n=F.count(F.lit(1)))
+    if seen["n"] <= BROADCAST_TEXTS:
+        bad = F.broadcast(bad)
+    return docs.select(*COLUMNS, digest.alias("digest")).join(bad, F.col("digest") == F.col("bad"), "left_anti").select(*COLUMNS)
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -20,7 +19,7 @@ from cellweave.operators.knn import mutual_pairs, nearest
 from cellweave.operators.normalize import normalize_counts
 from cellweave.operators.pca_genes import principal_components
 from cellweave.operators.sampling import presample
-from cellweave.operators.vectors import dense_vectors, gene_positions, list_matrix
+from cellweave.operators.vectors import dense_vectors, gene_positions, list_matrix, matrix_list
 from cellweave.session import materialize
 
 # Smallest value that can be close to another, most genes dropped
@@ -261,8 +260,8 @@ def correct_batches(
         scores, loadings, _ = principal_components(vectors, max(1, min(d, n_cells - 1, n_genes)))
         order = sorted(r[0] for r in exp.cells.select("batch").distinct().collect())
         corrected = mutual_neighbour_correction(materialize(scores, "scores"), exp.cells, order, k)
-        rows = pd.DataFrame({"pos": np.arange(n_genes), "weights": list(loadings)})
-        frame = exp.spark.createDataFrame(rows, "pos int, weights array<double>")
+        rows = pa.table({"pos": np.arange(n_genes, dtype=np.int32), "weights": matrix_list(loadings)})
+        frame = exp.spark.createDataFrame(rows)
         table = materialize(gene_positions(exp.genes).join(frame, "pos").select("gene_idx", "weights"), "loadings")
         return exp.evolve(
             "correct_batches", params,

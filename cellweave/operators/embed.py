@@ -12,7 +12,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,8 +146,7 @@ class _Layout:
 
     def result(self) -> DataFrame:
         self.rows.unpersist()
-        frame = pd.DataFrame({"cell_idx": self.ids, "vec": list(self.at)})
-        return self.spark.createDataFrame(frame, "cell_idx long, vec array<double>")
+        return self.spark.createDataFrame(pa.table({"cell_idx": pa.array(self.ids, pa.int64()), "vec": matrix_list(self.at)}))
 
 
 def _row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -80,9 +80,13 @@ def stack(objects: Sequence[Experiment]) -> tuple[DataFrame, DataFrame, DataFram
     cell_columns = shared([e.cells for e in objects])
     gene_columns = shared([e.genes for e in objects])
     exprs, cells, genes = [], [], []
+    free = 0  # below the first key that no earlier batch uses, whatever strides its own keys have
     for i, exp in enumerate(objects, 1):
         batch = F.lit(i).alias("batch")
-        shift = (F.col("cell_idx") + F.lit(i * CELL_STRIDE)).alias("cell_idx")
+        low, high = exp.cells.agg(F.min("cell_idx"), F.max("cell_idx")).first()
+        low, high = low or 0, high or 0
+        shift = (F.col("cell_idx") + F.lit(free - low)).alias("cell_idx")
+        free += high - low + 1
         exprs.append(exp.expr.select(batch, shift, "gene_idx", "count"))
         cells.append(exp.cells.select(batch, shift, *[c for c in cell_columns if c != "cell_idx"]))
         genes.append(exp.genes.select(batch, *gene_columns))

@@ -146,8 +146,8 @@ def gene_scores(loadings: DataFrame, components: DataFrame) -> DataFrame:
 
 def loading_table(genes: DataFrame, loadings: np.ndarray) -> DataFrame:
     """``(gene_idx, pc, loading)`` for the bounded gene selection of the components."""
-    rows = pd.DataFrame({"pos": np.arange(len(loadings)), "row": list(loadings)})
-    frame = genes.sparkSession.createDataFrame(rows, "pos int, row array<double>")
+    rows = pa.table({"pos": np.arange(len(loadings), dtype=np.int32), "row": matrix_list(loadings)})
+    frame = genes.sparkSession.createDataFrame(rows)
     return (
         gene_positions(genes).join(frame, "pos").select("gene_idx", F.posexplode("row").alias("pc", "loading"))
     )

@@ -180,7 +180,7 @@ def labels_of(spark, folder, sample: DataFrame) -> DataFrame:
 
 
 def partition_edges(spark, folder) -> DataFrame:
-    pool = materialize(sampling.presample(vectors(spark, folder), SEED), "pool")
+    pool = materialize(vectors(spark, folder), "pool")
     return graph.graph_edges(knn.nearest(pool, pool, sampling.GRAPH_NEIGHBOURS))
 
 

@@ -8,12 +8,24 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from cellweave.model import Experiment
-from cellweave.session import local_session, materialize
+from pyspark.sql import SparkSession
+
+from cellweave.session import materialize
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8")
+    """A plain session: only what any session has, no setting of the library's own."""
+    session = (
+        SparkSession.builder.master("local[8]")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "8g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
 

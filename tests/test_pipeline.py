@@ -127,3 +127,18 @@ def test_mutual_neighbour_correction(batches):
     clustered = cw.cluster_cells(corrected, method="kmeans", centers=3, seed=1)
     rows, truth = batch_truth(clustered)
     assert agreement(rows["cluster_id"], truth) > 0.9
+
+
+def test_stack_keeps_cells_apart(spark):
+    """Keys of an experiment read from two directories, and of merged ones, do not meet those of another batch."""
+    from cellweave.operators.merge import CELL_STRIDE, stack
+
+    counts, _ = planted_counts(n_cells=20, n_genes=12)
+    one, two = experiment(spark, counts), experiment(spark, counts)
+    moved = F.when(F.col("cell_idx") >= 10, F.col("cell_idx") + CELL_STRIDE).otherwise(F.col("cell_idx"))
+    wide = one.evolve("moved", {}, expr=one.expr.withColumn("cell_idx", moved), cells=one.cells.withColumn("cell_idx", moved))
+    expr, cells, _ = stack([wide, two])
+    assert cells.select("cell_idx").distinct().count() == 40
+    assert expr.select("cell_idx", "gene_idx").distinct().count() == 2 * one.expr.count()
+    again, all_cells, _ = stack([wide.evolve("x", {}, expr=expr.drop("batch"), cells=cells.drop("batch")), wide])
+    assert all_cells.select("cell_idx").distinct().count() == 60

@@ -1,3 +1,144 @@
 """The queries' results as SQL, where SQL can express them."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from cellweave.llm.common import UPPER_LETTERS
+from cellweave.llm.host_rules import MAX_RATE
+from cellweave.llm.queries import LISTED_NAMES, URL_RULES
+from cellweave.llm.secrets import BASE_RULES, RULES
+
+LOWERED = f"translate(coalesce(text, ''), '{UPPER_LETTERS}', '{UPPER_LETTERS.lower()}')"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPACED_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def decontamination() -> str:
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all({LOWERED}, '{WORD}') AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, list_slice(ws, p, p + least(13, len(ws)) - 1) AS w
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS p FROM items WHERE len(ws) > 0)
+),
+sizes AS (SELECT DISTINCT len(w) AS n FROM windows),
+places AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, sizes WHERE len(ws) >= n),
+hits AS (
+  SELECT doc_id, p, n, item_id FROM (SELECT doc_id, p, n, list_slice(ws, p, p + n - 1) AS w FROM places) JOIN windows USING (w)
+),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def host_rules() -> str:
+    def rate(rule: str) -> str:
+        return f"""SELECT greatest(2, CASE WHEN count(*) > 1 AND var_samp(({rule} + 0.5) / (n + 1)) > 0
+             THEN avg(({rule} + 0.5) / (n + 1)) * (1 - avg(({rule} + 0.5) / (n + 1))) / var_samp(({rule} + 0.5) / (n + 1)) - 1
+             ELSE 2 END) AS weight, avg(({rule} + 0.5) / (n + 1)) AS mean FROM hosts"""
+
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACED_WORD}') AS ws FROM documents
+),
+triples AS (SELECT doc_id, p, list_slice(ws, p, p + 2) AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM d)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w) AS n FROM triples) WHERE n > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM again) GROUP BY doc_id
+),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dups AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '{SPACED_WORD}') GROUP BY doc_id
+),
+measured AS (
+  SELECT d.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id)
+),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS base,
+         count(*) FILTER (10 * n_symbols > word_chars) AS symbols, count(*) FILTER (20 * n_dup_lines > n_words) AS dup
+  FROM judged GROUP BY source
+),
+p1 AS ({rate("base")}), p2 AS ({rate("symbols")}), p3 AS ({rate("dup")}),
+verdicts AS (
+  SELECT source, greatest((base + p1.mean * p1.weight) / (n + p1.weight), (symbols + p2.mean * p2.weight) / (n + p2.weight),
+                          (dup + p3.mean * p3.weight) / (n + p3.weight)) AS host_rate
+  FROM hosts, p1, p2, p3
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND host_rate <= {MAX_RATE} AS kept
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
+"""
+
+
+def url_filter() -> str:
+    rules = ", ".join(f"('{r}', '{v}')" for r, v in URL_RULES.items())
+    names = ", ".join(f"'{n}'" for n in LISTED_NAMES)
+    canonical = r"regexp_replace(host, '^www\.', '') || regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '')"
+    return f"""
+WITH rules(rule, verdict) AS (VALUES {rules}),
+parted AS (
+  SELECT page_id, row_number() OVER () AS r,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER_LETTERS}', '{UPPER_LETTERS.lower()}') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+),
+listed AS (
+  SELECT DISTINCT {canonical} AS entry FROM parted WHERE list_has_any(string_split(host, '.'), [{names}])
+),
+fits AS (
+  SELECT r, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+  FROM parted JOIN rules
+    ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+   AND starts_with(path, rule[instr(rule, '/'):])
+  GROUP BY r
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN host <> '' AND {canonical} IN (SELECT entry FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parted LEFT JOIN fits USING (r)
+"""
+
+
+def secrets() -> str:
+    parts = []
+    for order, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {order} AS ord, '{rule.kind}' AS kind, m[i] AS found, length(g[i]) AS tested,
+       list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS s
+FROM (SELECT doc_id, m, g, gaps, unnest(range(1, len(m) + 1)) AS i FROM (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}', 0) AS m,
+         regexp_extract_all(coalesce(text, ''), '{pattern}', {rule.group}) AS g,
+         string_split_regex(coalesce(text, ''), '{pattern}') AS gaps FROM documents) WHERE len(m) > 0)
+WHERE tested >= {rule.least}"""
+        )
+    counts = ", ".join(
+        f"(count(*) FILTER (ord = {i}))::BIGINT AS n_{r.kind}" for i, r in enumerate(BASE_RULES)
+    )
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in BASE_RULES)
+    named = "string_agg(kind || ':' || s::BIGINT || ':' || (s + length(found))::BIGINT, ',' ORDER BY s, ord)"
+    return f"""
+WITH spans AS ({" UNION ALL ".join(parts)}),
+summed AS (
+  SELECT doc_id, {counts}, {named} FILTER (ord < {len(BASE_RULES)}) AS base, {named} AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN summed USING (doc_id)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontamination(),
+    "op3_host_rules": host_rules(),
+    "op8_url_filter": url_filter(),
+    "op9_secrets": secrets(),
+}

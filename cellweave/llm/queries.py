@@ -36,11 +36,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    tests = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.contamination(docs, tests).drop("n_near")
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return host_rules.judge(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("host_rate")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

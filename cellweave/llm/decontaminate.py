@@ -111,6 +111,8 @@ def _searcher(test, slop: int):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, texts = test.value
+        if not any(map(words, texts)):
+            return
         vocabulary, found, owners = windows(texts)
         width = max(map(len, found), default=0)
         grid = np.array([w + [w[0]] * (width - len(w)) for w in found], np.int64).reshape(-1, width)

@@ -15,8 +15,9 @@ id; every text is then scored whole.
 
 Defined cases: null and empty texts get the score of a sentence without suspicious
 words; repeated rows and ids are kept, labels of an id that occurs more than once are
-one label, toxic if any is; null labels are no labels; without toxic or clean labels
-every text gets the share of toxic labels (0 with none) as its score; an empty table
+one label, toxic if any is; null labels are no labels; without toxic or clean labels,
+or with no string that tells them apart, every text gets the share of toxic labels (0
+with none) as its score; an empty table
 gives an empty result. Only the named columns are read.
 """
 
@@ -291,11 +292,12 @@ def _calibrate(margin: np.ndarray, positive: np.ndarray, weight: np.ndarray) ->
 def fit(toxic: list[str], clean: list[str], share: float) -> Model:
     """``share`` is that of toxic texts among the labelled ones; the sample may have another."""
     toxic, clean = without_copies(toxic), without_copies(clean)
-    if not toxic or not clean:
+    landmarks = choose_landmarks(toxic, clean) if toxic and clean else []
+    if not landmarks:
         model = Model([])
         model.shift = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return model
-    model = Model(choose_landmarks(toxic, clean))
+    model = Model(landmarks)
     scorer = Scorer(model)
 
     def hardest(text: str) -> np.ndarray:

@@ -120,7 +120,7 @@ def test_decontamination_by_brute_force(spark, docs, empty):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
     assert decontaminate.contamination(empty, tests).count() == 0
     assert decontaminate.contamination(docs, tests.limit(0)).filter("contaminated").count() == 0
-    near = spark.createDataFrame([(1, "alpha5 beta5 xx alpha6 beta6 alpha7 beta7 alpha8")], "item_id long, text string")
+    near = spark.createDataFrame([(1, "alpha5 beta5 beta6 alpha7 beta7 alpha8")], "item_id long, text string")
     assert decontaminate.contamination(docs, near, slop=2).filter("n_near = 1 AND n_hit = 0").count() == 4
 
 
@@ -138,9 +138,11 @@ def test_host_rules(docs, empty):
 
 
 def test_toxicity(spark, empty):
-    insults, plain = ["blorg", "snarfle"], [f"word{i}" for i in range(80)]
-    made = [" ".join(plain[(i * 7 + k) % 80] for k in range(25)) + (f" {insults[i % 2]} end" if i % 3 == 0 else "") for i in range(180)]
-    made += ["then b l o r g came", "snar-fle word1 word2", None, ""]
+    rng = np.random.default_rng(1)
+    insults = ["blorg", "snarfle"]
+    plain = ["".join(rng.choice(list("aeioutnrsd"), 6)) for _ in range(3000)]
+    made = [" ".join(rng.choice(plain, 25)) + (f" {insults[i % 2]} end" if i % 3 == 0 else "") for i in range(180)]
+    made += ["then b l o r g came", f"snar-fle {plain[0]}", None, ""]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(180)] + [(None, 1), (1, None)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.judge(docs, labels).collect()}

@@ -20,6 +20,16 @@ from cellweave.plans import figures
 from tests.conftest import experiment
 
 
+@pytest.fixture(scope="module", autouse=True)
+def numpy_rows(spark):
+    """These tests make their own inputs from lists of numpy rows, which only Arrow takes; other modules run without it."""
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    spark.conf.set(key, "true")
+    yield
+    spark.conf.unset(key)
+
+
+
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 

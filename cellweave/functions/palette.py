@@ -8,7 +8,7 @@ PAIRED = ["#A6CEE3", "#1F78B4", "#B2DF8A", "#33A02C", "#FB9A99", "#E31A1C", "#FD
           "#6A3D9A", "#FFFF99", "#B15928"]
 TWENTY = ["#00FE0A", "#FF0000", "#BDED1B", "#794B05", "#C3BEB7", "#0000FF", "#00FFFF", "#FF21D3", "#81B7DD", "#F87791",
           "#1E7309", "#FC9A07", "#625B51", "#6A09C3", "#189FF5", "#D19D00", "#0EBF06", "#88FFB3", "#F6FC2A", "#000000"]
-HEAT = ["red", "darkorange4", "gray15", "black", "yellow4", "yellow", "greenyellow"]
+HEAT = ["#FF0000", "#8B4500", "#262626", "#000000", "#8B8B00", "#FFFF00", "#ADFF2F"]
 HEAT_STEPS = 100
 
 
@@ -26,6 +26,11 @@ def ramp(colors: list[str], n: int) -> list[str]:
     return out
 
 
+def heat_colors(n: int = HEAT_STEPS) -> list[str]:
+    """Colours of a heatmap's values, from low to high."""
+    return ramp(HEAT, n)
+
+
 def cluster_colors(n: int) -> list[str]:
     if n <= 9:
         return ramp(SET1, n)

@@ -22,10 +22,9 @@ from cellweave.operators.sampling import presample
 from cellweave.operators.vectors import dense_vectors, gene_positions, list_matrix, matrix_list
 from cellweave.session import materialize
 
-# Smallest value that can be close to another, most genes dropped
-# by the thinning, neighbours and dimensions of the mutual-neighbour method.
+# Smallest value that can be close to another, neighbours and
+# dimensions of the mutual-neighbour method.
 CLOSE_FLOOR = 0.001
-MAX_REMOVED = 1000
 MNN_NEIGHBOURS = 20
 MNN_DIMENSIONS = 50
 MNN_REACH = 3
@@ -127,21 +126,27 @@ def close_gene_pairs(
     return near.join(first, "g1").join(second, "g2").select("gene1", "gene2", "n_close")
 
 
-def removable_genes(pairs: DataFrame, limit: int = MAX_REMOVED) -> DataFrame:
-    """First genes of close pairs, the ``limit`` smallest.
+def removable_genes(pairs: DataFrame, limit: int | None = None) -> DataFrame:
+    """First genes of close pairs; with a ``limit`` the smallest so many.
 
     A gene only ever goes as the first of a pair, and its partners come later in
     the order, so no earlier removal can save it: the sequential walk over the
     pairs equals this set.
     """
-    return pairs.select(F.col("gene1").alias("gene_idx")).distinct().orderBy("gene_idx").limit(limit)
+    found = pairs.select(F.col("gene1").alias("gene_idx")).distinct()
+    return found if limit is None else found.orderBy("gene_idx").limit(limit)
 
 
 def reduce_genes(
-    expr: DataFrame, cells: DataFrame, genes: DataFrame, close_th: float = 0.01, cells_th: float = 0.05
+    expr: DataFrame,
+    cells: DataFrame,
+    genes: DataFrame,
+    close_th: float = 0.01,
+    cells_th: float = 0.05,
+    limit: int | None = None,
 ) -> DataFrame:
     """The genes that remain after thinning."""
-    removed = removable_genes(close_gene_pairs(expr, cells, genes, close_th, cells_th))
+    removed = removable_genes(close_gene_pairs(expr, cells, genes, close_th, cells_th), limit)
     return genes.join(removed, "gene_idx", "left_anti")
 
 
@@ -240,14 +245,16 @@ def correct_batches(
     components: int = 2,
     d: int = MNN_DIMENSIONS,
     k: int = MNN_NEIGHBOURS,
+    max_removed: int | None = None,
     seed: int = 0,
     **umap,
 ) -> Experiment:
     """Add the corrected dimensions ``CComponents``.
 
     ``default``: thin the marker genes, rank-transform every cell (``RankMat``)
-    and embed the ranks; the embedding is fitted on sampled cells and all others
-    are placed by their neighbours. ``fastmnn``: principal components of all
+    and embed the ranks; the embedding is fitted on the flagged sample, or on a
+    pre-sample where no cells are flagged, and all others are placed by their
+    neighbours. At most ``max_removed`` genes go in the thinning. ``fastmnn``: principal components of all
     genes, aligned by mutual nearest neighbours.
     """
     exp.require("batch")
@@ -271,7 +278,7 @@ def correct_batches(
     genes = exp.genes.where("common_de") if "common_de" in exp.genes.columns else exp.genes
     genes = materialize(genes.select("gene_idx"), "genes")
     chosen = materialize(logged.join(genes, "gene_idx", "left_semi"), "logged")
-    kept = materialize(reduce_genes(chosen, exp.cells, genes, close_th, cells_th), "kept")
+    kept = materialize(reduce_genes(chosen, exp.cells, genes, close_th, cells_th, max_removed), "kept")
     ranks = materialize(rank_transform(chosen.join(kept, "gene_idx", "left_semi")), "ranks")
     vectors = materialize(dense_vectors(ranks, exp.cells, kept, F.col("rank")), "vectors")
     if "sampled" in exp.cells.columns:

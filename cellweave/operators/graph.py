@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from cellweave.session import materialize, materialize_with
 
+# Rounds without a rise of the modularity by so much after which a level ends.
+PATIENCE = 2
+LEAST_RISE = 1e-4
+
 
 def graph_edges(knn: DataFrame) -> DataFrame:
     """Undirected simple graph: ``src < dst``, no loops, no repeated edges."""
@@ -50,15 +54,16 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: int = 5) -> DataFrame:
+def louvain(edges: DataFrame, seed: int = 0) -> DataFrame:
     """``(node, community)`` by modularity optimisation, communities numbered by size.
 
     Every sweep is one distributed round: links meet the community of their far
     end, are summed per (node, community), and each node takes its best gain. A
-    seeded coin lets about half of the nodes move per round, which stops two
-    neighbours from swapping places forever. A level ends when few nodes move;
-    its communities become the nodes of the next level. State is written after
-    every round, so lineage stays short.
+    seeded coin lets about half of the nodes move per round, so that two neighbours
+    do not swap places for ever. A level ends when no node gains by moving or
+    ``PATIENCE`` rounds did not raise the modularity by ``LEAST_RISE``; its communities become the
+    nodes of the next level. When no level gains any more, the single nodes move
+    once again. State is written after every round, so lineage stays short.
     """
     loops = F.struct("src", F.col("src").alias("dst"), F.lit(0.0).alias("w"))
     step = F.struct("src", "dst", F.lit(1.0).alias("w"))
@@ -68,21 +73,15 @@ def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: i
     members = links.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("community"))
     if not total:
         return members.withColumn("community", F.lit(1))
-    best_q = -1.0
-    for level in range(max_levels):
-        state = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select(
-            "node", "k", F.col("node").alias("community"), F.lit(seed + 97 * level).alias("turn")
+    single, best_q, turn = links, -1.0, seed
+    while True:
+        alone = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).select(
+            "node", "k", F.col("node").alias("community"), F.lit(turn).alias("turn")
         )
-        for _ in range(max_sweeps):
-            state, seen = materialize_with(
-                _sweep(links, state, total), "state", nodes=F.count(F.lit(1)), moved=F.sum(F.col("moved").cast("long"))
-            )
-            if seen["moved"] <= seen["nodes"] // 100:
-                break
-        placed = state.select("node", "community")
+        placed, turn = _settled(links, alone, total)
         links = materialize(_contract(links, placed), "links")
         q = _quality(links, total)
-        if q <= best_q + 1e-7:
+        if q <= best_q + LEAST_RISE:
             break
         best_q = q
         members = materialize(
@@ -90,13 +89,37 @@ def louvain(edges: DataFrame, seed: int = 0, max_levels: int = 10, max_sweeps: i
             .select("node", F.col("upper").alias("community")),
             "members",
         )
-        if seen["moved"] == 0 and seen["nodes"] == 1:
-            break
-    return number_by_size(members)
+    degree = single.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    merged = degree.join(members, "node").select("node", "k", "community", F.lit(turn).alias("turn"))
+    return number_by_size(_settled(single, merged, total)[0])
+
+
+def _settled(links: DataFrame, state: DataFrame, total: float) -> tuple[DataFrame, int]:
+    """``(node, community)`` of the best round, and the next round's number.
+
+    The sum of what every node holds by staying is the modularity of the round's
+    input, but for a constant and the factor ``total``.
+    """
+    best, best_held, stale, turns = state, None, 0, 0
+    while True:
+        after, seen = materialize_with(
+            _sweep(links, state, total),
+            "state",
+            held=F.sum("stay"),
+            moved=F.sum(F.col("moved").cast("long")),
+            turn=F.max("turn"),
+        )
+        if best_held is None or seen["held"] > best_held + LEAST_RISE * total:
+            best, best_held, stale = state, seen["held"], 0
+        else:
+            stale += 1
+        if not seen["moved"] or stale >= PATIENCE:
+            return best.select("node", "community"), seen["turn"]
+        state = after.drop("stay")
 
 
 def _sweep(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
-    """``(node, k, community, turn, moved)`` after one round.
+    """``(node, k, community, turn, moved, stay)`` after one round; ``stay`` is what the node held before.
 
     Every node has a loop row, which carries its own community without adding to
     its pull, so no node is lost and staying is always among the choices.
@@ -120,7 +143,7 @@ def _sweep(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
     active = F.pmod(F.xxhash64("src", "turn"), F.lit(2)) == 0
     better = F.coalesce(F.col("best.gain") > F.col("stay") + 1e-9, F.lit(False))
     return choice.select(
-        F.col("src").alias("node"), "k", (F.col("turn") + 1).alias("turn"), better.alias("moved"),
+        F.col("src").alias("node"), "k", (F.col("turn") + 1).alias("turn"), better.alias("moved"), "stay",
         F.when(better & active, -F.col("best.minus")).otherwise(F.col("home")).alias("community"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,22 +63,30 @@ def nearest(
     with tiles of cells through a shuffle; the k best of every tile pair meet
     again by cell. Both ways give the same rows.
     """
+    return searcher(samples, k, metric, budget)(queries)
+
+
+def searcher(
+    samples: DataFrame, k: int, metric: str = "cosine", budget: int = BROADCAST_BYTES
+) -> Callable[[DataFrame], DataFrame]:
+    """``nearest`` for a sample that is prepared once and asked again and again."""
     samples = materialize(samples.select("cell_idx", "vec"), "sample")
     n, width = samples.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     if not n:
         raise ValueError("no sampled cells to search")
-    queries = queries.select("cell_idx", "vec")
-    if n * width * 8 <= budget:
-        packed = _broadcast_search(queries, samples, min(k, n), metric)
-        return packed.select(
-            "cell_idx", F.posexplode(F.arrays_zip("nn", "dist")).alias("nn_rank", "hit")
-        ).select("cell_idx", (F.col("nn_rank") + 1).alias("nn_rank"), F.col("hit.nn").alias("nn_cell_idx"), F.col("hit.dist").alias("dist"))
-    return _tiled_search(queries, samples, k, metric, max(1, min(TILE_ROWS, budget // (8 * width))))
+    if n * width * 8 > budget:
+        tile = max(1, min(TILE_ROWS, budget // (8 * width)))
+        return lambda queries: _tiled_search(queries.select("cell_idx", "vec"), samples, k, metric, tile)
+    search = _broadcast_search(samples, min(k, n), metric)
+    hit = F.posexplode(F.arrays_zip("nn", "dist")).alias("nn_rank", "hit")
+    return lambda queries: search(queries.select("cell_idx", "vec")).select("cell_idx", hit).select(
+        "cell_idx", (F.col("nn_rank") + 1).alias("nn_rank"), F.col("hit.nn").alias("nn_cell_idx"), F.col("hit.dist").alias("dist")
+    )
 
 
-def _broadcast_search(queries: DataFrame, samples: DataFrame, k: int, metric: str) -> DataFrame:
+def _broadcast_search(samples: DataFrame, k: int, metric: str) -> Callable[[DataFrame], DataFrame]:
     held = samples.orderBy("cell_idx").toArrow()  # within the byte budget checked by the caller
-    model = queries.sparkSession.sparkContext.broadcast(
+    model = samples.sparkSession.sparkContext.broadcast(
         (held.column("cell_idx").to_numpy(), _prepare(list_matrix(held.column("vec")), metric))
     )
 
@@ -100,7 +108,7 @@ def _broadcast_search(queries: DataFrame, samples: DataFrame, k: int, metric: st
                 [batch.column("cell_idx"), matrix_list(nn), matrix_list(dist)], ["cell_idx", "nn", "dist"]
             )
 
-    return queries.mapInArrow(search, "cell_idx long, nn array<long>, dist array<double>")
+    return lambda queries: queries.mapInArrow(search, "cell_idx long, nn array<long>, dist array<double>")
 
 
 def _tiled_search(queries: DataFrame, samples: DataFrame, k: int, metric: str, tile: int) -> DataFrame:

@@ -8,6 +8,7 @@ sampled cells; with as many neighbours as cells that is the full matrix.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -37,16 +38,17 @@ def angular_links(vectors: DataFrame, neighbours: int) -> DataFrame:
     )
 
 
-def average_linkage(links: DataFrame, max_rounds: int = 500) -> DataFrame:
+def average_linkage(links: DataFrame) -> DataFrame:
     """``(child, parent, height, round)``: cluster ``child`` joins ``parent`` at ``height``.
 
     A cluster carries the id of its smallest cell. Two clusters are as far apart
-    as the mean of the links between them.
+    as the mean of the links between them. Every round but the last merges the
+    closest pair at least, so the rounds end.
     """
     spark = links.sparkSession
     pairs = materialize(links.select("a", "b", F.col("dist").alias("total"), F.lit(1).cast("long").alias("n")), "pairs")
     merges = spark.createDataFrame([], "child long, parent long, height double, round int")
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         far = F.round(F.col("total") / F.col("n"), 12)
         ends = pairs.select(far.alias("d"), F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"))
         choice = ends.groupBy("e.x").agg(F.min(F.struct("d", F.least("e.x", "e.y").alias("p"), F.greatest("e.x", "e.y").alias("c"))).alias("m"))

@@ -29,12 +29,16 @@ def presample_size(n: Column) -> Column:
 
 
 def presample(cells: DataFrame, seed: int = 0) -> DataFrame:
-    """All cells if fewer than 20,000, else a random third of at most 20,000."""
+    """All cells if fewer than 20,000, else a random third of at most 20,000.
+
+    The sample that models are fitted on; results for all cells are derived from them.
+    """
     return take_by_hash(cells, "cell_idx", presample_size, seed=seed)
 
 
 def random_sample(cells: DataFrame, nsamples: int = 500, seed: int = 0) -> DataFrame:
-    return take_by_hash(presample(cells, seed), "cell_idx", nsamples, seed=seed)
+    """``nsamples`` of all cells."""
+    return take_by_hash(cells, "cell_idx", nsamples, seed=seed)
 
 
 def partition_sizes(partition: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.numeric import log2p1
 from cellweave.functions.orderstats import bh_adjust
 from cellweave.functions.text import extract_field, make_unique, strip_common_suffix, zero_padded
+from cellweave.model import Experiment
 from cellweave.operators import cluster, correction, embed, graph, hvg, knn, markers, merge, normalize, pca_genes, qc, sampling
 from cellweave.operators.vectors import dense_vectors
 from cellweave.plans import figures
@@ -131,8 +132,7 @@ def random_sample(spark, folder):
 
 @query
 def stratified_sample(spark, folder):
-    labels = T.cells(spark, folder).select("cell_idx", whole("nation", "cluster_id"))
-    return sampling.stratified_sample(labels, 40, SEED)
+    return sampling.stratified_sample(T.nation_labels(spark, folder), 40, SEED)
 
 
 def segment_parts(spark, folder) -> DataFrame:
@@ -239,7 +239,7 @@ def relabel_clusters(spark, folder):
 
 @query
 def project_coords(spark, folder):
-    labels = vector_labels(spark, folder).withColumnRenamed("label", "cluster_id")
+    labels = vector_labels(spark, folder).select("cell_idx", (F.col("label") + 1).alias("cluster_id"))  # 0 is no cluster
     near, sample = sampled_knn(spark, folder)
     layout = sample.select("cell_idx", F.slice("vec", 1, 2).alias("vec"))
     placed = embed.project(near, labels, layout)
@@ -303,7 +303,7 @@ def segment_markers(spark, folder, n: int) -> DataFrame:
     """Top markers of the segments over a stratified sample, with the thresholds of the oracle."""
     labels = materialize(sampling.stratified_sample(T.segment_labels(spark, folder), 100, SEED), "labels")
     tested = markers.test_markers(norm_matrix(spark, folder, "supplier"), labels)
-    return markers.top_markers(markers.significant(tested, 0.1, 1.0), n)
+    return markers.top_markers(markers.significant(tested, 0.1, 0.95), n)
 
 
 @query
@@ -395,6 +395,31 @@ def mnn_pairs(spark, folder):
     return pairs.select("left_idx", "right_idx", rounded("dist"))
 
 
+@query
+def mnn_shifts(spark, folder):
+    """Mean difference of every mutually paired vector to its partners."""
+    held = T.vectors(spark, folder)
+    left, right = (held.where(side).select("cell_idx", "vec") for side in ("label < 5", "label >= 5"))
+    pairs = materialize(knn.mutual_pairs(left, right, correction.MNN_NEIGHBOURS), "pairs")
+    shifts = correction.pair_shifts(pairs, left, right).select("cell_idx", F.posexplode("shift").alias("dim", "shift"))
+    return shifts.select("cell_idx", whole("dim"), rounded("shift"))
+
+
+@query
+def merge_stack(spark, folder):
+    """Two experiments over the same customers, stacked with cell keys of their own."""
+    objects = [
+        Experiment(
+            T.stored_matrix(spark, folder, gene),
+            T.cells(spark, folder).select("cell_idx", "cell_id"),
+            T.genes(spark, folder, gene),
+        )
+        for gene in ("supplier", "brand")
+    ]
+    expr, _, _ = merge.stack(objects)
+    return expr.select(whole("batch"), "cell_idx", "gene_idx", rounded("count"))
+
+
 # ---- figures ----
 
 def vector_points(spark, folder) -> DataFrame:
@@ -428,7 +453,7 @@ def heatmap_zscore(spark, folder):
 
 @query
 def heatmap_label_pos(spark, folder):
-    labels = sampling.stratified_sample(T.cells(spark, folder).select("cell_idx", whole("nation", "cluster_id")), 40, SEED)
+    labels = sampling.stratified_sample(T.nation_labels(spark, folder), 40, SEED)
     return figures.label_positions(labels).select("cluster_id", whole("freq"), whole("upto"), whole("pos"))
 
 
@@ -487,12 +512,11 @@ def wide_to_long_unpivot(spark, folder):
 # ---- model fits: checked by row counts here and by invariants in the tests ----
 
 def supplier_vectors(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Log values of the most variable suppliers for a pre-sample of the customers."""
+    """Log values of the most variable suppliers for all customers."""
     expr, cells, genes = norm_matrix(spark, folder, "supplier"), T.cells(spark, folder), T.genes(spark, folder, "supplier")
     scores = materialize(hvg.dispersion_scores(materialize(hvg.gene_moments(expr, genes, cells), "moments")), "scores")
     best = materialize(hvg.flag_variable(scores, 1000).where("hvg").select("gene_idx"), "genes")
-    pool = sampling.presample(cells.select("cell_idx"), SEED)
-    return materialize(dense_vectors(expr, pool, best, log2p1("norm")), "vectors"), best
+    return materialize(dense_vectors(expr, cells.select("cell_idx"), best, log2p1("norm")), "vectors"), best
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.numeric import log2p1
 from cellweave.functions.orderstats import exact_quantiles
-from cellweave.functions.palette import cluster_colors
+from cellweave.functions.palette import cluster_colors, heat_colors
 from cellweave.model import Experiment
 from cellweave.operators.markers import check_clusters, reduce_for_markers, top_markers
 from cellweave.session import materialize
@@ -108,14 +108,14 @@ def label_positions(labels: DataFrame) -> DataFrame:
     return freq.withColumn("upto", upto).withColumn("pos", F.bround((2 * F.col("upto") - F.col("freq")) / 2).cast("long"))
 
 
-def heatmap(exp: Experiment, markers: DataFrame, selected_clusters: Sequence[int] | None = None, nDE: int = 10, seed: int = 0) -> dict:
-    """Z-scores of the top markers over sampled cells, grouped by cluster."""
-    expr, labels = reduce_for_markers(exp, seed=seed)
+def heatmap(exp: Experiment, markers: DataFrame, selected_clusters: Sequence[int] | None = None, nDE: int = 10, sample_length: int | None = 100, seed: int = 0) -> dict:
+    """Z-scores of the top markers over ``sample_length`` cells of every cluster, ``None`` for all."""
+    expr, labels = reduce_for_markers(exp, sample_length, seed=seed)
     wanted = check_clusters(labels, selected_clusters)
     labels = labels.where(F.col("cluster_id").isin(wanted))
     genes = materialize(top_markers(markers, nDE).select("gene_idx").distinct(), "genes")
     cells = z_scores(expr, labels, genes).join(labels, "cell_idx").join(exp.genes.select("gene_idx", "symbol"), "gene_idx")
-    return {"cells": cells, "labels": label_positions(labels), "colors": cluster_colors(len(wanted))}
+    return {"cells": cells, "labels": label_positions(labels), "colors": cluster_colors(len(wanted)), "heat": heat_colors()}
 
 
 def violin_values(expr: DataFrame, labels: DataFrame, genes: DataFrame) -> DataFrame:
@@ -171,9 +171,9 @@ def weighted_quantiles(freq: DataFrame, by: Sequence[str], value: str, probs: Se
     return grouped.select(*by, "n", F.array(*q).alias("q"))
 
 
-def marker_plot(exp: Experiment, gene_list: Sequence[str], seed: int = 0) -> dict:
+def marker_plot(exp: Experiment, gene_list: Sequence[str], sample_length: int | None = 100, seed: int = 0) -> dict:
     """Values and quantiles per gene and cluster for violins, three to a row."""
-    expr, labels = reduce_for_markers(exp, seed=seed)
+    expr, labels = reduce_for_markers(exp, sample_length, seed=seed)
     genes = materialize(exp.genes.where(F.col("symbol").isin(list(gene_list))).select("gene_idx", "symbol"), "genes")
     found = {r[0] for r in genes.select("symbol").collect()}
     missing = [g for g in gene_list if g not in found]

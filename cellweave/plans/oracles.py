@@ -8,7 +8,6 @@ from __future__ import annotations
 from cellweave.functions.numeric import erfc_sql
 from cellweave.operators.hvg import BIN_PROBS
 from cellweave.operators.sampling import parameter_grid
-from cellweave.sources.tables import SEGMENTS
 
 SEED = 7
 
@@ -68,9 +67,8 @@ def drawn(name: str, source: str, ident: str, quota: str, by: str = "") -> str:
                count(*) OVER ({part}) AS size FROM {source}) WHERE rn <= {quota})"""
 
 
-SEGMENT_LIST = "[" + ", ".join(f"'{s}'" for s in SEGMENTS) + "]"
-SEGMENT = f"labels AS (SELECT c_custkey AS cell_idx, list_position({SEGMENT_LIST}, c_mktsegment) AS cluster_id FROM customer)"
-NATION = "nations AS (SELECT c_custkey AS cell_idx, c_nationkey AS cluster_id FROM customer WHERE c_nationkey <> 0)"
+SEGMENT = "labels AS (SELECT c_custkey AS cell_idx, dense_rank() OVER (ORDER BY c_mktsegment) AS cluster_id FROM customer)"
+NATION = "nations AS (SELECT c_custkey AS cell_idx, c_nationkey + 1 AS cluster_id FROM customer)"
 
 
 def quota(size: str, pinit, pfin, scale) -> str:
@@ -140,7 +138,7 @@ SAMPLED_LABELS = drawn("sampled", "labels", "cell_idx", "100", "cluster_id")
 def top_markers(n: int) -> str:
     return f"""
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY qvalue, abs(lfc), gene_idx) AS rn
-            FROM qvalues WHERE lfc > 0 AND abs(lfc) >= 0.1 AND qvalue <= 1.0) WHERE rn <= {n})"""
+            FROM qvalues WHERE lfc > 0 AND abs(lfc) >= 0.1 AND qvalue <= 0.95) WHERE rn <= {n})"""
 
 
 SUPPLIER_TESTS = [matrix("supplier"), SEGMENT, rank_tests("labels")]
@@ -228,8 +226,7 @@ def oracles() -> dict[str, str]:
             drawn("kept", "lines", "cell_idx", "CASE WHEN size < 20000 THEN size ELSE least(20000, round_even(size / 3, 0)) END")),
         "random_sample": sql(
             "SELECT cell_idx FROM kept", "cells AS (SELECT c_custkey AS cell_idx FROM customer)",
-            drawn("pool", "cells", "cell_idx", "CASE WHEN size < 20000 THEN size ELSE least(20000, round_even(size / 3, 0)) END"),
-            drawn("kept", "pool", "cell_idx", "500")),
+            drawn("kept", "cells", "cell_idx", "500")),
         "stratified_sample": sql("SELECT cell_idx, CAST(cluster_id AS BIGINT) AS cluster_id FROM kept", NATION,
                                  drawn("kept", "nations", "cell_idx", "40", "cluster_id")),
         "sps_quota": sql(
@@ -262,7 +259,7 @@ def oracles() -> dict[str, str]:
         "relabel_clusters": sql("SELECT cell_idx, cluster_id FROM given LEFT JOIN numbered USING (assigned)", VECTORS, SAMPLE, KNN, VOTES, RELABEL),
         "project_coords": sql(
             "SELECT c.cell_idx, round(avg(s.vec[1]), 6) AS x, round(avg(s.vec[2]), 6) AS y FROM knn JOIN vecs c USING (cell_idx)"
-            " JOIN sample s ON s.cell_idx = nn_cell_idx AND s.label = c.label WHERE c.label <> 0 GROUP BY 1", VECTORS, SAMPLE, KNN),
+            " JOIN sample s ON s.cell_idx = nn_cell_idx AND s.label = c.label GROUP BY 1", VECTORS, SAMPLE, KNN),
         "stream_assignment": sql(f"SELECT cell_idx, {assigned(0.3)} AS cluster_id FROM votes", VECTORS, SAMPLE, KNN, VOTES),
         "marker_means_lfc": sql(
             "SELECT gene_idx, CAST(cluster_id AS BIGINT) AS cluster_id, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(lfc, 6) AS lfc FROM tested",
@@ -293,6 +290,16 @@ def oracles() -> dict[str, str]:
         "mnn_pairs": sql(
             "SELECT f.cell_idx AS left_idx, f.nn_cell_idx AS right_idx, round(f.dist, 6) AS dist FROM forth f"
             " JOIN back b ON b.cell_idx = f.nn_cell_idx AND b.nn_cell_idx = f.cell_idx", VECTORS, MNN),
+        "mnn_shifts": sql(
+            "SELECT p.cell_idx, CAST(dim - 1 AS BIGINT) AS dim, round(avg(l.vec[dim] - r.vec[dim]), 6) + 0.0 AS shift FROM"
+            " (SELECT b.cell_idx, b.nn_cell_idx FROM forth f JOIN back b ON b.cell_idx = f.nn_cell_idx AND b.nn_cell_idx = f.cell_idx) p"
+            " JOIN lefts l ON l.cell_idx = p.nn_cell_idx JOIN rights r ON r.cell_idx = p.cell_idx,"
+            " (SELECT unnest(range(1, (SELECT max(len(vec)) FROM vecs) + 1)) AS dim) GROUP BY 1, 2", VECTORS, MNN),
+        "merge_stack": (
+            f"WITH one AS (WITH {matrix('supplier')} SELECT * FROM expr), two AS (WITH {matrix('brand')} SELECT * FROM expr),"
+            " ends AS (SELECT min(c_custkey) AS low, max(c_custkey) AS high FROM customer)"
+            " SELECT CAST(1 AS BIGINT) AS batch, cell_idx - low AS cell_idx, gene_idx, round(cnt, 6) AS count FROM one, ends"
+            " UNION ALL SELECT 2, cell_idx - low + high - low + 1, gene_idx, round(cnt, 6) FROM two, ends"),
         "scatter_label_centers": sql(
             "SELECT CAST(label AS BIGINT) AS label, round(median(vec[1]), 6) AS x, round(median(vec[2]), 6) AS y, count(*) AS n FROM vecs GROUP BY label", VECTORS),
         "scatter_point_size": sql(

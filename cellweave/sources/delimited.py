@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.text import make_unique, zero_padded
@@ -49,13 +49,24 @@ def wide_to_long(wide: DataFrame, keys: Sequence[str], columns: Sequence[str], n
     return wide.unpivot(list(keys), list(columns), name, value).where(F.col(value) != 0)
 
 
+def split_fields(line: Column, sep: str, quote: str = '"') -> Column:
+    """Trimmed fields of a line, quotes taken away, in one pass over it.
+
+    Every second piece between quotes stands inside them; its separators are
+    hidden behind a character that text files do not hold.
+    """
+    hidden = F.lit("\x00")
+    if quote:
+        pieces = F.split(line, re.escape(quote), -1)
+        shown = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(sep), hidden)).otherwise(p))
+        line = F.when(F.contains(line, F.lit(quote)), F.array_join(shown, "")).otherwise(line)
+    return F.transform(F.split(line, re.escape(sep), -1), lambda f: F.trim(F.replace(f, hidden, F.lit(sep))))
+
+
 def _read_one(spark: SparkSession, path: str, sep: str, header: bool, quote: str):
     """``(expr, cells, genes)`` of one file; only the header line visits the driver."""
     lines = numbered_lines(spark, path).where(F.trim("line") != "")
-    # Separators outside quotes: an even number of quotes follows.
-    q = re.escape(quote)
-    splitter = re.escape(sep) + (f"(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)" if quote else "")
-    fields = F.transform(F.split("line", splitter), lambda f: F.trim(F.regexp_replace(f, q, "")) if quote else F.trim(f))
+    fields = split_fields(F.col("line"), sep, quote)
     first = lines.select(fields.alias("f")).where(F.col("idx") == 0).first()
     if first is None:
         raise ValueError(f"{path} is empty")

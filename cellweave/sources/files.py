@@ -12,6 +12,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def last_change(spark: SparkSession, folder: str) -> int:
+    """Time of the latest change of anything right below a folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max((f.getModificationTime() for f in system.listStatus(target)), default=0)
+
+
 def numbered_lines(spark: SparkSession, file: str) -> DataFrame:
     """``(idx, line)`` with 0-based line numbers, read in parallel.
 

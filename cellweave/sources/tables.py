@@ -8,21 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.session import materialize
-from cellweave.sources.files import exists
+from cellweave.sources.files import exists, last_change
 
 _written: dict[tuple, DataFrame] = {}
 
 
 def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table written once per session, again if its files were cleaned away."""
-    key = (spark.sparkContext.applicationId, *key)
+    """A table written once per session, again if its inputs have changed or its files were cleaned away.
+
+    ``key`` begins with the folder of the inputs.
+    """
+    key = (spark.sparkContext.applicationId, *key, last_change(spark, key[0]))
     held = _written.get(key)
     if held is None or not all(exists(spark, f) for f in held.inputFiles()[:1]):
-        _written[key] = materialize(build(), "-".join(str(k) for k in key[2:]))
+        _written[key] = materialize(build(), "-".join(str(k) for k in key[2:-1]))
     return _written[key]
 
 
@@ -81,14 +84,17 @@ def genes(spark: SparkSession, folder: str, gene: str = "part") -> DataFrame:
     )
 
 
-# The market segments of the schema, numbered in name order.
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+def segment_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """``(cell_idx, cluster_id)`` with the market segment as the cluster, numbered from 1 in name order."""
+    held = cells(spark, folder)
+    order = Window.partitionBy(F.lit(0)).orderBy("segment")  # one row per segment
+    numbers = held.select("segment").distinct().withColumn("cluster_id", F.row_number().over(order))
+    return held.join(numbers, "segment").select("cell_idx", "cluster_id")
 
 
-def segment_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """``(cell_idx, cluster_id)`` with the market segment as the cluster."""
-    number = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("segment"))
-    return cells(spark, folder).select("cell_idx", number.cast("int").alias("cluster_id"))
+def nation_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """``(cell_idx, cluster_id)`` with the nation as the cluster; keys count from 0, clusters from 1."""
+    return cells(spark, folder).select("cell_idx", (F.col("nation") + 1).cast("long").alias("cluster_id"))
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,16 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cellweave.operators.cluster import vote
-from cellweave.operators.knn import nearest
+from cellweave.operators.knn import nearest, searcher
 
 
 def assign_batch(vectors: DataFrame, samples: DataFrame, labels: DataFrame, k_nn: int = 10, conf: float = 0.75) -> DataFrame:
     """``(cell_idx, cluster_id)`` for ``(cell_idx, vec)``; NULL below the confidence."""
-    votes = vote(nearest(vectors, samples, k_nn + 1), labels, conf)
-    return votes.select("cell_idx", votes["assigned"].alias("cluster_id"))
+    return _voted(nearest(vectors, samples, k_nn + 1), labels, conf)
+
+
+def _voted(knn: DataFrame, labels: DataFrame, conf: float) -> DataFrame:
+    return vote(knn, labels, conf).select("cell_idx", F.col("assigned").alias("cluster_id"))
 
 
 def assign_stream(
@@ -33,11 +37,13 @@ def assign_stream(
 ) -> StreamingQuery:
     """Assign every micro-batch of ``stream(cell_idx, vec)`` and hand it to ``sink(df, epoch)``.
 
-    A sink that overwrites by epoch makes the result exactly-once.
+    The sample is prepared once, before the first batch. A sink that overwrites
+    by epoch makes the result exactly-once.
     """
+    search = searcher(samples, k_nn + 1)
 
     def each(batch: DataFrame, epoch: int) -> None:
-        sink(assign_batch(batch, samples, labels, k_nn, conf), epoch)
+        sink(_voted(search(batch), labels, conf), epoch)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import cellweave as cw
 from cellweave.operators.cluster import vote
 from cellweave.operators.knn import nearest
+from cellweave.sources.delimited import split_fields
 from cellweave.sources.files import numbered_lines
 from cellweave.streaming.assign import assign_stream
 from tests.conftest import experiment, planted_counts
@@ -123,3 +124,16 @@ def test_stream_gives_the_batch_answer(spark, tmp_path):
     got = {r.cell_idx: r.cluster_id for r in spark.read.parquet(out).collect()}
     want = {r.cell_idx: r.assigned for r in vote(nearest(pool, sample, 5), labels, 0.3).collect()}
     assert got == want
+
+
+def test_fields_are_split_outside_quotes_only(spark):
+    lines = ['a,b,,c,', '"a,b", c ,"d"', '"x,y,z"', '', 'p"q,r"s,t']
+    held = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    found = [r.f for r in held.orderBy("i").select(split_fields(F.col("line"), ",").alias("f")).collect()]
+    assert found == [["a", "b", "", "c", ""], ["a,b", "c", "d"], ["x,y,z"], [""], ["pq,rs", "t"]]
+
+
+def test_a_wide_line_is_split_in_one_pass(spark):
+    wide = spark.range(2).select(F.concat(F.lit('"g,1",'), F.repeat(F.lit("7,"), 200_000)).alias("line"))
+    sizes = wide.select(F.size(split_fields(F.col("line"), ",")).alias("n")).collect()
+    assert [r.n for r in sizes] == [200_002, 200_002]

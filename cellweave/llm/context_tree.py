@@ -4,9 +4,14 @@ A byte is eight binary decisions; each decision has a tree of contexts, the prec
 bytes from the last backwards, down to ``DEPTH``. A node's counts of zeros and ones
 give a Krichevsky-Trofimov estimate; its weighted probability is half its own estimate
 and half the product of its children's. The share of the own half is what the node's
-estimate weighs against longer contexts in a prediction. Nodes that have seen few
-decisions are leaves: the least count rises with the training bytes, so that at most
-``NODES`` nodes of each depth are kept and the model can be broadcast at any size.
+estimate weighs against longer contexts in a prediction. Every node that has seen two
+decisions is kept, in written tables; a node that has seen one is a leaf.
+
+No task holds the tree. The texts are cut into blocks, and every block counts its
+distinct grams. Grams and nodes that share their last two context bytes meet in one
+task, which works out the grams' probabilities (at most 2^24 grams have these bytes in
+common); nodes of shorter contexts, at most 255 * 257, are broadcast. The
+probabilities then meet the blocks that asked for them.
 
 A text is its lower-cased bytes and an end byte; its score is the sum of the log10
 probabilities of these, and the code length per byte is that in bits, negated.
@@ -36,9 +41,11 @@ from cellweave.llm.common import LOWER, blocks, id_remainder, texts_of
 from cellweave.session import materialize, materialize_with
 
 DEPTH = 4
-NODES = 1 << 18
 END = 0
 
+#: Decisions a node must have seen to be kept.
+LEAST = 2
+
 #: Words whose counts are sent to every task.
 COMMON = 100_000
 
@@ -52,6 +59,14 @@ SCORED_BYTES = 1 << 20
 #: Entries of a task's store of byte probabilities.
 STORED_GRAMS = 1 << 19
 
+#: A block of texts that are scored together ends at this many bytes, or grams counted in its pieces.
+BLOCK_BYTES = 32 << 20
+BLOCK_GRAMS = 8 << 20
+
+#: Distinct grams whose probabilities are worked out in one group, on average, and at once.
+GROUP_GRAMS = 200_000
+TREE_GRAMS = 500_000
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return id_remainder(doc_id, 10) == 0
@@ -103,6 +118,55 @@ def _counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["gram", "n"])
 
 
+BLOCKS = "doc_id {id}, row long, block long, text binary, gram long, n long"
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of all parts with their summed counts."""
+    code, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(n[order], first)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows ``(doc_id, row, block, text)`` and, for each block, its grams with their counts in training texts."""
+    row = block = TaskContext.get().partitionId() << 40
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def batch(count: int, **columns: pa.Array) -> pa.RecordBatch:
+        types = {"doc_id": id_type, "row": pa.int64(), "block": pa.int64(), "text": pa.binary(), "gram": pa.int64(), "n": pa.int64()}
+        arrays = [columns.get(c, pa.nulls(count, t)) for c, t in types.items()]
+        return pa.RecordBatch.from_arrays(arrays, names=list(types))
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        code, n = _merged(parts)
+        for lo in range(0, len(code), 100_000):
+            some = code[lo : lo + 100_000]
+            at = pa.array(np.full(len(some), block))
+            yield batch(len(some), block=at, gram=pa.array(some), n=pa.array(n[lo : lo + 100_000]))
+
+    for rows, texts in blocks(batches, 1, COUNTED_BYTES):
+        id_type = rows.column(0).type
+        more = sum(map(len, texts))
+        if parts and (size + more > BLOCK_BYTES or sum(len(c) for c, _ in parts) > BLOCK_GRAMS):
+            yield from counted()
+            block, size, parts = block + 1, 0, []
+        size += more
+        held = rows.column(2).to_pylist()
+        for out in (False, True):
+            code, n = np.unique(grams([t for t, h in zip(texts, held) if h == out]), return_counts=True)
+            parts.append((code, np.zeros_like(n) if out else n))
+        count = len(texts)
+        at = pa.array(np.full(count, block))
+        yield batch(count, doc_id=rows.column(0), row=pa.array(np.arange(row, row + count)), block=at, text=pa.array(texts, pa.binary()))
+        row += count
+    if parts:
+        yield from counted()
+
+
 def _log_gamma(x: Column) -> Column:
     """Stirling's series at x + 8, brought back by the recurrence; x is at least a half."""
     z = x + 8
@@ -142,13 +206,13 @@ def _decisions(counted: DataFrame) -> DataFrame:
 
 
 def tree_nodes(texts: DataFrame) -> DataFrame:
+    """The kept nodes of the texts."""
+    counted = texts.mapInArrow(_counted_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return kept_nodes(materialize(counted, "grams"))
+
+
+def kept_nodes(counted: DataFrame) -> DataFrame:
     """The kept nodes ``(depth, context, bits, one, own)``: probability of a one, and weight of the own estimate."""
-    counted, totals = materialize_with(
-        texts.mapInArrow(_counted_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")),
-        "grams",
-        n=F.coalesce(F.sum("n"), F.lit(0)),
-    )
-    least = max(2, math.ceil(8 * totals["n"] / NODES))
     level = _decisions(counted).withColumn("below", F.lit(None).cast("double"))
     kept = None
     for depth in range(DEPTH, -1, -1):
@@ -159,13 +223,13 @@ def tree_nodes(texts: DataFrame) -> DataFrame:
             1 / (1 + F.exp(F.least(F.col("below") - F.col("estimate"), F.lit(700.0))))
         )
         level = level.withColumn("own", own)
-        weighted = F.when(F.col("below").isNull() | (total < least), F.col("estimate")).otherwise(
+        weighted = F.when(F.col("below").isNull() | (total < LEAST), F.col("estimate")).otherwise(
             F.when(F.col("below") > F.col("estimate"), F.col("below") + F.log1p(F.exp(F.col("estimate") - F.col("below"))))
             .otherwise(F.col("estimate") + F.log1p(F.exp(F.col("below") - F.col("estimate"))))
             - math.log(2)
         )
         level = materialize(level.withColumn("weighted", weighted), f"depth-{depth}")
-        found = level.filter(total >= least).select(
+        found = level.filter(total >= LEAST).select(
             F.lit(depth).alias("depth"), "context", "bits", ((F.col("ones") + 0.5) / (total + 1)).alias("one"), "own"
         )
         kept = found if kept is None else kept.unionByName(found)
@@ -249,7 +313,27 @@ class Store:
         return result
 
 
-def score_texts(store: Store, texts: list[bytes]) -> np.ndarray:
+class Known:
+    """Looks up the probabilities of a block's grams, by a slot of the gram's number or by search."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray) -> None:
+        order = np.argsort(code)
+        self.code, self.value = code[order], value[order]
+        self.shift = np.int64(63 - min(22, max(8, (2 * len(code)).bit_length())))
+        self.slot = np.zeros(1 << int(63 - self.shift), np.int32)
+        self.slot[self._slots(self.code)] = np.arange(len(code))
+
+    def _slots(self, code: np.ndarray) -> np.ndarray:
+        return ((code * 0x1E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF) >> self.shift
+
+    def log10(self, code: np.ndarray) -> np.ndarray:
+        at = self.slot[self._slots(code)]
+        missed = np.flatnonzero(self.code[at] != code)
+        at[missed] = np.searchsorted(self.code, code[missed])
+        return self.value[at]
+
+
+def score_texts(store: Store | Known, texts: list[bytes]) -> np.ndarray:
     """Log10 probability of each text and its end, over pieces of about ``SCORED_BYTES``."""
     sums = np.zeros(len(texts))
     first, size = 0, 0
@@ -263,14 +347,49 @@ def score_texts(store: Store, texts: list[bytes]) -> np.ndarray:
     return sums
 
 
+NODE = ("depth", "context", "bits", "one", "own")
+
+
 def collect_tree(nodes: DataFrame) -> Tree:
-    """At most ``NODES`` nodes of each depth, as arrays."""
+    """The nodes of a small tree, as arrays."""
     table = nodes.toArrow()
-    return Tree(*(table.column(c).to_numpy() for c in ("depth", "context", "bits", "one", "own")))
+    return Tree(*(table.column(c).to_numpy() for c in NODE))
+
+
+def gram_values(grams: DataFrame, nodes: DataFrame, n_grams: int) -> DataFrame:
+    """``(gram, log10)`` of distinct grams: the probability of the gram's byte after its context."""
+    table = nodes.filter("depth < 2").toArrow()
+    top = nodes.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in NODE])
+
+    def group(context: Column, name: str) -> Column:
+        return F.pmod(F.hash(context.bitwiseAND(0xFFFF)), F.lit(1 + n_grams // GROUP_GRAMS)).alias(name)
+
+    def evaluate(asked: pa.Table, held: pa.Table) -> pa.Table:
+        code = asked.column("gram").to_numpy()
+        tree = Tree(*(np.concatenate((x, held.column(c).to_numpy())) for x, c in zip(top.value, NODE)))
+        values = [tree.log10(code[lo : lo + TREE_GRAMS]) for lo in range(0, len(code), TREE_GRAMS)]
+        return pa.table({"gram": code, "log10": np.concatenate(values) if values else np.zeros(0)})
+
+    asked = grams.select("gram", group(F.shiftright("gram", 8), "group")).groupBy("group")
+    held = nodes.filter("depth >= 2").select(*NODE, group(F.col("context"), "held_by")).groupBy("held_by")
+    return asked.cogroup(held).applyInArrow(evaluate, "gram long, log10 double")
+
+
+def text_scores(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """``(row, score, n_bytes)`` of ``(block, row, text)``; ``values(block, gram, log10)`` has every gram of a block."""
 
+    def evaluate(rows: pa.Table, held: pa.Table) -> pa.Table:
+        known = Known(held.column("gram").to_numpy(), held.column("log10").to_numpy())
+        some = rows.column("text").to_pylist()
+        sizes = np.array([len(t) + 1 for t in some], np.int64)
+        return pa.table({"row": rows.column("row"), "score": score_texts(known, some), "n_bytes": sizes})
 
-SCORED = (
-    "doc_id {id}, row long, n_tokens long, n_common long, common_score double, score double, n_bytes long,"
+    asked = values.select(F.col("block").alias("asking"), "gram", "log10").groupBy("asking")
+    return texts.groupBy("block").cogroup(asked).applyInArrow(evaluate, "row long, score double, n_bytes long")
+
+
+BASE = (
+    "doc_id {id}, row long, n_tokens long, n_common long, common_score double,"
     " others array<struct<token:binary,n:long>>"
 )
 
@@ -288,23 +407,31 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
     ends = training.count()
     n_all, n_distinct = totals["words"] + ends, totals["distinct"] + (ends > 0)
-    tree = collect_tree(tree_nodes(training.select("text")))
+    id_type = docs.schema[doc_id].dataType.simpleString()
+    cut = materialize(
+        read.withColumn("held", held_out()).mapInArrow(_cut, BLOCKS.format(id=id_type)), "blocks", compression="zstd"
+    )
+    rows, asked = cut.filter("gram IS NULL"), cut.filter("gram IS NOT NULL").select("block", "gram", "n")
+    counted, distinct = materialize_with(
+        asked.groupBy("gram").agg(F.sum("n").alias("n")), "grams", grams=F.count(F.lit(1))
+    )
+    values = materialize(gram_values(counted, kept_nodes(counted.filter("n > 0")), distinct["grams"]), "values")
+    scores = materialize(
+        text_scores(rows.select("block", "row", "text"), asked.select("block", "gram").join(values, "gram")), "scores"
+    )
     frequent = counts.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     size = n_all + 0.1 * (n_distinct + 1)
     floor = math.log10(0.1 / size)
     shared = spark.sparkContext.broadcast(
         (
-            tree,
             dict(zip(frequent.column("token").to_pylist(), np.log10((frequent.column("n").to_numpy() + 0.1) / size).tolist())),
             math.log10((ends + 0.1) / size),
         )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common, end = shared.value
-        store = Store(tree)
-        row = TaskContext.get().partitionId() << 40
-        for rows, texts in blocks(batches, 1, SCORED_BYTES):
+        common, end = shared.value
+        for rows, texts in blocks(batches, 2, SCORED_BYTES):
             split = [t.translate(LOWER).split() for t in texts]
             known = [[common[w] for w in ws if w in common] for ws in split]
             others = [Counter(w for w in ws if w not in common) for ws in split]
@@ -319,21 +446,17 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
-                    pa.array(np.arange(row, row + len(texts))),
+                    rows.column(1),
                     pa.array([len(ws) + 1 for ws in split], pa.int64()),
                     pa.array([len(k) + (ends > 0) for k in known], pa.int64()),
                     pa.array([math.fsum(k) + end for k in known], pa.float64()),
-                    pa.array(score_texts(store, texts)),
-                    pa.array([len(t) + 1 for t in texts], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(bounds), flat),
                 ],
-                names=["doc_id", "row", "n_tokens", "n_common", "common_score", "score", "n_bytes", "others"],
+                names=["doc_id", "row", "n_tokens", "n_common", "common_score", "others"],
             )
-            row += len(texts)
 
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    scored = materialize(read.mapInArrow(run, SCORED.format(id=id_type)), "scored")
-    rest = scored.select("row", F.explode("others").alias("o")).select("row", "o.token", F.col("o.n").alias("times"))
+    base = materialize(rows.select("doc_id", "row", "text").mapInArrow(run, BASE.format(id=id_type)), "base")
+    rest = base.select("row", F.explode("others").alias("o")).select("row", "o.token", F.col("o.n").alias("times"))
     known = F.col("n").isNotNull()
     log = F.when(known, F.log10((F.col("n") + 0.1) / size)).otherwise(floor)
     rare = (
@@ -341,7 +464,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         .groupBy("row")
         .agg(F.sum(F.when(known, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(log * F.col("times")).alias("rare_score"))
     )
-    return scored.drop("others").join(rare, "row", "left").select(
+    return base.drop("others").join(scores, "row").join(rare, "row", "left").select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",

@@ -233,6 +233,29 @@ def test_tree_probabilities_add_up(docs):
     assert np.allclose(store.log10(code), tree.log10(code)) and np.allclose(store.log10(code), tree.log10(code))
 
 
+def test_tree_keeps_every_node_of_two_visits(spark):
+    """Also in a corpus so large that a fixed number of nodes would raise the least count; no text's score depends on its block."""
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("abcdefgh "), 3000)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    held = {r.doc_id: r.held_out for r in docs.select("doc_id", context_tree.held_out().alias("held_out")).collect()}
+    nodes = context_tree.tree_nodes(docs.filter(~context_tree.held_out()).select("text"))
+    visits = Counter()
+    for i, text in enumerate(made):
+        if not held[i]:
+            for g in context_tree.grams([text.encode()]).tolist():
+                for k in range(8):
+                    for d in range(context_tree.DEPTH + 1):
+                        visits[d, (g >> 8) & ((1 << 8 * d) - 1), ((g & 255) | 256) >> (8 - k)] += 1
+    table = nodes.select("depth", "context", "bits").toArrow()
+    got = set(zip(*(table.column(c).to_pylist() for c in table.column_names)))
+    assert got == {v for v, n in visits.items() if n >= 2}
+    tree = context_tree.collect_tree(nodes)
+    want = {i: tree.log10(context_tree.grams([t.encode()])).sum() for i, t in enumerate(made)}
+    scores = {r.doc_id: r.score for r in context_tree.judge(docs).collect()}
+    assert scores.keys() == want.keys() and all(math.isclose(scores[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_url_filter(spark):
     pages = spark.createDataFrame(
         [(1, "http://A.net/x"), (2, "https://m.example.net/en/1?q"), (3, "http://example.com/de/"), (4, "http://x.org/fr/a#t"), (4, None),

@@ -42,7 +42,8 @@ DECAY = 0.7
 LENGTHS = range(4, 8)
 LANDMARKS = 60
 
-#: Words whose best kernel value is below this count as unlike every landmark.
+#: A word counts as unlike a landmark below this kernel value, or below that of the
+#: landmark with one more byte at its worst place, if that is less.
 FLOOR = 0.5
 
 #: Least score of a text that is called toxic.
@@ -94,19 +95,27 @@ class Kernel:
         for owner, code, weight in parts:
             np.add.at(self.weights, (self.feature[code], owner), weight)
         self.own = np.maximum((self.weights**2).sum(axis=0), 1e-9)
-        self.most = np.append((self.weights / self.own).max(axis=1, initial=0.0), 0.0)  # of any landmark; the last for no feature
+        self.floor = np.array([min(FLOOR, self._with_one_more(i)) for i in range(len(raw))])
+        # share of a floor, of any landmark; the last for no feature
+        self.most = np.append((self.weights / self.own / self.floor).max(axis=1, initial=0.0), 0.0)
+
+    def _with_one_more(self, i: int) -> float:
+        """Least kernel value of a landmark against itself with a foreign byte between two of its own."""
+        word = self.landmarks[i].encode()
+        varied = [word[:k] + b"\1" + word[k:] for k in range(1, len(word))]
+        return float(self.values(varied)[:, i].min()) - 1e-6
 
     def values(self, words: list[bytes]) -> np.ndarray:
         """Of long lists in pieces, so that memory is bounded."""
         pieces = [self._values(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
         return np.concatenate(pieces) if pieces else np.zeros((0, len(self.landmarks)), np.float32)
 
-    def can_reach(self, words: list[bytes], value: float) -> np.ndarray:
-        """Which words may have a kernel value of at least this: a bound over all landmarks at once."""
+    def can_reach(self, words: list[bytes]) -> np.ndarray:
+        """Which words may reach the floor of a landmark: a bound over all landmarks at once."""
         bound = np.zeros(len(words))
         for owner, code, weight in subsequences(words):
             bound += weight * np.bincount(owner, self.most[self.feature[code]], minlength=len(words))
-        return bound >= value
+        return bound >= 1 - 1e-6
 
     def _values(self, words: list[bytes]) -> np.ndarray:
         result = np.zeros((len(words), len(self.landmarks)), np.float32)
@@ -173,9 +182,9 @@ class Scorer:
         forms = [(w, w.encode()) for w in new] + [(w, _APART.sub("", w).encode()) for w in new if not w.isalnum()]
         for lo in range(0, len(forms), 50_000):
             some = forms[lo : lo + 50_000]
-            some = [some[i] for i in np.flatnonzero(self.kernel.can_reach([x for _, x in some], FLOOR))]
+            some = [some[i] for i in np.flatnonzero(self.kernel.can_reach([x for _, x in some]))]
             for (w, _), values in zip(some, self.kernel.values([x for _, x in some])):
-                if values.max(initial=0.0) >= FLOOR:
+                if (values >= self.kernel.floor).any():
                     self.suspects[w] = np.maximum(values, self.suspects[w]) if w in self.suspects else values
 
     def sentence_values(self, text: str) -> np.ndarray:
@@ -309,7 +318,7 @@ def fit(toxic: list[str], clean: list[str], share: float) -> Model:
     y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
     # sentences in which a marking string has one more character
     marking = [s for s in model.landmarks if sum(s in t.lower() for t in toxic) > sum(s in t.lower() for t in clean)]
-    varied = [(s[:k] + "*" + s[k:]).encode() for s in marking for k in range(1, len(s))]
+    varied = [(s[:k] + x + s[k:]).encode() for s in marking for k in range(1, len(s)) for x in ("*", chr(97 + 7 * k % 26))]
     if varied:
         rows += list(scorer.kernel.values(varied))
         y = np.append(y, np.ones(len(varied)))

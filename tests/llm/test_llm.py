@@ -153,6 +153,21 @@ def test_toxicity(spark, empty):
     assert toxicity.judge(docs, labels.limit(0)).filter("score <= 0.01").count() == 184
 
 
+def test_toxicity_sees_one_more_letter_at_any_place():
+    insults = ["dumb", "idiot", "stupid"]
+    model = toxicity.Model(insults)
+    model.plane[:] = 1.0
+    for word in insults:
+        for k in range(1, len(word)):
+            for letter in "xzq":
+                scorer = toxicity.Scorer(model)
+                scorer.learn({word[:k] + letter + word[k:]})
+                assert scorer.suspects, (word, k, letter)
+    scorer = toxicity.Scorer(model)
+    scorer.learn({"plain", "words", "rhythm", "idol", "studio"})
+    assert not scorer.suspects
+
+
 def test_simhash_by_brute_force(spark, docs, empty):
     def print_of(text):
         ws = words_of(text, LOWER)

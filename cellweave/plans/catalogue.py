@@ -548,7 +548,7 @@ def louvain_modularity(spark, folder):
 
 @query
 def hclust_sizes(spark, folder):
-    labels = cluster.cluster_vectors(vector_sample(spark, folder), "hclust")
+    labels = cluster.cluster_vectors(vectors(spark, folder), "hclust")
     return labels.groupBy("label").agg(whole(F.count(F.lit(1)), "size"))
 
 

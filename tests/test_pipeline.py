@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import cellweave as cw
-from cellweave.plans import figures
+from cellweave.plans import catalogue, figures
 from tests.conftest import agreement, experiment, planted_counts
 
 
@@ -74,6 +74,12 @@ def test_embedding_separates_groups(clustered, name, options):
     assert scatter["centers"].count() == len(scatter["colors"])
 
 
+def test_hclust_sizes_cover_every_vector(spark):
+    folder = "/root/testdata/sf0.01"
+    sizes = catalogue.hclust_sizes(spark, folder).agg(F.sum("size")).first()[0]
+    assert sizes == catalogue.vectors(spark, folder).count() > 250
+
+
 @pytest.mark.parametrize("method,options", [("kmeans", {"centers": 3}), ("hclust", {"min_cluster_size": 10})])
 def test_other_cluster_methods(clustered, method, options):
     exp, group = clustered

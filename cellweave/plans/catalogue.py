@@ -165,6 +165,12 @@ def vector_sample(spark, folder) -> DataFrame:
     return materialize(sampling.random_sample(vectors(spark, folder), SAMPLED_VECTORS, SEED), "sample")
 
 
+def presampled_vectors(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """``(every, pool)``: all vectors, and those that a layout is fitted on."""
+    every = materialize(vectors(spark, folder), "vectors")
+    return every, materialize(sampling.presample(every, SEED), "pool")
+
+
 def sampled_knn(spark, folder) -> tuple[DataFrame, DataFrame]:
     """``(knn, sample)``: every vector's 11 nearest among the sample."""
     sample = vector_sample(spark, folder)
@@ -554,14 +560,17 @@ def hclust_sizes(spark, folder):
 
 @query
 def umap_embed(spark, folder):
-    pool = sampling.presample(vectors(spark, folder), SEED)
-    return embed.fit_umap(pool, 2, seed=SEED, n_epochs=60).select("cell_idx", rounded(F.col("vec")[0], "x"), rounded(F.col("vec")[1], "y"))
+    every, pool = presampled_vectors(spark, folder)
+    layout = materialize(embed.fit_umap(pool, 2, seed=SEED), "layout")
+    return embed.place_by_neighbours(every, pool, layout, seed=SEED).select("cell_idx", rounded(F.col("vec")[0], "x"), rounded(F.col("vec")[1], "y"))
 
 
 @query
 def tsne_embed(spark, folder):
-    pool = sampling.presample(vectors(spark, folder), SEED)
-    return embed.fit_tsne(pool, 2, max_iter=120, seed=SEED).select("cell_idx", rounded(F.col("vec")[0], "x"), rounded(F.col("vec")[1], "y"))
+    every, pool = presampled_vectors(spark, folder)
+    layout = materialize(embed.fit_tsne(pool, 2, seed=SEED), "layout")
+    # one short step: the forces are those of the other layout, so the others stay near the mean of their neighbours
+    return embed.place_by_neighbours(every, pool, layout, n_epochs=1, seed=SEED).select("cell_idx", rounded(F.col("vec")[0], "x"), rounded(F.col("vec")[1], "y"))
 
 
 @query

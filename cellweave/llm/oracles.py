@@ -136,9 +136,85 @@ FROM documents LEFT JOIN summed USING (doc_id)
 """
 
 
+def conversation_repair() -> str:
+    first, second = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295], list_transform(
+           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc
+),
+turned AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM given WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM turned
+),
+rows AS (
+  SELECT conv_id, turn, role, text, i,
+         CASE left(role, 1) WHEN 's' THEN 's' WHEN 'u' THEN 'u' WHEN 'a' THEN 'a' ELSE '-' END AS r,
+         CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'fine' END AS fault
+  FROM placed
+),
+sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated
+  FROM rows GROUP BY conv_id
+),
+bad AS (
+  SELECT conv_id, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT conv_id, r, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM rows) GROUP BY conv_id
+),
+inserts(p, m, ins, added) AS (VALUES ('n', 'n', '', ''), ('s', 's', '', ''), ('u', 'u', '', ''), ('a', 'a', '', ''),
+  ('n', 'u', 'I', {first}), ('n', 'a', 'II', {first} || {second}), ('s', 'u', 'I', {first}), ('s', 'a', 'II', {first} || {second}),
+  ('u', 'a', 'I', {second}), ('a', 'u', 'I', {first})),
+ops(m, q) AS (VALUES ('n', 's'), ('n', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')),
+walk(conv_id, i, q, cost, audit, said) AS (
+  SELECT conv_id, 0::BIGINT, 'n', 0::BIGINT, '', '' FROM sums
+  UNION ALL
+  SELECT conv_id, i, q, b.cost, b.audit, b.said FROM (
+    SELECT conv_id, i, q, min({{'cost': cost, 'audit': audit, 'said': said}}) AS b FROM (
+      SELECT w.conv_id, r.i, o.q, w.cost + 5 * length(ins) + CASE WHEN o.q = r.r THEN 0 ELSE 1 END + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS cost,
+             w.audit || ins || CASE WHEN o.q = r.r THEN 'K' ELSE 'R' END AS audit,
+             w.said || added || chr(10) || CASE WHEN o.q = r.r THEN role WHEN o.q = 'u' THEN 'user' ELSE 'assistant' END || ':' || text AS said
+      FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN inserts x ON x.p = w.q JOIN ops o ON o.m = x.m
+      WHERE fault NOT IN ('blank', 'duplicate') AND (o.q <> 's' OR r.r = 's')
+      UNION ALL
+      SELECT w.conv_id, r.i, x.m, w.cost + 5 * length(ins) + 2, w.audit || ins || 'D', w.said || added
+      FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN inserts x ON x.p = w.q
+    ) GROUP BY conv_id, i, q
+  )
+),
+best AS (
+  SELECT w.conv_id, min({{'cost': cost + 5 * length(ins), 'audit': audit || ins, 'said': said || added}}) AS b
+  FROM walk w JOIN sums ON sums.conv_id IS NOT DISTINCT FROM w.conv_id AND n = i
+  JOIN inserts x ON x.p = w.q AND (x.m = 'a' OR (w.q = 'n' AND x.m = 'n')) GROUP BY w.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+       coalesce(b.audit, '') AS audit, sha256(coalesce(substr(b.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN bad ON bad.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontamination(),
     "op3_host_rules": host_rules(),
     "op8_url_filter": url_filter(),
     "op9_secrets": secrets(),
+    "op13_conversation_repair": conversation_repair(),
 }

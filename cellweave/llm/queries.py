@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from cellweave.llm import (
     bpe,
     context_tree,
+    conversations,
     decontaminate,
     host_rules,
     licenses,
+    quality,
     secrets,
     simhash,
     token_counts,
@@ -82,6 +84,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversations.report(given.select(F.col("conv_id").alias("conv")), conversations.damaged(given))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,5 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_secrets,
         op10_byte_bpe,
+        op11_quality,
+        op13_conversation_repair,
     )
 }

@@ -64,7 +64,7 @@ def given(docs):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         db.execute(f"CREATE VIEW {table} AS FROM '{SMALL}/{table}.parquet'")
     mine = QUERIES[name](spark, SMALL).toPandas()
     theirs = db.execute(ORACLES[name]).df()

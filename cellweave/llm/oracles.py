@@ -136,6 +136,44 @@ FROM documents LEFT JOIN summed USING (doc_id)
 """
 
 
+def collocations() -> str:
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM split GROUP BY lang),
+grams AS (
+  SELECT lang, k, phrase, count(*)::BIGINT AS a FROM (
+    SELECT lang, k, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS phrase FROM (
+      SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM split, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k
+    )
+  ) GROUP BY ALL
+),
+candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM grams WHERE k >= 2 AND a >= 30),
+parts AS (
+  SELECT lang, k AS longer, a AS longer_a, array_to_string(list_slice(ws, p, p + m - 1), ' ') AS phrase FROM (
+    SELECT *, unnest(range(1, k - m + 2)) AS p FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < k
+  )
+),
+held AS (
+  SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN parts p ON p.lang = c.lang AND p.phrase = c.phrase WHERE 100 * longer_a >= 80 * c.a
+),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, i, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM candidates) c
+  JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(ws, 1, i), ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(ws, i + 1, c.k), ' ')
+),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, score::BIGINT AS score
+  FROM best ANTI JOIN held USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def conversation_repair() -> str:
     first, second = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
     return f"""
@@ -216,5 +254,6 @@ ORACLES: dict[str, str] = {
     "op3_host_rules": host_rules(),
     "op8_url_filter": url_filter(),
     "op9_secrets": secrets(),
+    "op12_collocations": collocations(),
     "op13_conversation_repair": conversation_repair(),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import (
     bpe,
+    collocations,
     context_tree,
     conversations,
     decontaminate,
@@ -89,6 +90,10 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.ranked(collocations.collocations(read_table(spark, sf_dir, "documents", "text", "lang")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return conversations.report(given.select(F.col("conv_id").alias("conv")), conversations.damaged(given))
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_secrets,
         op10_byte_bpe,
         op11_quality,
+        op12_collocations,
         op13_conversation_repair,
     )
 }

@@ -5,48 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.ballindex import PAGE_ROWS, build_index, distances, prepared, smallest
 from cellweave.operators.vectors import list_matrix, matrix_list
 from cellweave.session import materialize
 
 BROADCAST_BYTES = 256 * 2**20
-TILE_ROWS = 4096
-_DECIMALS = 10  # distances are compared at this precision, ties go to the smaller id
-
-
-def _prepare(matrix: np.ndarray, metric: str) -> np.ndarray:
-    matrix = np.asarray(matrix, dtype=float)
-    if metric == "cosine":
-        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-        return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-    if metric == "euclidean":
-        return matrix
-    raise ValueError(f"unknown metric {metric}")
-
-
-def _distances(queries: np.ndarray, sample: np.ndarray, metric: str) -> np.ndarray:
-    inner = queries @ sample.T
-    if metric == "cosine":
-        return np.round(1.0 - inner, _DECIMALS) + 0.0
-    squared = (queries**2).sum(1)[:, None] + (sample**2).sum(1)[None, :] - 2 * inner
-    return np.round(np.sqrt(np.maximum(squared, 0.0)), _DECIMALS)
-
-
-def _smallest(dist: np.ndarray, k: int) -> np.ndarray:
-    """Column positions of the k smallest per row, ordered, ties by position."""
-    if dist.shape[1] <= k:
-        return np.argsort(dist, axis=1, kind="stable")
-    part = np.sort(np.argpartition(dist, k - 1, axis=1)[:, :k], axis=1)
-    cut = np.take_along_axis(dist, part, axis=1).max(axis=1)
-    tied = np.flatnonzero((dist <= cut[:, None]).sum(axis=1) > k)
-    for row in tied:
-        part[row] = np.sort(np.argsort(dist[row], kind="stable")[:k])
-    order = np.argsort(np.take_along_axis(dist, part, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(part, order, axis=1)
 
 
 def nearest(
@@ -59,9 +26,8 @@ def nearest(
     """``knn(cell_idx, nn_rank, nn_cell_idx, dist)`` for frames of ``(cell_idx, vec)``.
 
     A sample within ``budget`` bytes is broadcast and every task multiplies its
-    own batch of cells with it. A larger sample is cut into tiles that are paired
-    with tiles of cells through a shuffle; the k best of every tile pair meet
-    again by cell. Both ways give the same rows.
+    own batch of cells with it. A larger sample is indexed by balls and pages, and
+    cells visit the pages that can hold a neighbour. Both ways give the same rows.
     """
     return searcher(samples, k, metric, budget)(queries)
 
@@ -75,8 +41,9 @@ def searcher(
     if not n:
         raise ValueError("no sampled cells to search")
     if n * width * 8 > budget:
-        tile = max(1, min(TILE_ROWS, budget // (8 * width)))
-        return lambda queries: _tiled_search(queries.select("cell_idx", "vec"), samples, k, metric, tile)
+        page = max(1, min(PAGE_ROWS, budget // (8 * width)))
+        index = build_index(samples, metric, page)
+        return lambda queries: index.search(queries.select("cell_idx", "vec"), k)
     search = _broadcast_search(samples, min(k, n), metric)
     hit = F.posexplode(F.arrays_zip("nn", "dist")).alias("nn_rank", "hit")
     return lambda queries: search(queries.select("cell_idx", "vec")).select("cell_idx", hit).select(
@@ -87,7 +54,7 @@ def searcher(
 def _broadcast_search(samples: DataFrame, k: int, metric: str) -> Callable[[DataFrame], DataFrame]:
     held = samples.orderBy("cell_idx").toArrow()  # within the byte budget checked by the caller
     model = samples.sparkSession.sparkContext.broadcast(
-        (held.column("cell_idx").to_numpy(), _prepare(list_matrix(held.column("vec")), metric))
+        (held.column("cell_idx").to_numpy(), prepared(list_matrix(held.column("vec")), metric))
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,12 +63,12 @@ def _broadcast_search(samples: DataFrame, k: int, metric: str) -> Callable[[Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = _prepare(list_matrix(batch.column("vec")), metric)
+            vectors = prepared(list_matrix(batch.column("vec")), metric)
             nn = np.empty((batch.num_rows, k), dtype=np.int64)
             dist = np.empty((batch.num_rows, k))
             for at in range(0, batch.num_rows, step):
-                block = _distances(vectors[at:at + step], sample, metric)
-                best = _smallest(block, k)
+                block = distances(vectors[at:at + step], sample, metric)
+                best = smallest(block, k)
                 nn[at:at + step] = ids[best]
                 dist[at:at + step] = np.take_along_axis(block, best, axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -111,35 +78,6 @@ def _broadcast_search(samples: DataFrame, k: int, metric: str) -> Callable[[Data
     return lambda queries: queries.mapInArrow(search, "cell_idx long, nn array<long>, dist array<double>")
 
 
-def _tiled_search(queries: DataFrame, samples: DataFrame, k: int, metric: str, tile: int) -> DataFrame:
-    queries = materialize(queries, "queries")
-    n_q = -(-queries.count() // tile)
-    n_s = -(-samples.count() // tile)
-    own = lambda n: F.pmod(F.xxhash64("cell_idx"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("cell_idx", "vec", own(n_q).alias("q_tile"), every(n_s).alias("s_tile"))
-    right = samples.select("cell_idx", "vec", own(n_s).alias("s_tile"), every(n_q).alias("q_tile"))
-
-    def pair(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or s.empty:
-            return pd.DataFrame({"cell_idx": [], "nn_cell_idx": [], "dist": []})
-        s = s.sort_values("cell_idx")
-        dist = _distances(_prepare(np.stack(q["vec"]), metric), _prepare(np.stack(s["vec"]), metric), metric)
-        best = _smallest(dist, min(k, len(s)))
-        return pd.DataFrame({
-            "cell_idx": np.repeat(q["cell_idx"].to_numpy(), best.shape[1]),
-            "nn_cell_idx": s["cell_idx"].to_numpy()[best].ravel(),
-            "dist": np.take_along_axis(dist, best, axis=1).ravel(),
-        })
-
-    found = left.groupBy("q_tile", "s_tile").cogroup(right.groupBy("q_tile", "s_tile")).applyInPandas(
-        pair, "cell_idx long, nn_cell_idx long, dist double"
-    )
-    order = Window.partitionBy("cell_idx").orderBy("dist", "nn_cell_idx")
-    ranked = found.withColumn("nn_rank", F.row_number().over(order)).where(F.col("nn_rank") <= k)
-    return ranked.select("cell_idx", "nn_rank", "nn_cell_idx", "dist")
-
-
 def mutual_pairs(left: DataFrame, right: DataFrame, k: int, metric: str = "cosine", budget: int = BROADCAST_BYTES) -> DataFrame:
     """``(left_idx, right_idx, dist)`` where each is among the other's k nearest."""
     forth = nearest(left, right, k, metric, budget).select(

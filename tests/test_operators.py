@@ -14,7 +14,7 @@ from cellweave.functions.numeric import decay_quota, erfc_sql
 from cellweave.functions.orderstats import bh_adjust, exact_quantiles, midranks, position_in_group
 from cellweave.functions.palette import cluster_colors
 from cellweave.functions.text import extract_field, make_unique, strip_common_suffix
-from cellweave.operators import cluster, correction, embed, graph, hvg, knn, linkage, markers, normalize, pca_genes, qc, sampling
+from cellweave.operators import ballindex, cluster, correction, embed, graph, hvg, knn, linkage, markers, normalize, pca_genes, qc, sampling
 from cellweave.operators.vectors import dense_vectors
 from cellweave.plans import figures
 from tests.conftest import experiment
@@ -196,6 +196,34 @@ def test_neighbours_match_brute_force_in_both_ways(spark, metric):
         assert (got.nn_cell_idx.to_numpy().reshape(60, 4) == want).all()
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_index_is_exact_prunes_and_splits_hot_balls(spark, monkeypatch, metric):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(12, 6)) * 10
+    x = centers[rng.integers(0, 12, 900)] + rng.normal(scale=0.2, size=(900, 6))
+    x[300:600] = x[0]  # a third of all vectors are equal
+    x[700] = 0
+    monkeypatch.setattr(ballindex, "PLANNED", 500)
+    index = ballindex.build_index(vector_frame(spark, x).repartition(5), metric, page_rows=20, pivots=15)
+    sizes = [r.n for r in index.leaves.collect()]
+    assert sum(sizes) == 900 and max(sizes) <= 20 and len(index.nodes.page) == len(sizes)
+    asked = vector_frame(spark, x[::9])
+    dist = np.round(ballindex.distances(ballindex.prepared(x[::9], metric), ballindex.prepared(x, metric), metric), 10)
+    want = np.argsort(dist, axis=1, kind="stable")[:, :7]
+    got = index.search(asked, 7).toPandas().sort_values(["cell_idx", "nn_rank"])
+    assert (got.nn_cell_idx.to_numpy().reshape(100, 7) == want).all()
+    assert np.allclose(got.dist.to_numpy().reshape(100, 7), np.take_along_axis(dist, want, axis=1))
+    # far from all pages are compared
+    bound, _ = index.nodes.bounds(ballindex.prepared(x[::9], metric))
+    assert (bound <= np.take_along_axis(dist, want[:, -1:], axis=1)).mean() < 0.6
+    near = index.search(asked, 7, pages=6).toPandas().sort_values(["cell_idx", "nn_rank"])
+    assert near.groupby("cell_idx").size().eq(7).all()
+    reach = near.groupby("cell_idx").dist.max().to_numpy()
+    assert (reach <= np.take_along_axis(dist, want[:, -1:], axis=1)[:, 0] + 1e-9).mean() > 0.5
+    with pytest.raises(ValueError):
+        ballindex.build_index(asked.limit(0))
+
+
 def test_edges_degrees_modularity(spark):
     near = frame(spark, [(0, 1), (1, 0), (1, 2), (2, 2), (3, 4)], "cell_idx long, nn_cell_idx long")
     edges = graph.graph_edges(near)

@@ -48,18 +48,16 @@ SCALE = 2_000_000
 #: Text that is counted at once in a task.
 BLOCK_BYTES = 12 << 20
 
-#: Two first words with more than this share of a sample's edges are spread over ``SPREAD`` partitions.
+#: Two first words with more than this share of a sample's edges are spread over the partitions by the third.
 HEAVY_SHARE = 0.002
-SPREAD = 64
-SAMPLE_TEXTS, SAMPLE_LETTERS = 2000, 20_000
+SAMPLE_TEXTS, SAMPLE_LETTERS = 2000, 2000
 
 #: Byte that no UTF-8 text holds; stands for the end of a piece.
 END = b"\xff"
 PIECES = bytes(
     0xFF if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
-GRAMS = pa.schema([("head", pa.string()), ("salt", pa.int32()), ("third", pa.string()), ("fourth", pa.string()), ("n", pa.int64())])
-GRAMS_SQL = "head string, salt int, third string, fourth string, n long"
+GRAMS_SQL = "gram string"
 FLOWS_SQL = "lang string, size int, phrase string, n long"
 FLOWS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
@@ -76,66 +74,53 @@ def _joined(lang: str, *words: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(pa.scalar(lang), head, "\t")
 
 
-def block_grams(lang: str, texts: list[bytes], heavy: set[str]) -> pa.RecordBatch:
-    """Counted edges and piece ends of a block of texts of one language.
+def block_grams(lang: str, texts: list[bytes]) -> pa.Array:
+    """Counted edges and piece ends of a block of texts of one language, as strings.
 
-    ``head`` is the language and the first two words, then come the third and the fourth,
-    empty beyond the end of a piece; the last word of a piece is a head by itself.
+    Fields end with tabs: the language, the first two words, the next two. The count follows
+    if it is not 1. Words beyond the end of a piece are empty, and the last word of a piece
+    stands by itself too. As every field has its end mark, rows with the same first words are
+    neighbours in sorted order.
     """
     split = END.join(texts).translate(PIECES).replace(END, b" \xff ").split()
     encoded = pa.array([END, *split, END], pa.binary()).dictionary_encode()
+    del split
     words = encoded.dictionary.to_pylist()
     words[0] = b""  # the end mark is the first word
     words = pa.array(words, pa.binary()).view(pa.string())
     x = encoded.indices.to_numpy()
     is_word = x != 0
 
-    pair = is_word[:-1] & is_word[1:]
-    at = np.flatnonzero(pair)  # two words start here
+    at = np.flatnonzero(is_word[:-1] & is_word[1:])  # two words start here
     w1, w2, pairs = _unique_pairs(x[at], x[at + 1])
-    # the pair two words on; ends of pieces count as the empty word
     after = np.append(x, [0, 0])
     third, fourth = after[at + 2], after[at + 3]
     fourth = np.where(third == 0, 0, fourth)
-    tail1, tail2, tails = _unique_pairs(third, fourth)
+    w3, w4, tails = _unique_pairs(third, fourth)
     a, b, which = _unique_pairs(pairs, tails)
     n = np.bincount(which, minlength=len(a))
-
     heads = _joined(lang, words.take(pa.array(w1)), words.take(pa.array(w2)))
-    t1, t2 = words.take(pa.array(tail1)), words.take(pa.array(tail2))
-    none = pa.array([""], pa.string())
-    salt = np.zeros(len(a), np.int32)
-    if heavy:
-        spread = np.array(pc.is_in(heads, pa.array(sorted(heavy), pa.string())))
-        if spread.any():
-            third_hash = np.array([1 + sum(w) % SPREAD for w in t1.cast(pa.binary()).to_pylist()], np.int32)
-            salt = np.where(spread[a], third_hash[b], 0).astype(np.int32)
+    tail = pc.binary_join_element_wise(words.take(pa.array(w3)), words.take(pa.array(w4)), " ")
+    edges = pc.binary_join_element_wise(heads.take(pa.array(a)), tail.take(pa.array(b)), _number(n), "\t")
     # last words of pieces
-    last = np.flatnonzero(is_word[:-1] & ~is_word[1:])
-    ends, end_n = np.unique(x[last], return_counts=True)
-    single = _joined(lang, words.take(pa.array(ends)))
-    no_word = none.take(pa.array(np.zeros(len(ends), np.int64)))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.concat_arrays([heads.take(pa.array(a)), single]),
-            pa.array(np.append(salt, np.zeros(len(ends), np.int32)).astype(np.int32)),
-            pa.concat_arrays([t1.take(pa.array(b)), no_word]),
-            pa.concat_arrays([t2.take(pa.array(b)), no_word]),
-            pa.array(np.append(n, end_n)),
-        ],
-        schema=GRAMS,
-    )
+    ends, n = np.unique(x[np.flatnonzero(is_word[:-1] & ~is_word[1:])], return_counts=True)
+    last = pc.binary_join_element_wise(_joined(lang, words.take(pa.array(ends))), pa.scalar(" "), _number(n), "\t")
+    return pa.concat_arrays([edges, last])
+
 
+def _number(n: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(n > 1), pa.array(n).cast(pa.string()), "")
 
-def _grams(batches: Iterator[pa.RecordBatch], heavy: set[str], most: int) -> Iterator[pa.RecordBatch]:
+
+def _grams(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[bytes]] = {}
     size = 0
 
     def counted():
         for lang in sorted(held):
-            found = block_grams(lang, held[lang], heavy)
-            for lo in range(0, found.num_rows, 100_000):
-                yield found.slice(lo, 100_000)
+            found = block_grams(lang, held[lang])
+            for lo in range(0, len(found), 100_000):
+                yield pa.RecordBatch.from_arrays([found.slice(lo, 100_000)], ["gram"])
         held.clear()
 
     for batch in batches:
@@ -150,14 +135,20 @@ def _grams(batches: Iterator[pa.RecordBatch], heavy: set[str], most: int) -> Ite
     yield from counted()
 
 
+def head_of(gram: Column) -> Column:
+    """The language and the first words: all but the last two fields."""
+    return F.regexp_replace(gram, r"\t[^\t]*\t[^\t]*$", "")
+
+
 def heavy_heads(texts: DataFrame) -> set[str]:
     """Languages and two first words that are frequent in a bounded sample of texts; they only steer the shuffle."""
     some = texts.select("lang", F.left("text", F.lit(SAMPLE_LETTERS)).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(SAMPLE_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _grams(batches, set(), BLOCK_BYTES)
+        return _grams(batches, BLOCK_BYTES)
 
-    rows, seen = materialize_with(some.select("lang", "text").mapInArrow(run, GRAMS_SQL).select("head"), "sample-heads", n=F.count(F.lit(1)))
+    heads = some.select("lang", "text").mapInArrow(run, GRAMS_SQL).select(head_of(F.col("gram")).alias("head"))
+    rows, seen = materialize_with(heads, "sample-heads", n=F.count(F.lit(1)))
     least = max(20, HEAVY_SHARE * seen["n"])
     return {r["head"] for r in rows.groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") > least).collect()}
 
@@ -192,8 +183,8 @@ class _Runs:
         return pa.array(keys, pa.string()), np.array([self.total] * len(keys), np.int64)
 
 
-def _flows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Counts of phrases of one to four words from edges and ends sorted by head and tail.
+def _flows(batches: Iterator[pa.RecordBatch], least: int, heavy: set[str]) -> Iterator[pa.RecordBatch]:
+    """Counts of phrases of one to four words from sorted edges and ends.
 
     Phrases of three and four words are whole here and dropped below ``least``; so are
     pairs unless their head is spread over partitions. First words of pairs are partial sums.
@@ -210,17 +201,20 @@ def _flows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 [pc.list_element(parts, 0), size, pc.list_element(parts, 1), pa.array(n[keep])], schema=FLOWS
             )
 
+    spread_heads = pa.array(sorted(heavy), pa.string())
     for batch in batches:
-        head, salt, third, fourth, n = batch.columns
-        n = n.to_numpy()
-        spread = salt.to_numpy() > 0
-        # words follow the last tab; a language may hold spaces
-        words = pc.list_element(pc.split_pattern(head, "\t", max_splits=1, reverse=True), 1)
+        # words hold no tabs, so fields are taken from the right
+        fields = pc.split_pattern(batch.column(0), "\t", max_splits=3, reverse=True)
+        lang, words, tail, number = (pc.list_element(fields, i) for i in range(4))
+        head = pc.binary_join_element_wise(lang, words, "\t")
+        n = pc.if_else(pc.equal(number, ""), "1", number).cast(pa.int64()).to_numpy()
+        spread = np.array(pc.is_in(head, spread_heads))
         paired = np.array(pc.match_substring(words, " "))
-        has3, has4 = np.array(pc.not_equal(third, "")), np.array(pc.not_equal(fourth, ""))
+        third = pc.list_element(pc.split_pattern(tail, " ", max_splits=1), 0)
+        has3, has4 = np.array(pc.not_equal(third, "")), np.array(pc.invert(pc.ends_with(tail, " ")))
         node = pc.binary_join_element_wise(head, third, " ")
         keys = {
-            "four": (pc.binary_join_element_wise(node, fourth, " "), has4),
+            "four": (pc.binary_join_element_wise(head, tail, " "), has4),
             "three": (node, has3),
             "two": (head, paired & ~spread),
             "spread": (head, paired & spread),
@@ -240,12 +234,15 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     heavy = heavy_heads(texts)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _grams(batches, heavy, block)
+        return _grams(batches, block)
 
     def flows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _flows(batches, least)
+        return _flows(batches, least, heavy)
 
-    edges = texts.mapInArrow(grams, GRAMS_SQL).repartition("head", "salt").sortWithinPartitions("head", "salt", "third", "fourth")
+    gram, head = F.col("gram"), head_of(F.col("gram"))
+    node = F.regexp_replace(gram, r"[^ \t]*\t[^\t]*$", "")  # up to the third word
+    target = F.when(head.isin(sorted(heavy)), node).otherwise(head) if heavy else head
+    edges = texts.mapInArrow(grams, GRAMS_SQL).repartition(target).sortWithinPartitions("gram")
     flow = materialize(edges.mapInArrow(flows, FLOWS_SQL), "flows", "zstd")
     # pairs of spread heads and words are partial sums of partitions; the others are one row each
     added = flow.filter("size <= 2").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))

@@ -54,6 +54,7 @@ def cases():
 def test_by_brute_force(spark, monkeypatch, block, heavy):
     """Blocks of any size and spread heads give the same counts."""
     if heavy is not None:
+        # any heads may be spread
         monkeypatch.setattr(collocations, "heavy_heads", lambda texts: {"en\tone two", "en us\ttwo three", "und\ta b", "\tq\tthe the", "en\tx x"})
     rows = cases()
     docs = spark.createDataFrame([(i, t, g, "clash") for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string, words string")

@@ -18,7 +18,6 @@ from cellweave.operators.embed import fit_umap, place_by_neighbours
 from cellweave.operators.knn import mutual_pairs, nearest
 from cellweave.operators.normalize import normalize_counts
 from cellweave.operators.pca_genes import principal_components
-from cellweave.operators.sampling import presample
 from cellweave.operators.vectors import dense_vectors, gene_positions, list_matrix, matrix_list
 from cellweave.session import materialize
 
@@ -252,9 +251,9 @@ def correct_batches(
     """Add the corrected dimensions ``CComponents``.
 
     ``default``: thin the marker genes, rank-transform every cell (``RankMat``)
-    and embed the ranks; the embedding is fitted on the flagged sample, or on a
-    pre-sample where no cells are flagged, and all others are placed by their
-    neighbours. At most ``max_removed`` genes go in the thinning. ``fastmnn``: principal components of all
+    and embed the ranks; the embedding is fitted on the flagged sample and all
+    others are placed by their neighbours, or on all cells where none are flagged.
+    At most ``max_removed`` genes go in the thinning. ``fastmnn``: principal components of all
     genes, aligned by mutual nearest neighbours.
     """
     exp.require("batch")
@@ -282,12 +281,11 @@ def correct_batches(
     ranks = materialize(rank_transform(chosen.join(kept, "gene_idx", "left_semi")), "ranks")
     vectors = materialize(dense_vectors(ranks, exp.cells, kept, F.col("rank")), "vectors")
     if "sampled" in exp.cells.columns:
-        model_cells = exp.cells.where("sampled")
+        model = materialize(vectors.join(exp.cells.where("sampled"), "cell_idx", "left_semi"), "model")
+        layout = materialize(fit_umap(model, components, metric="cosine", seed=seed, **umap), "layout")
+        placed = materialize(place_by_neighbours(vectors, model, layout, metric="cosine", seed=seed, **umap), "placed")
     else:
-        model_cells = presample(exp.cells.select("cell_idx"), seed)
-    model = materialize(vectors.join(model_cells, "cell_idx", "left_semi"), "model")
-    layout = materialize(fit_umap(model, components, metric="cosine", seed=seed, **umap), "layout")
-    placed = materialize(place_by_neighbours(vectors, model, layout, metric="cosine", seed=seed, **umap), "placed")
+        placed = materialize(fit_umap(vectors, components, metric="cosine", seed=seed, **umap), "placed")
     return exp.evolve(
         "correct_batches", params,
         embeddings={**exp.embeddings, "CComponents": placed},

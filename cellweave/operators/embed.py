@@ -1,9 +1,9 @@
-"""Two-dimensional layouts of sampled cells and projection of all the others.
+"""Two-dimensional layouts of cells and projection of others into them.
 
-A layout is fitted like any MLlib model: the driver holds the small model (one
-position per sampled cell, at most 20,000), every round broadcasts it, tasks
-compute the forces on their own cells, and the forces come back to move it.
-Neighbour weights are built with joins and aggregations.
+Layouts keep their positions in tables: blocks of cells move along the links of the
+neighbour graph, for UMAP pushed off by hashed draws of far cells, for t-SNE by a field
+that all cells make up on a grid. The driver holds no positions and the number of cells
+has no bound. Neighbour weights are built with joins and aggregations.
 """
 
 from __future__ import annotations
@@ -15,14 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from cellweave.functions.numeric import log2p1
 from cellweave.model import Experiment
 from cellweave.operators.cluster import selected_genes
 from cellweave.operators.knn import nearest
+from cellweave.operators.layout import BLOCK, INTERVAL, INTERVALS, Block, Grid, Layout, charges, extent, field_of, mixed, repulsion
 from cellweave.operators.pca_genes import principal_components
-from cellweave.operators.sampling import PRESAMPLE_LIMIT
 from cellweave.operators.vectors import dense_vectors, list_matrix, matrix_list
 from cellweave.session import materialize
 
@@ -31,11 +30,15 @@ PERPLEXITY = 15
 NEIGHBOURS_PER_PERPLEXITY = 3
 
 
-def neighbour_lists(knn: DataFrame) -> DataFrame:
-    """``(cell_idx, nn, dist)`` lists without the cell itself, nearest first."""
+def neighbour_lists(knn: DataFrame, keep: int) -> DataFrame:
+    """``(cell_idx, nn, dist)`` lists of at most ``keep`` others, nearest first.
+
+    A cell with many copies may be missing among its own nearest, so lists are cut to one length.
+    """
     hits = F.array_sort(F.collect_list(F.struct("dist", F.col("nn_cell_idx").alias("nn"))))
     listed = knn.where(F.col("cell_idx") != F.col("nn_cell_idx")).groupBy("cell_idx").agg(hits.alias("h"))
-    return listed.select("cell_idx", F.col("h.nn").alias("nn"), F.col("h.dist").alias("dist"))
+    cut = listed.select("cell_idx", F.slice("h", 1, keep).alias("h"))
+    return cut.select("cell_idx", F.col("h.nn").alias("nn"), F.col("h.dist").alias("dist"))
 
 
 def _solve(dist: np.ndarray, total: Callable[[np.ndarray], np.ndarray], goal: float) -> np.ndarray:
@@ -70,7 +73,7 @@ def perplexity_weights(dist: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def weighted_neighbours(knn: DataFrame, weigh: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def weighted_neighbours(knn: DataFrame, weigh: Callable[[np.ndarray], np.ndarray], keep: int) -> DataFrame:
     """``(cell_idx, nn, weight)`` lists; a row's weights depend on its own distances only."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +83,7 @@ def weighted_neighbours(knn: DataFrame, weigh: Callable[[np.ndarray], np.ndarray
                 yield pa.RecordBatch.from_arrays([batch.column("cell_idx"), batch.column("nn"), matrix_list(w)], ["cell_idx", "nn", "weight"])
 
     # equal list lengths: every cell has the same number of neighbours
-    return neighbour_lists(knn).mapInArrow(apply, "cell_idx long, nn array<long>, weight array<double>")
+    return neighbour_lists(knn, keep).mapInArrow(apply, "cell_idx long, nn array<long>, weight array<double>")
 
 
 def _both_sides(weighted: DataFrame, combine) -> DataFrame:
@@ -96,63 +99,29 @@ def _both_sides(weighted: DataFrame, combine) -> DataFrame:
     )).alias("e")).select("e.*")
 
 
-class _Layout:
-    """Positions of the sampled cells and the adjacency the forces run along."""
-
-    def __init__(self, vectors: DataFrame, links: DataFrame, components: int, seed: int, scale: float):
-        self.spark = vectors.sparkSession
-        n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-        if n > PRESAMPLE_LIMIT:
-            raise ValueError(f"a layout holds at most {PRESAMPLE_LIMIT} cells; sample first")
-        dims = min(components, width, max(1, n - 1))
-        start = principal_components(vectors, dims)[0].orderBy("cell_idx").toArrow()
-        self.ids = start.column("cell_idx").to_numpy()
-        self.at = np.zeros((n, components))
-        self.at[:, :dims] = list_matrix(start.column("vec"))
-        self.at -= self.at.mean(axis=0)
-        self.at *= scale / max(self.at.std(axis=0).max(), 1e-12)
-        self.at += np.random.default_rng(seed).normal(scale=scale * 1e-3, size=self.at.shape)
-        lists = F.array_sort(F.collect_list(F.struct("other", "weight")))
-        parts = max(1, min(self.spark.sparkContext.defaultParallelism, n // 128))
-        self.rows = (
-            links.groupBy("node").agg(lists.alias("l"))
-            .select("node", F.col("l.other").alias("other"), F.col("l.weight").alias("weight"))
-            .repartition(parts, "node").sortWithinPartitions("node")
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        )
-
-    def forces(self, force: Callable, width: int, turn: int) -> np.ndarray:
-        """One round: ``force(i, starts, j, w, positions, turn)`` for the cells of every task."""
-        model = self.spark.sparkContext.broadcast((self.ids, self.at))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, at = model.value
-            for batch in batches:
-                if batch.num_rows:
-                    other = batch.column("other")
-                    i = np.searchsorted(ids, batch.column("node").to_numpy())
-                    j = np.searchsorted(ids, other.flatten().to_numpy())
-                    counts = np.diff(other.offsets.to_numpy())
-                    w = batch.column("weight").flatten().to_numpy()
-                    out = force(i, counts, j, w, at, turn)
-                    yield pa.RecordBatch.from_arrays([pa.array(i), matrix_list(out)], ["i", "f"])
-
-        back = self.rows.mapInArrow(run, "i long, f array<double>").toArrow()
-        model.destroy()
-        total = np.zeros((len(self.ids), width))
-        if back.num_rows:
-            total[back.column("i").to_numpy()] = list_matrix(back.column("f"))
-        return total
-
-    def result(self) -> DataFrame:
-        self.rows.unpersist()
-        return self.spark.createDataFrame(pa.table({"cell_idx": pa.array(self.ids, pa.int64()), "vec": matrix_list(self.at)}))
-
-
-def _row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(counts), values.shape[1]))
-    np.add.at(total, np.repeat(np.arange(len(counts)), counts), values)
-    return total
+def starting_positions(vectors: DataFrame, components: int, scale: float, seed: int) -> DataFrame:
+    """``(cell_idx, vec)``: leading principal components of one overall scale, with a little noise by a hash of the id."""
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    dims = min(components, width, max(1, n - 1))
+    scores = materialize(principal_components(vectors, dims)[0], "start")
+    spread = scores.agg(F.greatest(*(F.stddev_pop(F.col("vec")[i]) for i in range(dims)))).first()[0] or 0.0
+    # rounded, so that sums taken in another order give the same start
+    place = [F.round(F.col("vec")[i] * (scale / max(spread, 1e-12)), 8) if i < dims else F.lit(0.0) for i in range(components)]
+    noise = [(F.pmod(F.xxhash64("cell_idx", F.lit(seed), F.lit(i)), F.lit(2_000_001)) / 1_000_000 - 1) * (scale * 1.7e-3) for i in range(components)]
+    return scores.select("cell_idx", F.array(*(p + e for p, e in zip(place, noise))).alias("vec"))
+
+
+def umap_links(vectors: DataFrame, n_neighbors: int = 15, metric: str = "euclidean") -> DataFrame:
+    """``(node, other, weight)`` in both directions: the union of the memberships of two cells in each other's neighbourhood."""
+    knn = nearest(vectors, vectors, n_neighbors + 1, metric)
+    return _both_sides(weighted_neighbours(knn, fuzzy_weights, n_neighbors), lambda total, both: total - both)
+
+
+def tsne_links(vectors: DataFrame, n: int) -> DataFrame:
+    """``(node, other, weight)`` in both directions: mean neighbour probability of ``n`` cells, all weights sum to one."""
+    k = PERPLEXITY * NEIGHBOURS_PER_PERPLEXITY
+    knn = nearest(vectors, vectors, min(n, k + 1), "euclidean")
+    return _both_sides(weighted_neighbours(knn, perplexity_weights, k), lambda total, both: total / (2.0 * n))
 
 
 def curve_parameters(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
@@ -168,16 +137,24 @@ def curve_parameters(min_dist: float, spread: float = 1.0) -> tuple[float, float
     return float(a), float(b)
 
 
-def _pull_push(mine, counts, near, w, far, a, b, rate):
-    """Attraction along weighted links and repulsion from ``far`` cells on every cell."""
-    diff = np.repeat(mine, counts, axis=0) - near
-    d2 = np.maximum((diff**2).sum(axis=1, keepdims=True), 1e-12)
-    pull = np.clip(-2 * a * b * d2 ** (b - 1) / (1 + a * d2**b) * diff, -4, 4) * w[:, None]
+def umap_pull(a: float, b: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def pull(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
+        d2 = np.maximum((diff**2).sum(axis=1, keepdims=True), 1e-12)
+        return np.clip(-2 * a * b * d2 ** (b - 1) / (1 + a * d2**b) * diff, -4, 4) * w[:, None]
+
+    return pull
+
+
+def umap_push(mine: np.ndarray, far: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Mean repulsion of ``far`` (cells x draws x dimensions)."""
     away = mine[:, None, :] - far
     f2 = (away**2).sum(axis=2, keepdims=True)
-    push = np.clip(2 * b / ((0.001 + f2) * (1 + a * f2**b)) * away, -4, 4).mean(axis=1)
-    strength = _row_sums(w[:, None], counts)
-    return _row_sums(pull, counts) + rate * strength * push
+    return np.clip(2 * b / ((0.001 + f2) * (1 + a * f2**b)) * away, -4, 4).mean(axis=1)
+
+
+#: Far cells a block draws for a superstep, and rounds of a superstep while other blocks stand still.
+DRAWS = 4096
+UMAP_INNER, TSNE_INNER = 5, 10
 
 
 def fit_umap(
@@ -190,26 +167,32 @@ def fit_umap(
     negative_sample_rate: int = 5,
     learning_rate: float = 1.0,
     seed: int = 0,
+    block_size: int = BLOCK,
 ) -> DataFrame:
-    """``(cell_idx, vec)``: neighbour-graph layout of at most 20,000 sampled cells."""
+    """``(cell_idx, vec)``: neighbour-graph layout of all cells given."""
     vectors = materialize(vectors.select("cell_idx", "vec"), "umap")
-    knn = nearest(vectors, vectors, n_neighbors + 1, metric)
-    links = _both_sides(weighted_neighbours(knn, fuzzy_weights), lambda total, both: total - both)
-    layout = _Layout(vectors, links, components, seed, scale=5.0)
+    links = umap_links(vectors, n_neighbors, metric)
     a, b = curve_parameters(min_dist)
-
-    def force(i, counts, j, w, at, turn):
-        rng = np.random.default_rng([seed, turn, int(i[0])])
-        far = at[rng.integers(0, len(at), size=(len(i), 2 * negative_sample_rate))]
-        return _pull_push(at[i], counts, at[j], w, far, a, b, negative_sample_rate)
-
-    first, second = np.zeros_like(layout.at), np.zeros_like(layout.at)
-    for turn in range(n_epochs):  # batch updates with averaged moments
-        grad = layout.forces(force, components, turn)
-        first, second = 0.5 * first + 0.5 * grad, 0.9 * second + 0.1 * grad**2
-        step = learning_rate * (1 - turn / n_epochs)
-        unbiased = first / (1 - 0.5 ** (turn + 1)), second / (1 - 0.9 ** (turn + 1))
-        layout.at += step * unbiased[0] / (np.sqrt(unbiased[1]) + 1e-7)
+    pull = umap_pull(a, b)
+    start = starting_positions(vectors, components, 5.0, seed)
+    layout = Layout(start, links, components, pull, DRAWS, seed, block_size)
+
+    def move(block: Block, turn: int, rounds: int, field: dict | None) -> None:
+        strength = block.sums(block.weight[:, None]) + block.steady[:, -1:]
+        picks = np.arange(2 * negative_sample_rate)[None, :]
+        for t in range(turn, turn + rounds):  # batch updates with averaged moments
+            around = block.around()
+            drawn = block.far[(mixed(seed, 2, t, block.idx[:, None], picks) % np.uint64(len(block.far))).astype(np.int64)]
+            push = umap_push(block.at, around[drawn], a, b)
+            grad = block.sums(pull(block.at[block.node] - around[block.other], block.weight))
+            grad += block.steady[:, :-1] + negative_sample_rate * strength * push
+            block.first, block.second = 0.5 * block.first + 0.5 * grad, 0.9 * block.second + 0.1 * grad**2
+            step = learning_rate * (1 - t / n_epochs)
+            unbiased = block.first / (1 - 0.5 ** (t + 1)), block.second / (1 - 0.9 ** (t + 1))
+            block.at += step * unbiased[0] / (np.sqrt(unbiased[1]) + 1e-7)
+
+    for turn, rounds in layout.supersteps(n_epochs, UMAP_INNER):
+        layout.advance(move, turn, rounds)
     return layout.result()
 
 
@@ -229,73 +212,95 @@ def place_by_neighbours(
 
     A cell starts at the weighted mean of its nearest model cells and is then
     moved against the frozen layout; cells do not see each other, so batches are
-    independent. Model cells keep their fitted position.
+    independent. The positions of the neighbours come by a join, the far cells are
+    a fixed number of hashed model cells. Model cells keep their fitted position.
     """
     others = vectors.join(model.select("cell_idx"), "cell_idx", "left_anti")
     knn = nearest(others, model, n_neighbors, metric)
-    held = layout.orderBy("cell_idx").toArrow()  # at most 20,000 positions
-    frozen = layout.sparkSession.sparkContext.broadcast((held.column("cell_idx").to_numpy(), list_matrix(held.column("vec"))))
+    far = layout.orderBy(F.xxhash64("cell_idx", F.lit(seed)), "cell_idx").limit(DRAWS).select("vec").toArrow()
+    drawn = layout.sparkSession.sparkContext.broadcast(list_matrix(far.column("vec")))
     a, b = curve_parameters(min_dist)
+    pull = umap_pull(a, b)
     rounds = max(1, n_epochs // 3)
+    weighted = weighted_neighbours(knn, fuzzy_weights, n_neighbors)
+    links = weighted.select("cell_idx", F.posexplode(F.arrays_zip("nn", "weight")).alias("pos", "z"))
+    near = links.join(layout.select(F.col("cell_idx").alias("n"), "vec"), F.col("z.nn") == F.col("n"))
+    listed = near.groupBy("cell_idx").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("z.weight").alias("weight"), "vec"))).alias("l"))
+    rows = listed.select("cell_idx", F.col("l.weight").alias("weight"), F.flatten("l.vec").alias("near"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at = frozen.value
+        pool = drawn.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nn = list_matrix(batch.column("nn"))
             w = list_matrix(batch.column("weight"))
-            near = at[np.searchsorted(ids, nn.ravel())]
-            counts = np.full(len(nn), nn.shape[1])
-            mine = _row_sums(near * w.reshape(-1, 1), counts) / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
-            rng = np.random.default_rng([seed, int(batch.column("cell_idx")[0].as_py())])
+            k = w.shape[1]
+            near_at = list_matrix(batch.column("near")).reshape(len(w) * k, -1)
+            node = np.repeat(np.arange(len(w)), k)
+            sums = lambda v: np.stack([np.bincount(node, x, len(w)) for x in v.T], axis=1)  # noqa: B023,E731
+            strength = w.sum(axis=1, keepdims=True)
+            mine = sums(near_at * w.reshape(-1, 1)) / np.maximum(strength, 1e-12)
+            ids = batch.column("cell_idx").to_numpy().astype(np.uint64)
             for turn in range(rounds):
-                far = at[rng.integers(0, len(at), size=(len(nn), 2 * negative_sample_rate))]
-                move = _pull_push(mine, counts, near, w.ravel(), far, a, b, negative_sample_rate)
+                picks = mixed(seed, 3, turn, ids[:, None], np.arange(2 * negative_sample_rate)[None, :]) % np.uint64(len(pool))
+                push = umap_push(mine, pool[picks.astype(np.int64)], a, b)
+                move = sums(pull(mine[node] - near_at, w.ravel())) + negative_sample_rate * strength * push
                 mine = mine + 0.1 * learning_rate * (1 - turn / rounds) * np.clip(move, -1, 1)
             yield pa.RecordBatch.from_arrays([batch.column("cell_idx"), matrix_list(mine)], ["cell_idx", "vec"])
 
-    placed = weighted_neighbours(knn, fuzzy_weights).mapInArrow(place, "cell_idx long, vec array<double>")
-    return placed.unionByName(layout)
+    return rows.mapInArrow(place, "cell_idx long, vec array<double>").unionByName(layout)
+
 
+def tsne_pull(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return diff * (w / (1 + (diff**2).sum(axis=1)))[:, None]
 
-def fit_tsne(vectors: DataFrame, components: int = 2, max_iter: int = 500, seed: int = 0) -> DataFrame:
-    """``(cell_idx, vec)``: t-SNE of at most 20,000 sampled cells.
 
-    Attraction runs along the sparse neighbour probabilities; every task sums the
-    repulsion of its own cells against all positions in small blocks.
+def fit_tsne(vectors: DataFrame, components: int = 2, max_iter: int = 500, seed: int = 0, block_size: int = BLOCK) -> DataFrame:
+    """``(cell_idx, vec)``: t-SNE of all cells given.
+
+    Attraction runs along the sparse neighbour probabilities. Repulsion is read from a
+    grid: with one block from the live positions of every round; with several from the
+    field of all cells at the start of a superstep, in which a block replaces its own part.
     """
+    if components != 2:
+        raise ValueError("t-SNE layouts have two dimensions")
     vectors = materialize(vectors.select("cell_idx", "vec"), "tsne")
     n = vectors.count()
-    knn = nearest(vectors, vectors, min(n, PERPLEXITY * NEIGHBOURS_PER_PERPLEXITY + 1), "euclidean")
-    links = _both_sides(weighted_neighbours(knn, perplexity_weights), lambda total, both: total / (2.0 * n))
-    layout = _Layout(vectors, links, components, seed, scale=1e-4)
-
-    def force(i, counts, j, w, at, turn):
-        mine = at[i]
-        diff = np.repeat(mine, counts, axis=0) - at[j]
-        num = 1 / (1 + (diff**2).sum(axis=1, keepdims=True))
-        pull = _row_sums(w[:, None] * num * diff, counts)
-        push, z = np.zeros_like(mine), np.zeros((len(mine), 1))
-        for lo in range(0, len(mine), 256):
-            block = mine[lo:lo + 256]
-            d2 = (block**2).sum(1)[:, None] + (at**2).sum(1)[None, :] - 2 * block @ at.T
-            q = 1 / (1 + np.maximum(d2, 0))
-            z[lo:lo + 256, 0] = q.sum(axis=1) - 1
-            q2 = q * q
-            push[lo:lo + 256] = q2.sum(axis=1, keepdims=True) * block - q2 @ at
-        return np.hstack([pull, push, z])
-
-    velocity, gain = np.zeros_like(layout.at), np.ones_like(layout.at)
+    layout = Layout(starting_positions(vectors, 2, 1e-4, seed), tsne_links(vectors, n), 2, tsne_pull, seed=seed, block_size=block_size)
     rate, early = max(n / 12.0 / 4, 50.0), max_iter // 4
-    for turn in range(max_iter):
-        f = layout.forces(force, 2 * components + 1, turn)
-        pull, push, z = f[:, :components], f[:, components:-1], f[:, -1].sum()
-        grad = 4 * ((12.0 if turn < early else 1.0) * pull - push / z)
-        gain = np.where(np.sign(grad) == np.sign(velocity), gain * 0.8, gain + 0.2).clip(0.01)
-        velocity = (0.5 if turn < early else 0.8) * velocity - rate * gain * grad
-        layout.at += velocity
-        layout.at -= layout.at.mean(axis=0)
+
+    def move(block: Block, turn: int, rounds: int, field: dict | None) -> None:
+        # ``first`` is the velocity, ``second`` the logarithm of the gain
+        fixed, others = block.at.copy(), None
+        if field is not None:
+            others = Grid((field["low_x"], field["low_y"]), field["step"], field["intervals"])
+            potentials = field["potentials"].reshape(4, -1)
+        for t in range(turn, turn + rounds):
+            low, high = block.at.min(axis=0), block.at.max(axis=0)
+            if field is None:
+                own = Grid.over(low, high)
+                read = own.read(own.potentials(own.spread(block.at, charges(block.at))), block.at)
+                z = read[:, 0].sum() - len(block.at)
+            else:
+                own = Grid.over(np.minimum(low, fixed.min(axis=0)), np.maximum(high, fixed.max(axis=0)))
+                change = own.spread(block.at, charges(block.at)) - own.spread(fixed, charges(fixed))
+                read = own.read(own.potentials(change), block.at) + others.read(potentials, block.at)
+                z = field["z"] - n
+            pull = block.sums(tsne_pull(block.at[block.node] - block.around()[block.other], block.weight)) + block.steady[:, :-1]
+            grad = 4 * ((12.0 if t < early else 1.0) * pull - repulsion(block.at, read) / max(z, 1e-12))
+            gain = np.exp(block.second)
+            gain = np.where(np.sign(grad) == np.sign(block.first), gain * 0.8, gain + 0.2).clip(0.01)
+            block.second = np.log(gain)
+            block.first = (0.5 if t < early else 0.8) * block.first - rate * gain * grad
+            block.at += block.first
+            if field is None:
+                block.at -= block.at.mean(axis=0)
+
+    for turn, rounds in layout.supersteps(max_iter, TSNE_INNER):
+        field = None
+        if layout.n_blocks > 1:  # wide enough for the way of a superstep
+            field = field_of(layout, Grid.over(*extent(layout), spare=0.1, least=INTERVALS * INTERVAL))
+        layout.advance(move, turn, rounds, field)
     return layout.result()
 
 

@@ -23,47 +23,121 @@ COMPONENTS = 50
 BEST_COMPONENTS = 10
 GRID = 512
 
-MAX_PCA_GENES = 8_000  # the driver holds one genes x genes matrix
+# Sketch of the range of the cells: directions beyond the wanted components, and
+# multiplications with the covariance. The driver holds genes x directions numbers.
+OVERSAMPLE = 10
+POWERS = 4
+MAX_SKETCH = 512 * 2**20
 
+MERGED_ROWS = 64  # triangular factors that one step of the merging tree takes
+CHUNK = 256  # genes of one row of partial sums
 
-def gram_matrix(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """``(rows, column sums, X'X)``.
 
-    Every task multiplies its own batches and sends one genes x genes partial sum,
-    row by row; Spark adds the rows up. The cells themselves never meet.
+def column_sums(vectors: DataFrame) -> tuple[int, np.ndarray, float]:
+    """``(rows, sums of the columns, sum of all squares)``"""
+    squares = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    row = vectors.agg(
+        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("sums"), F.sum(squares).alias("squares")
+    ).first()
+    if not row.n:
+        raise ValueError("no cells to take components of")
+    return row.n, np.array(row.sums), row.squares
+
+
+def covariance_times(vectors: DataFrame, center: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """``X'(X W)`` of the centred cells, genes x directions.
+
+    Every task multiplies its own batches; partial sums are added up in chunks of
+    genes. A genes x genes matrix is never formed.
     """
-    width = vectors.agg(F.max(F.size("vec"))).first()[0]
-    if width > MAX_PCA_GENES:
-        raise ValueError(f"components of {width} genes do not fit the driver; select genes first")
+    model = vectors.sparkSession.sparkContext.broadcast((center, directions))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width + 1, width + 1))
+        middle, w = model.value
+        total = np.zeros_like(w)
         for batch in batches:
             if batch.num_rows:
-                x = np.hstack([list_matrix(batch.column("vec")), np.ones((batch.num_rows, 1))])
-                total += x.T @ x
-        for lo in range(0, width + 1, 256):
-            rows = total[lo:lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(rows))), matrix_list(rows)], ["i", "row"])
-
-    rows = vectors.select("vec").mapInArrow(partial, "i long, row array<double>")
-    added = rows.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
-    held = added.orderBy("i").toArrow()
-    full = list_matrix(held.column("row"))
-    return int(round(full[-1, -1])), full[-1, :-1], full[:-1, :-1]
+                x = list_matrix(batch.column("vec")) - middle
+                total += x.T @ (x @ w)
+        for lo in range(0, len(total), CHUNK):
+            rows = total[lo:lo + CHUNK]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(1, lo)), matrix_list(rows.reshape(1, -1))], ["i", "rows"])
+
+    parts = vectors.select("vec").mapInArrow(partial, "i long, rows array<double>")
+    added = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("rows"))).alias("rows")).orderBy("i").toArrow()
+    return np.concatenate([np.array(r.as_py()).reshape(-1, directions.shape[1]) for r in added.column("rows")])
+
+
+def triangular_factor(vectors: DataFrame, center: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """``R`` of a QR of the centred cells x directions sketch: one factor per task, merged in a tree."""
+    width = directions.shape[1]
+    model = vectors.sparkSession.sparkContext.broadcast((center, directions))
+
+    def merged(blocks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for block in blocks:
+            r = np.linalg.qr(np.vstack([r, block]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([matrix_list(r.reshape(1, -1))], ["r"])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle, w = model.value
+        return merged((list_matrix(b.column("vec")) - middle) @ w for b in batches if b.num_rows)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return merged(row.values.to_numpy().reshape(-1, width) for b in batches for row in b.column("r"))
+
+    factors = materialize(vectors.select("vec").mapInArrow(sketch, "r array<double>"), "factors")
+    n = factors.count()
+    while n > MERGED_ROWS:
+        factors = materialize(factors.repartition(-(-n // MERGED_ROWS)).mapInArrow(join, "r array<double>"), "factors")
+        n = factors.count()
+    held = [row.values.to_numpy().reshape(-1, width) for row in factors.toArrow().column("r").combine_chunks()]
+    return np.linalg.qr(np.vstack(held), mode="r")
+
+
+def range_directions(vectors: DataFrame, center: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Orthonormal genes x directions that hold the leading components.
+
+    A random start and its products with powers of the covariance (a block Krylov space).
+    If that many directions are as many as genes, all of them are taken and the result is exact.
+    """
+    width = len(center)
+    block = min(k + OVERSAMPLE, width)
+    powers = max(1, min(POWERS, MAX_SKETCH // (8 * width * block) - 1))
+    if (powers + 1) * block >= width:
+        return np.eye(width)
+    last, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, block)))
+    basis = last
+    for _ in range(powers):
+        new = covariance_times(vectors, center, last)
+        for _ in range(2):  # twice is enough for full precision
+            new = new - basis @ (basis.T @ new)
+        scale = np.linalg.norm(new, axis=0).max()
+        if scale < 1e-10 * max(1.0, np.abs(center).max()):
+            break
+        last, _ = np.linalg.qr(new)
+        basis = np.hstack([basis, last])
+    return np.linalg.qr(basis)[0]
 
 
 def principal_components(vectors: DataFrame, k: int):
     """``(scores(cell_idx, vec), loadings as a numpy genes x k array, variance shares)``.
 
-    Centred, not scaled; a component's largest loading is positive.
+    Centred, not scaled; a component's largest loading is positive. Components come from
+    the triangular factor of the cells in the sketched directions.
     """
-    n, sums, squares = gram_matrix(vectors)
+    n, sums, squares = column_sums(vectors)
     center = sums / n
-    values, axes = np.linalg.eigh((squares - n * np.outer(center, center)) / max(n - 1, 1))
-    order = np.argsort(values)[::-1][:k]
-    axes = axes[:, order]
+    directions = range_directions(vectors, center, k)
+    _, sizes, turned = np.linalg.svd(triangular_factor(vectors, center, directions), full_matrices=False)
+    axes = (directions @ turned.T)[:, :k]
+    variances = np.zeros(k)
+    variances[: len(sizes[:k])] = sizes[:k] ** 2 / max(n - 1, 1)
+    if axes.shape[1] < k:  # fewer cells than components
+        axes = np.linalg.qr(np.hstack([axes, np.eye(len(center))]))[0][:, :k] if len(center) >= k else axes
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    total = max((squares - n * (center**2).sum()) / max(n - 1, 1), 0.0)
     model = vectors.sparkSession.sparkContext.broadcast((center, axes))
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +148,7 @@ def principal_components(vectors: DataFrame, k: int):
                 yield pa.RecordBatch.from_arrays([batch.column("cell_idx"), matrix_list(x)], ["cell_idx", "vec"])
 
     scores = vectors.select("cell_idx", "vec").mapInArrow(rotate, "cell_idx long, vec array<double>")
-    return scores, axes, np.maximum(values[order], 0) / max(values.clip(0).sum(), 1e-300)
+    return scores, axes, variances / max(total, 1e-300)
 
 
 def long_scores(scores: DataFrame) -> DataFrame:

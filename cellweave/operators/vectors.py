@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GENES = 20_000  # a vector is one row; beyond this select genes first
+MAX_GENES = 50_000  # a vector is one row; beyond this select genes first
+DENSE_BYTES = 32 * 2**20  # dense values made at once in a task
 
 
 def gene_positions(genes: DataFrame) -> DataFrame:
@@ -51,11 +52,14 @@ def dense_vectors(expr: DataFrame, cells: DataFrame, genes: DataFrame, value: Co
     )
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pos, values = batch.column("pos"), batch.column("value")
-            dense = np.zeros((batch.num_rows, n_genes))
-            rows = np.repeat(np.arange(batch.num_rows), np.diff(pos.offsets.to_numpy()))
-            dense[rows, pos.flatten().to_numpy()] = values.flatten().to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("cell_idx"), matrix_list(dense)], ["cell_idx", "vec"])
+        step = max(1, DENSE_BYTES // (8 * max(n_genes, 1)))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                pos, values = batch.column("pos"), batch.column("value")
+                dense = np.zeros((batch.num_rows, n_genes))
+                rows = np.repeat(np.arange(batch.num_rows), np.diff(pos.offsets.to_numpy()))
+                dense[rows, pos.flatten().to_numpy()] = values.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("cell_idx"), matrix_list(dense)], ["cell_idx", "vec"])
 
     return listed.mapInArrow(scatter, "cell_idx long, vec array<double>")

@@ -12,7 +12,7 @@ from cellweave.functions.numeric import log2p1
 from cellweave.functions.orderstats import bh_adjust
 from cellweave.functions.text import extract_field, make_unique, strip_common_suffix, zero_padded
 from cellweave.model import Experiment
-from cellweave.operators import cluster, correction, embed, graph, hvg, knn, markers, merge, normalize, pca_genes, qc, sampling
+from cellweave.operators import ballindex, cluster, correction, embed, graph, hvg, knn, markers, merge, normalize, pca_genes, qc, sampling
 from cellweave.operators.vectors import dense_vectors
 from cellweave.plans import figures
 from cellweave.session import checkpoint_root, materialize
@@ -165,12 +165,6 @@ def vector_sample(spark, folder) -> DataFrame:
     return materialize(sampling.random_sample(vectors(spark, folder), SAMPLED_VECTORS, SEED), "sample")
 
 
-def presampled_vectors(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """``(every, pool)``: all vectors, and those that a layout is fitted on."""
-    every = materialize(vectors(spark, folder), "vectors")
-    return every, materialize(sampling.presample(every, SEED), "pool")
-
-
 def sampled_knn(spark, folder) -> tuple[DataFrame, DataFrame]:
     """``(knn, sample)``: every vector's 11 nearest among the sample."""
     sample = vector_sample(spark, folder)
@@ -196,6 +190,15 @@ def knn_exact(spark, folder):
     return found.select("cell_idx", whole("nn_rank"), "nn_cell_idx", rounded("dist"))
 
 
+@query
+def knn_indexed(spark, folder):
+    """Every vector whose id is divisible by 20 against all, through a written index of small pages."""
+    every = vectors(spark, folder)
+    index = ballindex.build_index(every, "cosine", page_rows=64)
+    found = index.search(every.where("cell_idx % 20 = 0"), 11)
+    return found.select("cell_idx", whole("nn_rank"), "nn_cell_idx", rounded("dist"))
+
+
 @query
 def knn_graph_edges(spark, folder):
     return partition_edges(spark, folder)
@@ -534,6 +537,14 @@ def pca_variance(spark, folder):
     return spread.select(whole("pc"), rounded("modality"), rounded("variance"), rounded(share, "share"))
 
 
+@query
+def pca_leading(spark, folder):
+    """Variance of all vectors and of their leading component."""
+    scores, _, shares = pca_genes.principal_components(materialize(vectors(spark, folder), "vectors"), 3)
+    leading = F.var_samp(F.col("vec")[0])
+    return scores.agg(rounded(leading / float(shares[0]), "total"), rounded(leading, "leading"))
+
+
 @query
 def pc_gene_topk(spark, folder):
     held, genes = supplier_vectors(spark, folder)
@@ -558,19 +569,33 @@ def hclust_sizes(spark, folder):
     return labels.groupBy("label").agg(whole(F.count(F.lit(1)), "size"))
 
 
+def layout_rows(layout: DataFrame) -> DataFrame:
+    return layout.select("cell_idx", rounded(F.col("vec")[0], "x"), rounded(F.col("vec")[1], "y"))
+
+
+def link_rows(links: DataFrame) -> DataFrame:
+    return links.select(whole("node"), whole("other"), rounded("weight"))
+
+
+@query
+def umap_links(spark, folder):
+    return link_rows(embed.umap_links(materialize(vectors(spark, folder), "vectors")))
+
+
+@query
+def tsne_links(spark, folder):
+    held = materialize(vectors(spark, folder), "vectors")
+    return link_rows(embed.tsne_links(held, held.count()))
+
+
 @query
 def umap_embed(spark, folder):
-    every, pool = presampled_vectors(spark, folder)
-    layout = materialize(embed.fit_umap(pool, 2, seed=SEED), "layout")
-    return embed.place_by_neighbours(every, pool, layout, seed=SEED).select("cell_idx", rounded(F.col("vec")[0], "x"), rounded(F.col("vec")[1], "y"))
+    return layout_rows(embed.fit_umap(vectors(spark, folder), 2, seed=SEED))
 
 
 @query
 def tsne_embed(spark, folder):
-    every, pool = presampled_vectors(spark, folder)
-    layout = materialize(embed.fit_tsne(pool, 2, seed=SEED), "layout")
-    # one short step: the forces are those of the other layout, so the others stay near the mean of their neighbours
-    return embed.place_by_neighbours(every, pool, layout, n_epochs=1, seed=SEED).select("cell_idx", rounded(F.col("vec")[0], "x"), rounded(F.col("vec")[1], "y"))
+    return layout_rows(embed.fit_tsne(vectors(spark, folder), 2, seed=SEED))
 
 
 @query

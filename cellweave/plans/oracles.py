@@ -87,6 +87,54 @@ def neighbours(name: str, queries: str, samples: str, k: int) -> str:
                FROM {name}_all) WHERE nn_rank <= {k})"""
 
 
+def others(k: int) -> str:
+    """Every vector's ``k`` nearest others by Euclidean distance, as lists."""
+    return f"""
+    others AS (SELECT cell_idx, list(nn ORDER BY dist, nn) AS nn, list(dist ORDER BY dist, nn) AS dist FROM (
+        SELECT *, row_number() OVER (PARTITION BY cell_idx ORDER BY dist, nn) AS r FROM (
+            SELECT q.cell_idx, s.cell_idx AS nn, round(list_distance(q.vec, s.vec), 10) AS dist FROM vecs q, vecs s WHERE q.cell_idx <> s.cell_idx))
+        WHERE r <= {k} GROUP BY cell_idx)"""
+
+
+def solved(values: str, total: str, goal: str, weight: str, combined: str) -> tuple[str, ...]:
+    """Bisection of a scale per row, weights of the lists and the combined weight of every pair."""
+    return (
+        f"start AS (SELECT cell_idx, nn, {values} AS x FROM others)",
+        f"""solve(cell_idx, nn, x, low, high, turn) AS (
+        SELECT cell_idx, nn, x, 1e-12::DOUBLE, 1e12::DOUBLE, 0 FROM start
+        UNION ALL
+        SELECT cell_idx, nn, x, CASE WHEN above THEN low ELSE mid END, CASE WHEN above THEN mid ELSE high END, turn + 1 FROM (
+            SELECT *, {total} > {goal} AS above FROM (SELECT *, sqrt(low * high) AS mid FROM solve WHERE turn < 80)))""",
+        f"weighted AS (SELECT cell_idx, unnest(nn) AS nn, unnest({weight}) AS w FROM (SELECT *, sqrt(low * high) AS mid FROM solve WHERE turn = 80))",
+        f"""pairs AS (SELECT least(cell_idx, nn) AS a, greatest(cell_idx, nn) AS b, {combined} AS weight FROM weighted GROUP BY 1, 2)""",
+    )
+
+
+FUZZY = solved(
+    "list_transform(dist, lambda d: greatest(d - coalesce(list_min(list_filter(dist, lambda y: y > 0)), 0), 0))",
+    "list_sum(list_transform(x, lambda v: exp(-v / mid)))", "log2(len(x) + 1)", "list_transform(x, lambda v: exp(-v / mid))",
+    "sum(w) - CASE WHEN count(*) = 2 THEN min(w) * max(w) ELSE 0 END")
+PERPLEXED = solved(
+    "list_transform(dist, lambda d: d * d - list_min(dist) * list_min(dist))",
+    "ln(list_sum(list_transform(x, lambda v: exp(-v / mid)))) + list_sum(list_transform(x, lambda v: exp(-v / mid) * v))"
+    " / (list_sum(list_transform(x, lambda v: exp(-v / mid))) * mid)",
+    "ln(greatest(1.0, least(15, len(x) / 3)))",
+    "list_transform(x, lambda v: exp(-v / mid) / list_sum(list_transform(x, lambda y: exp(-y / mid))))",
+    "sum(w) / (2.0 * (SELECT count(*) FROM vecs))")
+LINKS = ("SELECT CAST(a AS BIGINT) AS node, CAST(b AS BIGINT) AS other, round(weight, 6) AS weight FROM pairs"
+         " UNION ALL SELECT CAST(b AS BIGINT), CAST(a AS BIGINT), round(weight, 6) FROM pairs")
+LEADING = (
+    "long AS (SELECT cell_idx, unnest(vec) AS v, unnest(range(len(vec))) AS d FROM vecs)",
+    "centred AS (SELECT cell_idx, d, v - avg(v) OVER (PARTITION BY d) AS v FROM long)",
+    "cov AS (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) / ((SELECT count(*) FROM vecs) - 1) AS c FROM centred a JOIN centred b USING (cell_idx) GROUP BY 1, 2)",
+    "matrix AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i))",
+    """powered(v, size, turn) AS (
+        SELECT list_transform(range(len(m)), lambda i: 1 + i::DOUBLE / 100), 0.0::DOUBLE, 0 FROM matrix
+        UNION ALL
+        SELECT list_transform(w, lambda x: x / s), s, turn + 1 FROM (
+            SELECT w, sqrt(list_dot_product(w, w)) AS s, turn FROM (
+                SELECT list_transform(m, lambda r: list_dot_product(r, v)) AS w, turn FROM powered, matrix WHERE turn < 1500)))""",
+)
 KNN = neighbours("knn", "vecs", "sample", 11)
 EDGES = neighbours("nn", "vecs", "vecs", 6) + """,
     edges AS (SELECT DISTINCT least(cell_idx, nn_cell_idx) AS src, greatest(cell_idx, nn_cell_idx) AS dst
@@ -242,6 +290,14 @@ def oracles() -> dict[str, str]:
             f"totals AS (SELECT pinit, pfin, scale, sum({quota('size', 'pinit', 'pfin', 'scale')}) AS total, sum(size) AS n FROM sizes, grid GROUP BY 1, 2, 3)",
             "missed AS (SELECT *, abs(total - least(n, 1000)) AS miss FROM totals)"),
         "knn_exact": sql("SELECT cell_idx, nn_rank, nn_cell_idx, round(dist, 6) AS dist FROM knn", VECTORS, SAMPLE, KNN),
+        "knn_indexed": sql(
+            "SELECT cell_idx, nn_rank, nn_cell_idx, round(dist, 6) AS dist FROM found", VECTORS,
+            "asked AS (SELECT * FROM vecs WHERE cell_idx % 20 = 0)", neighbours("found", "asked", "vecs", 11)),
+        "umap_links": "WITH RECURSIVE " + sql(LINKS, VECTORS, others(15), *FUZZY).removeprefix("WITH "),
+        "tsne_links": "WITH RECURSIVE " + sql(LINKS, VECTORS, others(45), *PERPLEXED).removeprefix("WITH "),
+        "pca_leading": "WITH RECURSIVE " + sql(
+            "SELECT round((SELECT sum(c) FROM cov WHERE i = j), 6) AS total, round(size, 6) AS leading FROM powered WHERE turn = 1500",
+            VECTORS, *LEADING).removeprefix("WITH "),
         "knn_graph_edges": sql("SELECT src, dst FROM edges", VECTORS, EDGES),
         "graph_degree": sql("SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1", VECTORS, EDGES),
         "modularity": sql(

@@ -372,6 +372,22 @@ def test_components_match_numpy(spark):
     assert np.allclose(got, (x - x.mean(0)) @ axes)
 
 
+@pytest.mark.parametrize("n, width, k", [(300, 400, 5), (30, 30_000, 4), (200, 12, 12), (6, 40, 5)])
+def test_sketched_components_match_a_full_decomposition(spark, monkeypatch, n, width, k):
+    """No genes x genes matrix: more genes than directions, 30,000 genes, few genes, fewer cells than components."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 8)) * 2.0 ** np.arange(8)[::-1] @ rng.normal(size=(8, width)) + rng.normal(size=(n, width)) + 5
+    monkeypatch.setattr(pca_genes, "MERGED_ROWS", 2)  # factors meet in several steps of the tree
+    frame_x = spark.createDataFrame(list(zip(range(n), x.tolist())), "cell_idx long, vec array<double>").repartition(7)
+    scores, axes, shares = pca_genes.principal_components(frame_x, k)
+    centred = x - x.mean(axis=0)
+    _, sizes, turned = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(shares, (sizes**2 / (sizes**2).sum())[:k], rtol=1e-6)
+    assert np.allclose(np.abs((turned[:k] * axes.T).sum(axis=1)), 1, atol=1e-5)
+    got = np.stack(scores.toPandas().sort_values("cell_idx")["vec"])
+    assert np.allclose(got, centred @ axes, atol=1e-8)
+
+
 def test_two_humps_beat_one(spark):
     rng = np.random.default_rng(8)
     one, two = rng.normal(size=400), np.concatenate([rng.normal(-6, 1, 200), rng.normal(6, 1, 200)])

@@ -85,7 +85,6 @@ def test_hclust_sizes_cover_every_vector(spark):
 @pytest.mark.parametrize("name,fit,rounds", [("umap_embed", "fit_umap", "n_epochs"), ("tsne_embed", "fit_tsne", "max_iter")])
 def test_layout_queries_place_every_vector(spark, monkeypatch, name, fit, rounds):
     folder = "/root/testdata/sf0.01"
-    monkeypatch.setattr(catalogue.sampling, "PRESAMPLE_LIMIT", 300)
     monkeypatch.setattr(catalogue.embed, fit, partial(getattr(catalogue.embed, fit), **{rounds: 5}))
     ids = sorted(r.cell_idx for r in catalogue.QUERIES[name](spark, folder).where("x IS NOT NULL AND y IS NOT NULL").collect())
     assert ids == sorted(r.cell_idx for r in catalogue.vectors(spark, folder).collect()) and len(ids) > 300

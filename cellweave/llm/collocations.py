@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import texts_of
@@ -52,6 +52,9 @@ BLOCK_BYTES = 12 << 20
 HEAVY_SHARE = 0.002
 SAMPLE_TEXTS, SAMPLE_LETTERS = 2000, 2000
 
+#: Text whose grams go to one partition, so that partitions grow in number and not in size.
+PART_BYTES = 8 << 20
+
 #: Byte that no UTF-8 text holds; stands for the end of a piece.
 END = b"\xff"
 PIECES = bytes(
@@ -140,9 +143,13 @@ def head_of(gram: Column) -> Column:
     return F.regexp_replace(gram, r"\t[^\t]*\t[^\t]*$", "")
 
 
-def heavy_heads(texts: DataFrame) -> set[str]:
-    """Languages and two first words that are frequent in a bounded sample of texts; they only steer the shuffle."""
-    some = texts.select("lang", F.left("text", F.lit(SAMPLE_LETTERS)).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(SAMPLE_TEXTS)
+def shuffle_plan(texts: DataFrame) -> tuple[set[str], int]:
+    """How grams are dealt out; it changes no result.
+
+    Languages and two first words that are frequent in a bounded sample of texts, and the bytes of all texts.
+    """
+    whole = Observation()
+    some = texts.observe(whole, F.sum(F.octet_length("text")).alias("bytes")).select("lang", F.left("text", F.lit(SAMPLE_LETTERS)).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(SAMPLE_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _grams(batches, BLOCK_BYTES)
@@ -150,7 +157,8 @@ def heavy_heads(texts: DataFrame) -> set[str]:
     heads = some.select("lang", "text").mapInArrow(run, GRAMS_SQL).select(head_of(F.col("gram")).alias("head"))
     rows, seen = materialize_with(heads, "sample-heads", n=F.count(F.lit(1)))
     least = max(20, HEAVY_SHARE * seen["n"])
-    return {r["head"] for r in rows.groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") > least).collect()}
+    heavy = {r["head"] for r in rows.groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") > least).collect()}
+    return heavy, whole.get["bytes"] or 0
 
 
 class _Runs:
@@ -231,7 +239,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    heavy = heavy_heads(texts)
+    heavy, size = shuffle_plan(texts)
+    parts = max(1, size // PART_BYTES)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _grams(batches, block)
@@ -242,7 +251,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     gram, head = F.col("gram"), head_of(F.col("gram"))
     node = F.regexp_replace(gram, r"[^ \t]*\t[^\t]*$", "")  # up to the third word
     target = F.when(head.isin(sorted(heavy)), node).otherwise(head) if heavy else head
-    edges = texts.mapInArrow(grams, GRAMS_SQL).repartition(target).sortWithinPartitions("gram")
+    edges = texts.mapInArrow(grams, GRAMS_SQL).repartition(parts, target).sortWithinPartitions("gram")
     flow = materialize(edges.mapInArrow(flows, FLOWS_SQL), "flows", "zstd")
     # pairs of spread heads and words are partial sums of partitions; the others are one row each
     added = flow.filter("size <= 2").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))

@@ -26,6 +26,7 @@ phrase's bytes; an empty table gives an empty result. Only the named columns are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,9 +73,17 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _joined(lang: str, *words: pa.Array) -> pa.Array:
-    """``lang``, a tab and the words; words hold no tabs."""
+    """``lang`` without tabs, a tab and the words; words hold no tabs."""
     head = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, " ")
-    return pc.binary_join_element_wise(pa.scalar(lang), head, "\t")
+    return pc.binary_join_element_wise(pa.scalar(escaped(lang)), head, "\t")
+
+
+def escaped(lang: str) -> str:
+    return lang.replace("\\", "\\\\").replace("\t", "\\t")
+
+
+def unescaped(lang: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\t" if m[1] == "t" else m[1], lang)
 
 
 def block_grams(lang: str, texts: list[bytes]) -> pa.Array:
@@ -139,8 +148,8 @@ def _grams(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
 
 def head_of(gram: Column) -> Column:
-    """The language and the first words: all but the last two fields."""
-    return F.regexp_replace(gram, r"\t[^\t]*\t[^\t]*$", "")
+    """The language and the first words."""
+    return F.substring_index(gram, "\t", 2)
 
 
 def shuffle_plan(texts: DataFrame) -> tuple[set[str], int]:
@@ -161,34 +170,43 @@ def shuffle_plan(texts: DataFrame) -> tuple[set[str], int]:
     return heavy, whole.get["bytes"] or 0
 
 
-class _Runs:
-    """Sums of equal neighbouring keys in a stream of sorted Arrow columns; the last run stays open."""
+def _shared_prefixes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bytes that each string shares with the one before it, from its start; 0 for the first."""
+    shared = np.zeros(len(start), np.int64)
+    room = np.zeros(len(start), np.int64)
+    room[1:] = np.minimum(size[1:], size[:-1])
+    going = np.flatnonzero(room > 0)
+    at = 0
+    while len(going):
+        going = going[data[start[going] + at] == data[start[going - 1] + at]]
+        at += 1
+        shared[going] = at
+        going = going[room[going] > at]
+    return shared
 
-    def __init__(self):
+
+class _Level:
+    """Sums of runs of grams with a common field in a sorted stream; the last run stays open."""
+
+    def __init__(self, size: int, least: int):
+        self.size, self.least = size, least
         self.key, self.total = None, 0
 
-    def add(self, keys: pa.Array, n: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """Closed runs as keys and sums."""
-        if not len(keys):
-            return keys, n
-        new = np.ones(len(keys), bool)
-        if len(keys) > 1:
-            new[1:] = np.array(pc.not_equal(keys[1:], keys[:-1]))
+    def add(self, new: np.ndarray, n: np.ndarray, keys) -> list[tuple[bytes, int]]:
+        """Closed runs of at least the least sum; ``keys(row)`` is the key of a run that starts there, None if it has none."""
         starts = np.flatnonzero(new)
+        if not len(starts):
+            self.total += int(n.sum())
+            return []
+        closed = [(self.key, self.total + int(n[: starts[0]].sum()))]
         sums = np.add.reduceat(n, starts)
-        names = keys.take(pa.array(starts))
-        first = names[0].as_py()
-        if self.key == first:
-            sums[0] += self.total
-        elif self.key is not None:
-            names = pa.concat_arrays([pa.array([self.key], keys.type), names])
-            sums = np.append(self.total, sums)
-        self.key, self.total = names[-1].as_py(), int(sums[-1])
-        return names[:-1], sums[:-1]
+        kept = np.flatnonzero(sums[:-1] >= self.least)
+        closed += [(keys(starts[i]), int(sums[i])) for i in kept]
+        self.key, self.total = keys(starts[-1]), int(sums[-1])
+        return [c for c in closed if c[0] is not None and c[1] >= self.least]
 
-    def close(self) -> tuple[pa.Array, np.ndarray]:
-        keys = [] if self.key is None else [self.key]
-        return pa.array(keys, pa.string()), np.array([self.total] * len(keys), np.int64)
+    def close(self) -> list[tuple[bytes, int]]:
+        return [(self.key, self.total)] if self.key is not None and self.total >= self.least else []
 
 
 def _flows(batches: Iterator[pa.RecordBatch], least: int, heavy: set[str]) -> Iterator[pa.RecordBatch]:
@@ -196,42 +214,74 @@ def _flows(batches: Iterator[pa.RecordBatch], least: int, heavy: set[str]) -> It
 
     Phrases of three and four words are whole here and dropped below ``least``; so are
     pairs unless their head is spread over partitions. First words of pairs are partial sums.
+    Neighbours in sorted order have a field in common if they share its bytes and end mark.
     """
-    runs = {name: _Runs() for name in ("four", "three", "two", "spread", "one")}
-    sizes = {"four": 4, "three": 3, "two": 2, "spread": 2, "one": 1}
-
-    def rows(name: str, keys: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = np.flatnonzero(n >= (least if name in ("four", "three", "two") else 1))
-        if len(keep):
-            parts = pc.split_pattern(keys.take(pa.array(keep)), "\t", max_splits=1, reverse=True)
-            size = pa.array(np.full(len(keep), sizes[name], np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pc.list_element(parts, 0), size, pc.list_element(parts, 1), pa.array(n[keep])], schema=FLOWS
-            )
+    four, three, two, spread, one = _Level(4, least), _Level(3, least), _Level(2, least), _Level(2, 1), _Level(1, 1)
+    spread_heads = {h.encode() for h in heavy}
+    last = b""
+
+    def rows(found: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+        langs: dict[bytes, str] = {}
+        split = [key.split(b"\t", 1) for _, key, _ in found]
+        for lang, _ in split:
+            if lang not in langs:
+                langs[lang] = unescaped(lang.decode())
+        phrases = pa.array([words for _, words in split], pa.binary()).view(pa.string())
+        sizes, sums = pa.array([f[0] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([langs[lang] for lang, _ in split], pa.string()), sizes, phrases, sums], schema=FLOWS)
 
-    spread_heads = pa.array(sorted(heavy), pa.string())
     for batch in batches:
-        # words hold no tabs, so fields are taken from the right
-        fields = pc.split_pattern(batch.column(0), "\t", max_splits=3, reverse=True)
-        lang, words, tail, number = (pc.list_element(fields, i) for i in range(4))
-        head = pc.binary_join_element_wise(lang, words, "\t")
-        n = pc.if_else(pc.equal(number, ""), "1", number).cast(pa.int64()).to_numpy()
-        spread = np.array(pc.is_in(head, spread_heads))
-        paired = np.array(pc.match_substring(words, " "))
-        third = pc.list_element(pc.split_pattern(tail, " ", max_splits=1), 0)
-        has3, has4 = np.array(pc.not_equal(third, "")), np.array(pc.invert(pc.ends_with(tail, " ")))
-        node = pc.binary_join_element_wise(head, third, " ")
-        keys = {
-            "four": (pc.binary_join_element_wise(head, tail, " "), has4),
-            "three": (node, has3),
-            "two": (head, paired & ~spread),
-            "spread": (head, paired & spread),
-            "one": (pc.replace_substring_regex(head, " [^ \t]*$", ""), np.ones(len(n), bool)),
-        }
-        for name, (key, here) in keys.items():
-            yield from rows(name, *runs[name].add(key.filter(pa.array(here)), n[here]))
-    for name, open_run in runs.items():
-        yield from rows(name, *open_run.close())
+        if not batch.num_rows:
+            continue
+        # the last gram of the batch before comes first, so that runs go on
+        grams = pa.concat_arrays([pa.array([last or b"\t\t\t"], pa.binary()), batch.column(0).cast(pa.binary())])
+        last = grams[-1].as_py()
+        data = np.frombuffer(grams.buffers()[2], np.uint8)
+        offsets = np.frombuffer(grams.buffers()[1], np.int32)[: len(grams) + 1].astype(np.int64)
+        start, size = offsets[:-1], np.diff(offsets)
+        body = data[offsets[0] : offsets[-1]]
+        tabs = (np.flatnonzero(body == 9) + offsets[0]).reshape(-1, 3)  # three end marks in each
+        space = np.flatnonzero(body == 32) + offsets[0]
+        # first space after the language, if it is before the end of the head; and the one in the tail
+        after = lambda at: np.append(space, len(data))[np.searchsorted(space, at)]  # noqa: B023,E731
+        first_end = np.minimum(after(tabs[:, 0]), tabs[:, 1])
+        third_end = after(tabs[:, 1])
+        shared = _shared_prefixes(data, start, size)[1:]
+        start, end, size = start[1:], offsets[2:], size[1:]
+        tabs, first_end, third_end = tabs[1:], first_end[1:], third_end[1:]
+        n = np.zeros(len(start), np.int64)
+        digits = end - tabs[:, 2] - 1
+        for k in range(int(digits.max(initial=0))):
+            here = np.flatnonzero(digits > k)
+            n[here] = 10 * n[here] + data[tabs[here, 2] + 1 + k] - 48
+        n[digits == 0] = 1
+
+        def key(stop: np.ndarray, there: np.ndarray):
+            return lambda i: bytes(data[start[i] : stop[i]]) if there[i] else None  # noqa: B023
+
+        paired = first_end < tabs[:, 1]
+        has3, has4 = third_end > tabs[:, 1] + 1, tabs[:, 2] > third_end + 1
+        found = [(1, *x) for x in one.add(shared <= first_end - start, n, key(first_end, np.ones(len(n), bool)))]
+        new2 = shared <= tabs[:, 1] - start
+        plain, marked = key(tabs[:, 1], paired), key(tabs[:, 1], paired)
+        if spread_heads:
+            plain = lambda i, of=plain: None if (k := of(i)) in spread_heads else k
+            marked = lambda i, of=marked: k if (k := of(i)) in spread_heads else None
+            found += [(2, *x) for x in spread.add(new2, n, marked)]
+        found += [(2, *x) for x in two.add(new2, n, plain)]
+        found += [(3, _one_space(k), v) for k, v in three.add(shared <= third_end - start, n, key(third_end, paired & has3))]
+        found += [(4, _one_space(k), v) for k, v in four.add(shared <= tabs[:, 2] - start, n, key(tabs[:, 2], has4))]
+        if found:
+            yield rows(found)
+    found = [(x.size, _one_space(k) if x.size > 2 else k, v) for x in (four, three, two, spread, one) for k, v in x.close()]
+    if found:
+        yield rows(found)
+
+
+def _one_space(key: bytes) -> bytes:
+    """The phrase of a key: the tab between the second and the third word becomes a space."""
+    lang, head, tail = key.split(b"\t")
+    return lang + b"\t" + head + b" " + tail
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, block: int = BLOCK_BYTES) -> DataFrame:
@@ -249,7 +299,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         return _flows(batches, least, heavy)
 
     gram, head = F.col("gram"), head_of(F.col("gram"))
-    node = F.regexp_replace(gram, r"[^ \t]*\t[^\t]*$", "")  # up to the third word
+    node = F.regexp_replace(gram, r"[^ \t]*\t[^\t]*$", "")  # up to the third word; for spread heads only
     target = F.when(head.isin(sorted(heavy)), node).otherwise(head) if heavy else head
     edges = texts.mapInArrow(grams, GRAMS_SQL).repartition(parts, target).sortWithinPartitions("gram")
     flow = materialize(edges.mapInArrow(flows, FLOWS_SQL), "flows", "zstd")

@@ -46,7 +46,7 @@ def cases():
     rows += [(f"{rng.choice(words)} {passage} {rng.choice(words)}", rng.choice(["en", "en us", ""])) for _ in range(30)]
     rows += [("ring a ring a ring a ring", "de")] * 5
     for _ in range(150):
-        rows.append((rng.choice([" ", ", ", "\t", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(1, 14))), rng.choice(["en", None, "a\tb", "\tq"])))
+        rows.append((rng.choice([" ", ", ", "\t", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(1, 14))), rng.choice(["en", None, "a\tb", "\tq", "b\\t", "two words"])))
     return rows
 
 
@@ -55,7 +55,7 @@ def test_by_brute_force(spark, monkeypatch, block, heavy):
     """Blocks of any size and spread heads give the same counts."""
     if heavy is not None:
         # any heads may be spread
-        monkeypatch.setattr(collocations, "shuffle_plan", lambda texts: ({"en\tone two", "en us\ttwo three", "und\ta b", "\tq\tthe the", "en\tx x"}, 7 * collocations.PART_BYTES))
+        monkeypatch.setattr(collocations, "shuffle_plan", lambda texts: ({"en\tone two", "en us\ttwo three", "und\ta b", "\\tq\tthe the", "en\tx x"}, 7 * collocations.PART_BYTES))
     rows = cases()
     docs = spark.createDataFrame([(i, t, g, "clash") for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string, words string")
     got = collocations.collocations(docs.repartition(5), least=4, block=block).collect()

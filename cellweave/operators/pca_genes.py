@@ -155,14 +155,14 @@ def long_scores(scores: DataFrame) -> DataFrame:
     return scores.select("cell_idx", F.posexplode("vec").alias("pc", "score"))
 
 
-def component_modality(scores: DataFrame) -> DataFrame:
-    """``(pc, modality, variance)`` of the score distribution per component.
+def density_bins(long: DataFrame) -> DataFrame:
+    """``(pc, bw, low, high, variance, bin, weight)`` of ``(pc, score)``: linearly binned scores on a grid.
 
-    Modality is half the number of rising and falling runs of a Gaussian density
-    estimate. Scores are binned linearly on a grid by Spark; only the grid of one
-    component (512 weights) reaches a task as a group.
+    The bandwidth is the rule of thumb 0.9 min(sd, iqr / 1.34) n^(-1/5); the density is asked
+    for from three bandwidths below the lowest score to three above the highest (``low``,
+    ``high``), and binned on a grid that reaches four bandwidths further on both sides.
+    Weights of a component add up to one; components without spread have no rows.
     """
-    long = long_scores(scores)
     # Component scores exist for sampled cells only, so a component is a bounded group.
     spread = long.groupBy("pc").agg(
         F.count(F.lit(1)).alias("n"),
@@ -177,32 +177,97 @@ def component_modality(scores: DataFrame) -> DataFrame:
     spread = (
         spread.withColumn("bw", 0.9 * narrow * F.pow("n", F.lit(-0.2)))
         .where("bw > 0")
-        .withColumn("start", F.col("lowest") - 3 * F.col("bw"))
-        .withColumn("step", (F.col("highest") - F.col("lowest") + 6 * F.col("bw")) / (GRID - 1))
+        .withColumn("low", F.col("lowest") - 3 * F.col("bw"))
+        .withColumn("high", F.col("highest") + 3 * F.col("bw"))
     )
-    place = long.join(F.broadcast(spread), "pc").withColumn("at", (F.col("score") - F.col("start")) / F.col("step"))
-    low = F.floor("at")
+    step = (F.col("high") - F.col("low") + 8 * F.col("bw")) / (GRID - 1)
+    place = long.join(F.broadcast(spread), "pc").withColumn("at", (F.col("score") - F.col("low") + 4 * F.col("bw")) / step)
+    below = F.floor("at")
     halves = F.array(
-        F.struct(low.alias("bin"), (1 - (F.col("at") - low)).alias("weight")),
-        F.struct((low + 1).alias("bin"), (F.col("at") - low).alias("weight")),
+        F.struct(below.alias("bin"), (1 - (F.col("at") - below)).alias("weight")),
+        F.struct((below + 1).alias("bin"), (F.col("at") - below).alias("weight")),
     )
-    binned = (
-        place.select("pc", "bw", "step", "variance", F.explode(halves).alias("h"))
-        .groupBy("pc", "bw", "step", "variance", "h.bin")
-        .agg(F.sum("h.weight").alias("weight"))
+    keys = ["pc", "bw", "low", "high", "variance"]
+    return (
+        place.select(*keys, "n", F.explode(halves).alias("h"))
+        .groupBy(*keys, "n", "h.bin")
+        .agg((F.sum("h.weight") / F.col("n")).alias("weight"))
+        .drop("n")
     )
-    return binned.groupBy("pc").applyInPandas(_half_runs, "pc int, modality double, variance double")
+
+
+def component_modality(scores: DataFrame) -> DataFrame:
+    """``(pc, modality, variance)`` of the score distribution per component.
+
+    Modality is half the number of runs of one sign of the slope of a Gaussian density
+    estimate smoothed by a penalised cubic spline. Spark bins the scores; only the grid
+    of one component (512 weights) reaches a task as a group.
+    """
+    return density_bins(long_scores(scores)).groupBy("pc").applyInPandas(_half_runs, "pc int, modality double, variance double")
+
+
+def density_on_grid(weights: np.ndarray, bw: float, low: float, high: float) -> np.ndarray:
+    """The density at ``GRID`` points from low to high: kernel sums on the wider grid, read off between its points."""
+    wide = np.linspace(low - 4 * bw, high + 4 * bw, GRID)
+    kernel = np.exp(-0.5 * ((wide - wide[0])[None, :] - (wide - wide[0])[:, None]) ** 2 / bw**2) / (bw * np.sqrt(2 * np.pi))
+    return np.interp(np.linspace(low, high, GRID), wide, kernel @ weights)
+
+
+#: Penalty of the squared second derivative on a grid of unit spacing. A smoothing parameter of 0.5 is 16 times the
+#: ratio of the sums of squares of the spline basis (1/2) and of its second derivatives (8/3).
+PENALTY = 3.0
+
+
+def spline_slopes(values: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """Slopes at the points of the natural cubic spline that minimises squared misfit plus penalty, unit spacing.
+
+    With second derivatives ``c`` at the inner points, ``(R + penalty Q'Q) c = Q'y`` and the
+    fit is ``y - penalty Q c``; the band matrix has five diagonals and is eliminated along them.
+    """
+    n = len(values)
+    m = n - 2
+    main = np.full(m, 2 / 3 + 6 * penalty)
+    one = np.full(m, 1 / 6 - 4 * penalty)
+    two = np.full(m, penalty)
+    right = np.diff(values, 2)
+    # factors of a symmetric band matrix: unit lower triangle with two bands, and a diagonal
+    d, l1, l2, z = np.zeros(m), np.zeros(m), np.zeros(m), np.zeros(m)
+    for i in range(m):
+        d[i] = main[i]
+        z[i] = right[i]
+        if i >= 2:
+            l2[i] = two[i] / d[i - 2]
+            d[i] -= l2[i] ** 2 * d[i - 2]
+            z[i] -= l2[i] * z[i - 2]
+        if i >= 1:
+            l1[i] = (one[i] - (l2[i] * d[i - 2] * l1[i - 1] if i >= 2 else 0.0)) / d[i - 1]
+            d[i] -= l1[i] ** 2 * d[i - 1]
+            z[i] -= l1[i] * z[i - 1]
+    c = z / d
+    for i in range(m - 2, -1, -1):
+        c[i] -= l1[i + 1] * c[i + 1] + (l2[i + 2] * c[i + 2] if i + 2 < m else 0.0)
+    curve = np.concatenate([[0.0], c, [0.0]])
+    fit = values.astype(float).copy()
+    fit[:-2] -= penalty * c
+    fit[1:-1] += 2 * penalty * c
+    fit[2:] -= penalty * c
+    step = np.diff(fit)
+    slopes = np.empty(n)
+    slopes[:-1] = step - (2 * curve[:-1] + curve[1:]) / 6
+    slopes[-1] = step[-1] + (curve[-2] + 2 * curve[-1]) / 6
+    return slopes
+
+
+def half_runs(density: np.ndarray) -> float:
+    return (1 + np.count_nonzero(np.diff(np.sign(spline_slopes(density))))) / 2
 
 
 def _half_runs(grid: pd.DataFrame) -> pd.DataFrame:
     weights = np.zeros(GRID)
-    weights[grid["bin"].astype(int).clip(0, GRID - 1)] = grid["weight"]
-    width = grid["bw"].iloc[0] / grid["step"].iloc[0]
-    kernel = np.exp(-0.5 * (np.arange(1 - GRID, GRID) / width) ** 2)
-    density = np.convolve(weights, kernel)[GRID - 1:2 * GRID - 1]
-    slope = np.sign(np.diff(density))
-    runs = 1 + np.count_nonzero(np.diff(slope))
-    return pd.DataFrame({"pc": [grid["pc"].iloc[0]], "modality": [runs / 2], "variance": [grid["variance"].iloc[0]]})
+    np.add.at(weights, grid["bin"].astype(int).clip(0, GRID - 1), grid["weight"])
+    bw, low, high, variance = (grid[c].iloc[0] for c in ("bw", "low", "high", "variance"))
+    runs = half_runs(density_on_grid(weights, bw, low, high))
+    return pd.DataFrame({"pc": [grid["pc"].iloc[0]], "modality": [runs], "variance": [variance]})
 
 
 def best_components(modality: DataFrame, keep: int = BEST_COMPONENTS) -> DataFrame:

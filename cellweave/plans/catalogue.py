@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.numeric import log2p1
@@ -16,6 +17,7 @@ from cellweave.operators import ballindex, cluster, correction, embed, graph, hv
 from cellweave.operators.vectors import dense_vectors
 from cellweave.plans import figures
 from cellweave.session import checkpoint_root, materialize
+from cellweave.sources import delimited, tenx
 from cellweave.sources import tables as T
 from cellweave.sources.delimited import wide_to_long
 from cellweave.streaming.assign import assign_stream
@@ -46,6 +48,61 @@ def norm_matrix(spark: SparkSession, folder: str, gene: str) -> DataFrame:
     return T.once(spark, (folder, "norm", gene), build)
 
 
+# ---- readers ----
+
+def written_lines(lines: DataFrame, path: str, **options) -> None:
+    """One file of ``line`` in the order of the other columns."""
+    order = [c for c in lines.columns if c != "line"]
+    lines.repartition(1).sortWithinPartitions(*order).select("line").write.text(path, **options)
+
+
+def written_10x(spark, folder) -> dict[str, str]:
+    """Two version-3 directories made of the table: customers of even and odd key, suppliers of two types."""
+    root = f"{checkpoint_root(spark)}/cellweave/10x-{uuid.uuid4().hex}"
+    genes = T.genes(spark, folder, "supplier").select("gene_idx", "symbol")
+    kind = F.when(F.col("gene_idx") % 2 == 0, "Gene Expression").otherwise("Antibody Capture")
+    place = Window.partitionBy(F.lit(0)).orderBy("gene_idx")  # suppliers and customers of one directory are numbered as a file does
+    features = materialize(genes.withColumn("row", F.row_number().over(place)), "features")
+    paths = {}
+    for name, rest in (("even", 0), ("odd", 1)):
+        cells = T.cells(spark, folder).where(F.col("cell_idx") % 2 == rest).select("cell_idx", "cell_id")
+        cells = materialize(cells.withColumn("column", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cell_idx"))), "barcodes")
+        counts = T.stored_matrix(spark, folder, "supplier").join(cells, "cell_idx").join(features, "gene_idx")
+        entries = counts.select(F.lit(2).alias("a"), F.col("column").alias("b"), F.col("row").alias("c"), F.concat_ws(" ", "row", "column", "count").alias("line"))
+        sizes = f"{features.count()} {cells.count()} {entries.count()}"
+        head = spark.createDataFrame([(0, 0, 0, "%%MatrixMarket matrix coordinate real general"), (1, 0, 0, sizes)], "a int, b int, c int, line string")
+        paths[name] = f"{root}/{name}"
+        gz = {"compression": "gzip"}
+        written_lines(head.union(entries), f"{paths[name]}/matrix.mtx.gz", **gz)
+        written_lines(cells.select("column", F.concat("cell_id", F.lit("-1")).alias("line")), f"{paths[name]}/barcodes.tsv.gz", **gz)
+        written_lines(features.select("row", F.concat_ws("\t", F.concat(F.lit("S"), "gene_idx"), "symbol", kind).alias("line")), f"{paths[name]}/features.tsv.gz", **gz)
+    return paths
+
+
+@query
+def read_10x_types(spark, folder):
+    found = tenx.read_10x_types(spark, written_10x(spark, folder))
+    parts = [
+        exp.expr.join(exp.cells, "cell_idx").join(exp.genes, "gene_idx").select(F.lit(kind).alias("feature_type"), "cell_id", "symbol", rounded("count"))
+        for kind, exp in found.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def read_delimited(spark, folder):
+    """A written file with a line per customer and a column per brand, brands as cells."""
+    wide = T.stored_matrix(spark, folder, "brand").groupBy("cell_idx").pivot("gene_idx", list(range(1, 26))).sum("count")
+    columns = [c for c in wide.columns if c != "cell_idx"]
+    quoted = F.concat(F.lit('"customer, '), "cell_idx", F.lit('"'))
+    lines = wide.select(F.col("cell_idx").alias("a"), F.concat_ws(",", quoted, *(F.coalesce(F.col(c), F.lit(0.0)) for c in columns)).alias("line"))
+    head = spark.createDataFrame([(-1, ",".join(['""', *(f'"brand {c}"' for c in columns)]))], "a long, line string")
+    path = f"{checkpoint_root(spark)}/cellweave/wide-{uuid.uuid4().hex}"
+    written_lines(head.union(lines), path)
+    exp = delimited.read_delimited(spark, path)
+    return exp.expr.join(exp.cells, "cell_idx").join(exp.genes, "gene_idx").select("barcode", "symbol", rounded("count"))
+
+
 # ---- quality, normalisation, gene ranking ----
 
 @query
@@ -537,6 +594,13 @@ def pca_variance(spark, folder):
     return spread.select(whole("pc"), rounded("modality"), rounded("variance"), rounded(share, "share"))
 
 
+@query
+def density_bins(spark, folder):
+    """Binned densities of every dimension of the vectors, as they are taken of component scores."""
+    found = pca_genes.density_bins(pca_genes.long_scores(vectors(spark, folder)))
+    return found.select(whole("pc"), whole("bin"), rounded("bw"), rounded("low"), rounded("high"), rounded("weight"))
+
+
 @query
 def pca_leading(spark, folder):
     """Variance of all vectors and of their leading component."""

@@ -290,11 +290,29 @@ def oracles() -> dict[str, str]:
             f"totals AS (SELECT pinit, pfin, scale, sum({quota('size', 'pinit', 'pfin', 'scale')}) AS total, sum(size) AS n FROM sizes, grid GROUP BY 1, 2, 3)",
             "missed AS (SELECT *, abs(total - least(n, 1000)) AS miss FROM totals)"),
         "knn_exact": sql("SELECT cell_idx, nn_rank, nn_cell_idx, round(dist, 6) AS dist FROM knn", VECTORS, SAMPLE, KNN),
+        "read_10x_types": (
+            "SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'Gene Expression' ELSE 'Antibody Capture' END AS feature_type,"
+            " CASE WHEN o_custkey % 2 = 0 THEN 'even_' ELSE 'odd_' END || c_name AS cell_id, s_name AS symbol, CAST(sum(l_quantity) AS DOUBLE) AS count"
+            " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"
+            " GROUP BY l_suppkey, o_custkey, c_name, s_name HAVING sum(l_quantity) <> 0"),
+        "read_delimited": (
+            "SELECT 'brand ' || substring(p_brand, 7) AS barcode, 'customer, ' || o_custkey AS symbol, CAST(sum(l_quantity) AS DOUBLE) AS count"
+            " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY p_brand, o_custkey HAVING sum(l_quantity) <> 0"),
         "knn_indexed": sql(
             "SELECT cell_idx, nn_rank, nn_cell_idx, round(dist, 6) AS dist FROM found", VECTORS,
             "asked AS (SELECT * FROM vecs WHERE cell_idx % 20 = 0)", neighbours("found", "asked", "vecs", 11)),
         "umap_links": "WITH RECURSIVE " + sql(LINKS, VECTORS, others(15), *FUZZY).removeprefix("WITH "),
         "tsne_links": "WITH RECURSIVE " + sql(LINKS, VECTORS, others(45), *PERPLEXED).removeprefix("WITH "),
+        "density_bins": sql(
+            "SELECT pc, CAST(bin AS BIGINT) AS bin, round(bw, 6) AS bw, round(low, 6) AS low, round(high, 6) AS high, round(sum(w) / n, 6) AS weight"
+            " FROM (SELECT pc, bw, low, high, n, floor(place) AS bin, 1 - (place - floor(place)) AS w FROM placed"
+            " UNION ALL SELECT pc, bw, low, high, n, floor(place) + 1, place - floor(place) FROM placed) GROUP BY pc, bin, bw, low, high, n", VECTORS,
+            "scores AS (SELECT unnest(vec) AS v, unnest(range(len(vec))) AS pc FROM vecs)",
+            "widths AS (SELECT pc, count(*) AS n, min(v) AS lowest, max(v) AS highest, stddev_samp(v) AS sd,"
+            " (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iqr FROM scores GROUP BY pc)",
+            "bands AS (SELECT *, 0.9 * CASE WHEN iqr > 0 THEN least(sd, iqr) ELSE sd END * pow(n, -0.2) AS bw FROM widths)",
+            "spans AS (SELECT pc, n, bw, lowest - 3 * bw AS low, highest + 3 * bw AS high FROM bands WHERE bw > 0)",
+            "placed AS (SELECT pc, n, bw, low, high, (v - low + 4 * bw) / ((high - low + 8 * bw) / 511) AS place FROM scores JOIN spans USING (pc))"),
         "pca_leading": "WITH RECURSIVE " + sql(
             "SELECT round((SELECT sum(c) FROM cov WHERE i = j), 6) AS total, round(size, 6) AS leading FROM powered WHERE turn = 1500",
             VECTORS, *LEADING).removeprefix("WITH "),

@@ -53,12 +53,17 @@ def split_fields(line: Column, sep: str, quote: str = '"') -> Column:
     """Trimmed fields of a line, quotes taken away, in one pass over it.
 
     Every second piece between quotes stands inside them; its separators are
-    hidden behind a character that text files do not hold.
+    hidden behind a character that text files do not hold. Nothing between two
+    quotes that close and open again is a doubled quote, which stands for one.
     """
     hidden = F.lit("\x00")
     if quote:
         pieces = F.split(line, re.escape(quote), -1)
-        shown = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(sep), hidden)).otherwise(p))
+        doubled = lambda p, i: (p == "") & (i > 0) & (i < F.size(pieces) - 1)
+        shown = F.transform(
+            pieces,
+            lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(sep), hidden)).when(doubled(p, i), F.lit(quote)).otherwise(p),
+        )
         line = F.when(F.contains(line, F.lit(quote)), F.array_join(shown, "")).otherwise(line)
     return F.transform(F.split(line, re.escape(sep), -1), lambda f: F.trim(F.replace(f, hidden, F.lit(sep))))
 
@@ -78,6 +83,11 @@ def _read_one(spark: SparkSession, path: str, sep: str, header: bool, quote: str
     skip = 1 if named else 0
     width = len(probe["f"]) - skip
     titles = first["f"][-width:] if header else None
+    if header and len(first["f"]) not in (width, width + skip):
+        raise ValueError(f"the header of {path} names {len(first['f'])} columns, the first line has {len(probe['f'])} fields")
+    ragged = body.where(F.size("f") != width + skip).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")).first()
+    if ragged["n"]:
+        raise ValueError(f"{ragged['n']} lines of {path} do not have {width + skip} fields, the first is line {ragged['first'] + 1}")
     rows = body.withColumn("gene_idx", F.col("idx") - (1 if header else 0))
     counts = rows.select("gene_idx", F.posexplode(F.slice("f", skip + 1, width)).alias("at", "text")).select(
         F.col("at").cast("long").alias("cell_idx"), "gene_idx", F.col("text").cast("double").alias("count")

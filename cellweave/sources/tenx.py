@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from cellweave.functions.text import make_unique, strip_common_suffix
 from cellweave.model import Experiment
 from cellweave.operators.merge import CELL_STRIDE
-from cellweave.session import materialize
+from cellweave.session import materialize, materialize_with
 from cellweave.sources.files import exists, numbered_lines
 
 EXPRESSION_TYPE = "Gene Expression"
@@ -25,37 +26,64 @@ def read_10x(
 ) -> Experiment:
     """Read one or more directories with equal features as one experiment.
 
-    Cells of unnamed directories after the first are prefixed ``2_``, ``3_``, ...;
-    a mapping prefixes every directory with its name. If features are typed,
-    gene expression (or ``feature_type``) is returned; other types stay out.
+    If features are typed, gene expression (or ``feature_type``) is returned; see
+    ``read_10x_types`` for all types and the names of cells.
+    """
+    found = read_10x_types(spark, paths, gene_column, unique_features)
+    wanted = feature_type or next(iter(found))
+    if wanted not in found:
+        raise ValueError(f"feature type must be among {sorted(found)}")
+    return found[wanted]
+
+
+def read_10x_types(
+    spark: SparkSession,
+    paths: str | Sequence[str] | Mapping[str, str],
+    gene_column: int = 2,
+    unique_features: bool = True,
+) -> dict[str, Experiment]:
+    """One experiment per feature type, gene expression first; untyped features are gene expression.
+
+    All experiments share the cells. Cells of unnamed directories after the first are
+    prefixed ``2_``, ``3_``, ...; a mapping prefixes every directory with its name.
+    Features that differ between directories, indices outside the declared sizes, sizes
+    that differ from the other files and matrices with more or fewer entries than
+    declared raise errors.
     """
     named = isinstance(paths, Mapping)
     pairs = list(paths.items()) if named else [(None, p) for p in ([paths] if isinstance(paths, str) else paths)]
     exprs, cells, genes = None, None, None
     for i, (name, path) in enumerate(pairs):
         files = _files(spark, path)
+        features = materialize(_features(spark, files["features"], gene_column, unique_features), "features")
         if genes is None:
-            genes = _features(spark, files["features"], gene_column, unique_features)
+            genes = features
+        elif genes.columns != features.columns or not genes.exceptAll(features).isEmpty() or not features.exceptAll(genes).isEmpty():
+            raise ValueError(f"features of {path} differ from those of {pairs[0][1]}")
         prefix = f"{name}_" if named else (f"{i + 1}_" if i else "")
         shift = F.lit(i * CELL_STRIDE) if i else F.lit(0).cast("long")
         barcodes = strip_common_suffix(numbered_lines(spark, files["barcodes"]).withColumnRenamed("line", "barcode"), "barcode")
-        barcodes = barcodes.select(
-            (F.col("idx") + shift).alias("cell_idx"),
-            F.concat(F.lit(prefix), "barcode").alias("cell_id"),
-            F.concat(F.lit(prefix), "barcode").alias("barcode"),
-            F.lit(path).alias("sample_src"),
+        barcodes = materialize(
+            barcodes.select(
+                (F.col("idx") + shift).alias("cell_idx"),
+                F.concat(F.lit(prefix), "barcode").alias("cell_id"),
+                F.concat(F.lit(prefix), "barcode").alias("barcode"),
+                F.lit(path).alias("sample_src"),
+            ),
+            "barcodes",
         )
-        counts = _coordinates(spark, files["matrix"]).withColumn("cell_idx", F.col("cell_idx") + shift)
+        counts = _checked(spark, files["matrix"], features.count(), barcodes.count()).withColumn("cell_idx", F.col("cell_idx") + shift)
         exprs = counts if exprs is None else exprs.unionByName(counts)
         cells = barcodes if cells is None else cells.unionByName(barcodes)
-    if "feature_type" in genes.columns:
-        types = {r[0] for r in genes.select("feature_type").distinct().collect()}  # a handful of assay names
-        wanted = feature_type or (EXPRESSION_TYPE if EXPRESSION_TYPE in types else sorted(types)[0])
-        if wanted not in types:
-            raise ValueError(f"feature type must be among {sorted(types)}")
-        genes = genes.where(F.col("feature_type") == wanted)
-        exprs = exprs.join(genes.select("gene_idx"), "gene_idx", "left_semi")
-    return Experiment(materialize(exprs, "expr"), materialize(cells, "cells"), materialize(genes, "genes"))
+    cells = materialize(cells, "cells")
+    if "feature_type" not in genes.columns:
+        return {EXPRESSION_TYPE: Experiment(exprs, cells, genes)}
+    types = {r[0] for r in genes.select("feature_type").distinct().collect()}  # a handful of assay names
+    found = {}
+    for kind in sorted(types, key=lambda t: (t != EXPRESSION_TYPE, t is None, t)):
+        own = materialize(genes.where(F.col("feature_type").eqNullSafe(F.lit(kind))), "genes")
+        found[kind] = Experiment(materialize(exprs.join(own.select("gene_idx"), "gene_idx", "left_semi"), "expr"), cells, own)
+    return found
 
 
 def _files(spark: SparkSession, path: str) -> dict[str, str]:
@@ -91,22 +119,37 @@ def _features(spark: SparkSession, file: str, gene_column: int, unique: bool) ->
     return genes.withColumn("gene_id", F.col("symbol"))
 
 
-def _coordinates(spark: SparkSession, file: str) -> DataFrame:
-    """Entries of a MatrixMarket coordinate file, 1-based gene and cell made 0-based.
+def _checked(spark: SparkSession, file: str, n_genes: int, n_cells: int) -> DataFrame:
+    """The written non-zero entries of a matrix file after comparing them with what it and the other files declare."""
+    entries, sizes = _coordinates(spark, file)
+    if sizes[:2] != (n_genes, n_cells):
+        raise ValueError(f"{file} declares {sizes[0]} features and {sizes[1]} cells, the other files hold {n_genes} and {n_cells}")
+    inside = F.col("gene_idx").between(0, n_genes - 1) & F.col("cell_idx").between(0, n_cells - 1) & F.col("count").isNotNull()
+    written, seen = materialize_with(entries, "entries", n=F.count(F.lit(1)), wrong=F.count_if(~F.coalesce(inside, F.lit(False))))
+    if seen["wrong"]:
+        raise ValueError(f"{file} has {seen['wrong']} entries that are no numbers or lie outside the declared sizes")
+    if seen["n"] != sizes[2]:
+        raise ValueError(f"{file} declares {sizes[2]} entries and has {seen['n']}")
+    return written.where(F.col("count") != 0)
+
+
+def _coordinates(spark: SparkSession, file: str) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Entries of a MatrixMarket coordinate file, 1-based gene and cell made 0-based, and the declared sizes.
 
     The size line looks like an entry: it is the first line that is no comment and
     is left out by its row id, found by looking at the start of the file only. A
     plain file is read by many tasks, a compressed one by one task and then spread.
     """
-    rows = spark.read.text(file).withColumn("id", F.monotonically_increasing_id()).where(~F.col("value").startswith("%"))
+    rows = spark.read.text(file).withColumn("id", F.monotonically_increasing_id()).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     size_line = rows.first()
-    if size_line is None:
+    sizes = re.fullmatch(r"\s*(\d+)\s+(\d+)\s+(\d+)\s*", size_line["value"]) if size_line else None
+    if sizes is None:
         raise ValueError(f"{file} has no size line")
     parts = F.split(F.trim("value"), r"\s+")
-    entries = rows.where((F.col("id") != size_line["id"]) & (F.trim("value") != "")).select(
-        (parts[1].cast("long") - 1).alias("cell_idx"),
-        (parts[0].cast("long") - 1).alias("gene_idx"),
-        F.coalesce(F.get(parts, F.lit(2)).cast("double"), F.lit(1.0)).alias("count"),
+    number = lambda i, kind: F.get(parts, F.lit(i)).try_cast(kind)
+    value = F.when(F.size(parts) == 2, F.lit(1.0)).when(F.size(parts) == 3, number(2, "double"))
+    entries = rows.where(F.col("id") != size_line["id"]).select(
+        (number(1, "long") - 1).alias("cell_idx"), (number(0, "long") - 1).alias("gene_idx"), value.alias("count")
     )
-    entries = entries.where(F.col("count") != 0)
-    return entries.repartition("cell_idx", "gene_idx") if file.endswith(".gz") else entries
+    entries = entries.repartition("cell_idx", "gene_idx") if file.endswith(".gz") else entries
+    return entries, tuple(int(x) for x in sizes.groups())

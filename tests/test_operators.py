@@ -395,6 +395,46 @@ def test_two_humps_beat_one(spark):
     assert got[1] >= 2 and got[0] < got[1]
 
 
+def test_spline_slopes_solve_the_penalised_problem():
+    """Against the dense normal equations of the natural spline, and a straight line stays one."""
+    y = np.random.default_rng(3).normal(size=60).cumsum()
+    n, penalty = len(y), pca_genes.PENALTY
+    q = np.zeros((n, n - 2))
+    r = np.zeros((n - 2, n - 2))
+    for i in range(n - 2):
+        q[i : i + 3, i] = 1, -2, 1
+        r[i, i] = 2 / 3
+        if i + 1 < n - 2:
+            r[i, i + 1] = r[i + 1, i] = 1 / 6
+    fit = np.linalg.solve(np.eye(n) + penalty * q @ np.linalg.inv(r) @ q.T, y)
+    curve = np.concatenate([[0], np.linalg.solve(r, q.T @ fit), [0]])
+    want = np.append(np.diff(fit) - (2 * curve[:-1] + curve[1:]) / 6, np.diff(fit)[-1] + (curve[-2] + 2 * curve[-1]) / 6)
+    assert np.allclose(pca_genes.spline_slopes(y), want)
+    assert np.allclose(pca_genes.spline_slopes(2.5 * np.arange(9.0)), 2.5)
+
+
+def test_runs_count_humps():
+    x = np.linspace(-10, 10, pca_genes.GRID)
+    hump = lambda *centers: sum(np.exp(-0.5 * (x - c) ** 2) for c in centers)
+    assert [pca_genes.half_runs(hump(*c)) for c in ((0,), (-4, 4), (-6, 0, 6))] == [1.0, 2.0, 3.0]
+    assert pca_genes.half_runs(x) == 0.5
+    # teeth that the spline levels do not count
+    assert pca_genes.half_runs(hump(-4, 4) + 1e-4 * (-1) ** np.arange(len(x))) < pca_genes.GRID / 8
+
+
+def test_density_of_binned_scores(spark):
+    x = np.random.default_rng(2).normal(size=300)
+    rows = pca_genes.density_bins(pca_genes.long_scores(vector_frame(spark, np.stack([x, np.ones(300)], axis=1)))).toPandas()
+    assert set(rows.pc) == {0} and rows.weight.sum() == pytest.approx(1)
+    bw, low, high = rows.bw[0], rows.low[0], rows.high[0]
+    assert bw == pytest.approx(0.9 * min(x.std(ddof=1), (np.quantile(x, 0.75) - np.quantile(x, 0.25)) / 1.34) * 300**-0.2)
+    weights = np.zeros(pca_genes.GRID)
+    weights[rows.bin] = rows.weight
+    at = np.linspace(low, high, pca_genes.GRID)
+    exact = np.exp(-0.5 * ((at[:, None] - x) / bw) ** 2).mean(axis=1) / (bw * np.sqrt(2 * np.pi))
+    assert np.abs(pca_genes.density_on_grid(weights, bw, low, high) - exact).max() < 2e-3
+
+
 def test_projection_uses_same_cluster_neighbours(spark):
     near = frame(spark, [(0, 10), (0, 11), (0, 12), (1, 10), (2, 12)], "cell_idx long, nn_cell_idx long")
     clusters = frame(spark, [(0, 1), (1, None), (2, 0), (10, 1), (11, 1), (12, 0)], "cell_idx long, cluster_id int")

@@ -10,6 +10,7 @@ from cellweave.operators.cluster import vote
 from cellweave.operators.knn import nearest
 from cellweave.sources.delimited import split_fields
 from cellweave.sources.files import numbered_lines
+from cellweave.sources.tenx import read_10x_types
 from cellweave.streaming.assign import assign_stream
 from tests.conftest import experiment, planted_counts
 
@@ -50,6 +51,50 @@ def test_10x_compressed_and_typed(spark, tmp_path):
     assert [r.symbol for r in other.genes.collect()] == ["ENSG2"]
 
 
+@pytest.mark.parametrize("change, message", [
+    (("matrix.mtx", MTX.replace("3 4 5", "3 4 6")), "declares 6 entries"),
+    (("matrix.mtx", MTX[:-6]), "declares 5 entries"),
+    (("matrix.mtx", MTX.replace("3 4 5", "3 9 5")), "declares 3 features and 9 cells"),
+    (("matrix.mtx", MTX.replace("2 2 7", "2 8 7")), "outside"),
+    (("matrix.mtx", MTX.replace("2 2 7", "2 x 7")), "no numbers"),
+    (("matrix.mtx", "%%MatrixMarket\n"), "no size line"),
+    (("genes.tsv", GENES + "ENSG4\tDDD\n"), "4 and 4"),
+])
+def test_10x_files_that_contradict_each_other(spark, tmp_path, change, message):
+    folder = old(tmp_path)
+    (tmp_path / "v2" / change[0]).write_text(change[1])
+    with pytest.raises(ValueError, match=message):
+        cw.read_files(spark, folder)
+
+
+def test_10x_directories_with_other_features(spark, tmp_path):
+    paths = [old(tmp_path, "one"), old(tmp_path, "two")]
+    (tmp_path / "two" / "genes.tsv").write_text("ENSG2\tBBB\nENSG1\tAAA\nENSG3\tAAA\n")
+    with pytest.raises(ValueError, match="differ"):
+        cw.read_files(spark, paths)
+
+
+def test_10x_all_types(spark, tmp_path):
+    folder = tmp_path / "v3"
+    folder.mkdir()
+    for name, text in (("matrix.mtx.gz", MTX), ("features.tsv.gz", TYPED), ("barcodes.tsv.gz", BARCODES)):
+        with gzip.open(folder / name, "wt") as out:
+            out.write(text)
+    found = read_10x_types(spark, str(folder))
+    assert list(found) == ["Gene Expression", "Antibody Capture"]
+    assert [found[k].expr.count() for k in found] == [4, 1] and [found[k].cells.count() for k in found] == [4, 4]
+    with pytest.raises(ValueError, match="feature type"):
+        cw.read_files(spark, str(folder), feature_type="Other")
+
+
+def test_ragged_lines_raise(spark, tmp_path):
+    path = tmp_path / "ragged.csv"
+    for text in ('"","c1","c2"\ng1,1,2\ng2,3\n', '"","c1","c2"\ng1,1,2\ng2,3,4,5\n', '"","c1","c2","c3"\ng1,1,2\n'):
+        path.write_text(text)
+        with pytest.raises(ValueError):
+            cw.read_files(spark, str(path), format="txt")
+
+
 def test_10x_directories_are_prefixed(spark, tmp_path):
     paths = [old(tmp_path, "one"), old(tmp_path, "two")]
     ids = {r[0] for r in cw.read_files(spark, paths).cells.select("cell_id").collect()}
@@ -127,10 +172,10 @@ def test_stream_gives_the_batch_answer(spark, tmp_path):
 
 
 def test_fields_are_split_outside_quotes_only(spark):
-    lines = ['a,b,,c,', '"a,b", c ,"d"', '"x,y,z"', '', 'p"q,r"s,t']
+    lines = ['a,b,,c,', '"a,b", c ,"d"', '"x,y,z"', '', 'p"q,r"s,t', '"a ""b, c""",""""', '"",x']
     held = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
     found = [r.f for r in held.orderBy("i").select(split_fields(F.col("line"), ",").alias("f")).collect()]
-    assert found == [["a", "b", "", "c", ""], ["a,b", "c", "d"], ["x,y,z"], [""], ["pq,rs", "t"]]
+    assert found == [["a", "b", "", "c", ""], ["a,b", "c", "d"], ["x,y,z"], [""], ["pq,rs", "t"], ['a "b, c"', '"'], ["", "x"]]
 
 
 def test_a_wide_line_is_split_in_one_pass(spark):

@@ -11,8 +11,9 @@ and for one.
 Counts are summed while streaming over rows that are sorted by first words, so a group
 never has to fit in memory, and rows that stay below the least count are dropped as soon
 as they are whole. Blocks of text are counted before the shuffle. Rows go to partitions
-by their first two words; pairs that are frequent in a sample of texts (``HEAVY_SHARE``)
-are spread by their third word and added up again, which changes no result.
+by their first word; words that are frequent in a sample of texts (``HEAVY_SHARE``) are
+spread by their second word, frequent pairs by their third, and added up again, which
+changes no result.
 
 Among nodes and edges of at least ``least`` occurrences, runs without branches are
 compacted to paths. A path is a repeated passage with its node and edge counts in order;
@@ -49,8 +50,9 @@ SCALE = 2_000_000
 #: Text that is counted at once in a task.
 BLOCK_BYTES = 12 << 20
 
-#: Two first words with more than this share of a sample's edges are spread over the partitions by the third.
-HEAVY_SHARE = 0.002
+#: First words with more than this share of a sample's edges are spread over the partitions by the second, first
+#: two words by the third.
+HEAVY_SHARE = 0.0005
 SAMPLE_TEXTS, SAMPLE_LETTERS = 2000, 2000
 
 #: Text whose grams go to one partition, so that partitions grow in number and not in size.
@@ -79,11 +81,12 @@ def _joined(lang: str, *words: pa.Array) -> pa.Array:
 
 
 def escaped(lang: str) -> str:
-    return lang.replace("\\", "\\\\").replace("\t", "\\t")
+    """Without tabs and spaces."""
+    return lang.replace("\\", "\\\\").replace("\t", "\\t").replace(" ", "\\s")
 
 
 def unescaped(lang: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\t" if m[1] == "t" else m[1], lang)
+    return re.sub(r"\\(.)", lambda m: {"t": "\t", "s": " "}.get(m[1], m[1]), lang)
 
 
 def block_grams(lang: str, texts: list[bytes]) -> pa.Array:
@@ -152,10 +155,16 @@ def head_of(gram: Column) -> Column:
     return F.substring_index(gram, "\t", 2)
 
 
-def shuffle_plan(texts: DataFrame) -> tuple[set[str], int]:
+def word_of(head: Column) -> Column:
+    """The language and the first word."""
+    return F.substring_index(head, " ", 1)
+
+
+def shuffle_plan(texts: DataFrame) -> tuple[set[str], set[str], int]:
     """How grams are dealt out; it changes no result.
 
-    Languages and two first words that are frequent in a bounded sample of texts, and the bytes of all texts.
+    First words, and first two words, that are frequent in a bounded sample of texts, with their language, and the
+    bytes of all texts.
     """
     whole = Observation()
     some = texts.observe(whole, F.sum(F.octet_length("text")).alias("bytes")).select("lang", F.left("text", F.lit(SAMPLE_LETTERS)).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(SAMPLE_TEXTS)
@@ -166,8 +175,8 @@ def shuffle_plan(texts: DataFrame) -> tuple[set[str], int]:
     heads = some.select("lang", "text").mapInArrow(run, GRAMS_SQL).select(head_of(F.col("gram")).alias("head"))
     rows, seen = materialize_with(heads, "sample-heads", n=F.count(F.lit(1)))
     least = max(20, HEAVY_SHARE * seen["n"])
-    heavy = {r["head"] for r in rows.groupBy("head").agg(F.count("*").alias("n")).filter(F.col("n") > least).collect()}
-    return heavy, whole.get["bytes"] or 0
+    often = lambda key: {r[0] for r in rows.groupBy(key.alias("key")).count().filter(F.col("count") > least).collect()}
+    return often(word_of(F.col("head"))), often(F.col("head")), whole.get["bytes"] or 0
 
 
 def _shared_prefixes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -289,7 +298,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     texts = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
-    heavy, size = shuffle_plan(texts)
+    words, heavy, size = shuffle_plan(texts)
     parts = max(1, size // PART_BYTES)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +309,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
 
     gram, head = F.col("gram"), head_of(F.col("gram"))
     node = F.regexp_replace(gram, r"[^ \t]*\t[^\t]*$", "")  # up to the third word; for spread heads only
+    # by first word, frequent ones by the first two, frequent pairs by the first three
     target = F.when(head.isin(sorted(heavy)), node).otherwise(head) if heavy else head
+    target = F.when(word_of(head).isin(sorted(words)), target).otherwise(word_of(head)) if words else word_of(head)
     edges = texts.mapInArrow(grams, GRAMS_SQL).repartition(parts, target).sortWithinPartitions("gram")
     flow = materialize(edges.mapInArrow(flows, FLOWS_SQL), "flows", "zstd")
     # pairs of spread heads and words are partial sums of partitions; the others are one row each

@@ -55,7 +55,7 @@ def test_by_brute_force(spark, monkeypatch, block, heavy):
     """Blocks of any size and spread heads give the same counts."""
     if heavy is not None:
         # any heads may be spread
-        monkeypatch.setattr(collocations, "shuffle_plan", lambda texts: ({"en\tone two", "en us\ttwo three", "und\ta b", "\\tq\tthe the", "en\tx x"}, 7 * collocations.PART_BYTES))
+        monkeypatch.setattr(collocations, "shuffle_plan", lambda texts: ({"en\tone", "en\\sus\ttwo", "und\ta", "en\tx"}, {"en\tone two", "en\\sus\ttwo three", "\\tq\tthe the", "en\tx x"}, 7 * collocations.PART_BYTES))
     rows = cases()
     docs = spark.createDataFrame([(i, t, g, "clash") for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string, words string")
     got = collocations.collocations(docs.repartition(5), least=4, block=block).collect()

@@ -13,7 +13,7 @@ from cellweave.functions.numeric import log2p1
 from cellweave.functions.orderstats import bh_adjust
 from cellweave.functions.text import extract_field, make_unique, strip_common_suffix, zero_padded
 from cellweave.model import Experiment
-from cellweave.operators import ballindex, cluster, correction, embed, graph, hvg, knn, markers, merge, normalize, pca_genes, qc, sampling
+from cellweave.operators import ballindex, cluster, correction, embed, graph, hvg, knn, linkage, markers, merge, normalize, pca_genes, qc, sampling
 from cellweave.operators.vectors import dense_vectors
 from cellweave.plans import figures
 from cellweave.session import checkpoint_root, materialize
@@ -627,6 +627,15 @@ def louvain_modularity(spark, folder):
     return graph.modularity(edges, graph.louvain(edges, SEED)).select(whole("n_edges"), rounded("modularity"))
 
 
+@query
+def linkage_heights(spark, folder):
+    """Merge heights of the average-linkage tree in order."""
+    held = materialize(vectors(spark, folder), "vectors")
+    merges = linkage.tree_merges(linkage.grow_tree(linkage.fit_sample(held)))
+    order = Window.partitionBy(F.lit(0)).orderBy("height")  # a bounded sample
+    return merges.select(whole(F.row_number().over(order), "turn"), rounded("height"))
+
+
 @query
 def hclust_sizes(spark, folder):
     labels = cluster.cluster_vectors(vectors(spark, folder), "hclust")

@@ -135,6 +135,26 @@ LEADING = (
             SELECT w, sqrt(list_dot_product(w, w)) AS s, turn FROM (
                 SELECT list_transform(m, lambda r: list_dot_product(r, v)) AS w, turn FROM powered, matrix WHERE turn < 1500)))""",
 )
+LINKAGE = (
+    "near AS (SELECT q.cell_idx AS a, s.cell_idx AS b,"
+    " round(acos(greatest(-1.0, least(1.0, list_cosine_similarity(q.vec, s.vec)))) / pi(), 12) AS d FROM vecs q JOIN vecs s ON q.cell_idx <> s.cell_idx)",
+    """tree(a, b, d, size_a, size_b, turn) USING KEY (a, b) AS (
+        SELECT a, b, d, 1::BIGINT, 1::BIGINT, 0::BIGINT FROM near
+        UNION (
+        WITH best AS (SELECT d, a, b, size_a, size_b FROM recurring.tree WHERE a < b AND d IS NOT NULL ORDER BY d, a, b LIMIT 1),
+        step AS (SELECT max(turn) + 1 AS turn FROM recurring.tree),
+        moved AS (
+            SELECT x.b AS c, x.size_b AS size_c, (best.size_a * x.d + best.size_b * y.d) / (best.size_a + best.size_b) AS d
+            FROM best JOIN recurring.tree x ON x.a = best.a AND x.b <> best.b AND x.d IS NOT NULL
+            JOIN recurring.tree y ON y.a = best.b AND y.b = x.b)
+        SELECT best.a, moved.c, moved.d, best.size_a + best.size_b, size_c, turn FROM best, moved, step
+        UNION ALL SELECT moved.c, best.a, moved.d, size_c, best.size_a + best.size_b, turn FROM best, moved, step
+        UNION ALL SELECT best.b, c, NULL, 0, 0, turn FROM best, moved, step
+        UNION ALL SELECT c, best.b, NULL, 0, 0, turn FROM best, moved, step
+        UNION ALL SELECT best.a, best.b, NULL, 0, 0, turn FROM best, step
+        UNION ALL SELECT best.b, best.a, NULL, 0, 0, turn FROM best, step
+        UNION ALL SELECT -turn, -turn, best.d, 0, 0, turn FROM best, step))""",
+)
 KNN = neighbours("knn", "vecs", "sample", 11)
 EDGES = neighbours("nn", "vecs", "vecs", 6) + """,
     edges AS (SELECT DISTINCT least(cell_idx, nn_cell_idx) AS src, greatest(cell_idx, nn_cell_idx) AS dst
@@ -303,6 +323,7 @@ def oracles() -> dict[str, str]:
             "asked AS (SELECT * FROM vecs WHERE cell_idx % 20 = 0)", neighbours("found", "asked", "vecs", 11)),
         "umap_links": "WITH RECURSIVE " + sql(LINKS, VECTORS, others(15), *FUZZY).removeprefix("WITH "),
         "tsne_links": "WITH RECURSIVE " + sql(LINKS, VECTORS, others(45), *PERPLEXED).removeprefix("WITH "),
+        "linkage_heights": "WITH RECURSIVE " + sql("SELECT -a AS turn, round(d, 6) AS height FROM tree WHERE a < 0", VECTORS, *LINKAGE).removeprefix("WITH "),
         "density_bins": sql(
             "SELECT pc, CAST(bin AS BIGINT) AS bin, round(bw, 6) AS bw, round(low, 6) AS low, round(high, 6) AS high, round(sum(w) / n, 6) AS weight"
             " FROM (SELECT pc, bw, low, high, n, floor(place) AS bin, 1 - (place - floor(place)) AS w FROM placed"

@@ -17,7 +17,7 @@ from cellweave.functions.text import extract_field, make_unique, strip_common_su
 from cellweave.operators import ballindex, cluster, correction, embed, graph, hvg, knn, linkage, markers, normalize, pca_genes, qc, sampling
 from cellweave.operators.vectors import dense_vectors
 from cellweave.plans import figures
-from tests.conftest import experiment
+from tests.conftest import agreement, experiment
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -241,20 +241,49 @@ def test_louvain_finds_cliques(spark):
 
 def test_average_linkage_equals_sequential_merging(spark):
     x = np.random.default_rng(5).normal(size=(25, 4))
-    links = linkage.angular_links(vector_frame(spark, x), 24)
-    d = links.toPandas()
-    assert len(d) == 300
-    full = {frozenset((int(a), int(b))): dist for a, b, dist in d[["a", "b", "dist"]].itertuples(index=False)}
-    groups, heights = {i: [i] for i in range(25)}, []
+    full = linkage.angles(x)
+    assert full[2, 7] == pytest.approx(math.acos(x[2] @ x[7] / np.linalg.norm(x[2]) / np.linalg.norm(x[7])) / math.pi)
+    groups, merges = {i: [i] for i in range(25)}, []
     while len(groups) > 1:
-        mean = lambda p: np.mean([full[frozenset((i, j))] for i in groups[p[0]] for j in groups[p[1]]])
+        mean = lambda p: np.mean([full[i, j] for i in groups[p[0]] for j in groups[p[1]]])
         a, b = min(combinations(sorted(groups), 2), key=mean)
-        heights.append(mean((a, b)))
+        merges.append((b, a, mean((a, b))))
         groups[a] += groups.pop(b)
-    got = linkage.average_linkage(links)
-    assert np.allclose(sorted(r.height for r in got.collect()), sorted(heights))
-    cut = linkage.cut_tree(got, vector_frame(spark, x), sorted(heights)[-3])
-    assert cut.select("root").distinct().count() == 3
+    got = linkage.tree_merges(linkage.grow_tree(vector_frame(spark, x).repartition(4))).collect()
+    assert [(r.child, r.parent) for r in sorted(got, key=lambda r: r.height)] == [m[:2] for m in merges]
+    assert np.allclose(sorted(r.height for r in got), [m[2] for m in merges])
+
+
+def planted_directions(sizes, spread, seed=1, dims=30):
+    rng = np.random.default_rng(seed)
+    centers = np.linalg.qr(rng.normal(size=(dims, len(sizes))))[0].T * 3
+    label = np.repeat(np.arange(len(sizes)), sizes)
+    return centers[label] + rng.normal(scale=spread, size=(len(label), dims)), label
+
+
+def test_adaptive_cut_finds_branches_of_unequal_height():
+    x, label = planted_directions([60, 40, 30, 5], 0.15)
+    x[:60:2] += np.random.default_rng(3).normal(scale=0.0, size=(30, 30)) + np.eye(30)[5] * 1.5  # two halves close to each other
+    d = linkage.angles(x)
+    merges = linkage.chain_merges(d)
+    found = linkage.adaptive_cut(d, merges, deep_split=2)
+    assert agreement(label[label < 3], linkage.adaptive_cut(d, merges)[label < 3]) == 1  # less deep: the halves stay together
+    # a single height either joins the halves or leaves the five cells alone; branches tell four groups
+    halves = np.where(label == 0, 10 + np.arange(len(label)) % 2, label)
+    assert agreement(halves[label < 3], found[label < 3]) == 1 and set(found[label < 3]) == {1, 2, 3, 4}
+    assert [(found == c).sum() for c in (1, 2)] == sorted([(found == c).sum() for c in (1, 2)], reverse=True)
+    # deeper splitting never finds fewer clusters; a huge least size finds none
+    counts = [linkage.adaptive_cut(d, merges, deep_split=k).max() for k in range(5)]
+    assert counts == sorted(counts) and linkage.adaptive_cut(d, merges, least=500).max() == 0
+    assert linkage.core_scatter([0, 1, 2], d, 20) == pytest.approx((d[0, 1] + d[0, 2] + d[1, 2]) / 3)
+    assert len(linkage.adaptive_cut(np.zeros((1, 1)), [])) == 1
+
+
+def test_cells_beyond_the_fit_follow_it(spark):
+    x, label = planted_directions([80, 60, 50], 0.2)
+    found = linkage.hierarchical_labels(vector_frame(spark, x), fit_cells=120).toPandas().sort_values("cell_idx")
+    assert len(found) == 190 and agreement(label, found.label) == 1
+    assert [int((found.label == c).sum()) for c in (1, 2, 3)] == [80, 60, 50]
 
 
 def dense_tests(norm, labels):

@@ -105,7 +105,7 @@ def starting_positions(vectors: DataFrame, components: int, scale: float, seed:
     n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     dims = min(components, width, max(1, n - 1))
     scores = materialize(principal_components(vectors, dims)[0], "start")
-    spread = scores.agg(F.greatest(*(F.stddev_pop(F.col("vec")[i]) for i in range(dims)))).first()[0] or 0.0
+    spread = max((x or 0.0 for x in scores.agg(*(F.stddev_pop(F.col("vec")[i]) for i in range(dims))).first()), default=0.0)
     # rounded, so that sums taken in another order give the same start
     place = [F.round(F.col("vec")[i] * (scale / max(spread, 1e-12)), 8) if i < dims else F.lit(0.0) for i in range(components)]
     noise = [(F.pmod(F.xxhash64("cell_idx", F.lit(seed), F.lit(i)), F.lit(2_000_001)) / 1_000_000 - 1) * (scale * 1.7e-3) for i in range(components)]

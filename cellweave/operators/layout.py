@@ -86,7 +86,7 @@ class Block:
         return np.vstack([self.at, self.halo])
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.node, v, len(self.at)) for v in values.T], axis=1)
+        return np.stack([np.bincount(self.node, v, len(self.at)) for v in values.T], axis=1).astype(float)
 
 
 class Layout:

@@ -647,7 +647,8 @@ def layout_rows(layout: DataFrame) -> DataFrame:
 
 
 def link_rows(links: DataFrame) -> DataFrame:
-    return links.select(whole("node"), whole("other"), rounded("weight"))
+    # one-way weights have eight digits, so more are shown of their combinations
+    return links.select(whole("node"), whole("other"), F.round("weight", 12).alias("weight"))
 
 
 @query

@@ -105,7 +105,8 @@ def solved(values: str, total: str, goal: str, weight: str, combined: str) -> tu
         UNION ALL
         SELECT cell_idx, nn, x, CASE WHEN above THEN low ELSE mid END, CASE WHEN above THEN mid ELSE high END, turn + 1 FROM (
             SELECT *, {total} > {goal} AS above FROM (SELECT *, sqrt(low * high) AS mid FROM solve WHERE turn < 80)))""",
-        f"weighted AS (SELECT cell_idx, unnest(nn) AS nn, unnest({weight}) AS w FROM (SELECT *, sqrt(low * high) AS mid FROM solve WHERE turn = 80))",
+        f"""weighted AS (SELECT cell_idx, nn, round(w, 8) AS w FROM (
+        SELECT cell_idx, unnest(nn) AS nn, unnest({weight}) AS w FROM (SELECT *, sqrt(low * high) AS mid FROM solve WHERE turn = 80)))""",
         f"""pairs AS (SELECT least(cell_idx, nn) AS a, greatest(cell_idx, nn) AS b, {combined} AS weight FROM weighted GROUP BY 1, 2)""",
     )
 
@@ -121,8 +122,8 @@ PERPLEXED = solved(
     "ln(greatest(1.0, least(15, len(x) / 3)))",
     "list_transform(x, lambda v: exp(-v / mid) / list_sum(list_transform(x, lambda y: exp(-y / mid))))",
     "sum(w) / (2.0 * (SELECT count(*) FROM vecs))")
-LINKS = ("SELECT CAST(a AS BIGINT) AS node, CAST(b AS BIGINT) AS other, round(weight, 6) AS weight FROM pairs"
-         " UNION ALL SELECT CAST(b AS BIGINT), CAST(a AS BIGINT), round(weight, 6) FROM pairs")
+LINKS = ("SELECT CAST(a AS BIGINT) AS node, CAST(b AS BIGINT) AS other, round(weight, 12) AS weight FROM pairs"
+         " UNION ALL SELECT CAST(b AS BIGINT), CAST(a AS BIGINT), round(weight, 12) FROM pairs")
 LEADING = (
     "long AS (SELECT cell_idx, unnest(vec) AS v, unnest(range(len(vec))) AS d FROM vecs)",
     "centred AS (SELECT cell_idx, d, v - avg(v) OVER (PARTITION BY d) AS v FROM long)",

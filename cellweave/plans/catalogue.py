@@ -317,7 +317,7 @@ def stream_assignment(spark, folder):
     """The vote of knn_vote, run as a stream over the vectors table."""
     source = T.table(spark, folder, "embeddings")
     stream = (
-        spark.readStream.schema(source.schema).option("pathGlobFilter", "embeddings.parquet").parquet(folder)
+        spark.readStream.schema(source.schema).parquet(f"{folder}/embeddings.parque[t]")  # as a pattern, a file or a folder of parts
         .select(F.col("vec_id").alias("cell_idx"), F.col("embedding").cast("array<double>").alias("vec"))
     )
     sample = vector_sample(spark, folder)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import cellweave as cw
 from cellweave.operators.cluster import vote
 from cellweave.operators.knn import nearest
+from cellweave.plans import catalogue
 from cellweave.sources.delimited import split_fields
 from cellweave.sources.files import numbered_lines
 from cellweave.sources.tenx import read_10x_types
@@ -182,3 +183,17 @@ def test_a_wide_line_is_split_in_one_pass(spark):
     wide = spark.range(2).select(F.concat(F.lit('"g,1",'), F.repeat(F.lit("7,"), 200_000)).alias("line"))
     sizes = wide.select(F.size(split_fields(F.col("line"), ",")).alias("n")).collect()
     assert [r.n for r in sizes] == [200_002, 200_002]
+
+
+def test_stream_over_a_folder_of_parts(spark, tmp_path):
+    """The vectors table may be one file or a folder of files."""
+    rows = spark.range(300).select(
+        F.col("id").alias("vec_id"), F.array((F.col("id") % 3).cast("float"), F.lit(1.0).cast("float"), (F.col("id") / 300).cast("float")).alias("embedding"),
+        (F.col("id") % 3).cast("int").alias("label"),
+    )
+    rows.repartition(3).write.parquet(str(tmp_path / "parts" / "embeddings.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "embeddings.parquet")
+    found = [
+        sorted(map(tuple, catalogue.stream_assignment(spark, str(at)).collect())) for at in (tmp_path / "parts", tmp_path)
+    ]
+    assert len(found[0]) == 300 and found[0] == found[1]

@@ -12,7 +12,7 @@ from cellweave.functions.text import make_unique, strip_common_suffix
 from cellweave.model import Experiment
 from cellweave.operators.merge import CELL_STRIDE
 from cellweave.session import materialize, materialize_with
-from cellweave.sources.files import exists, numbered_lines
+from cellweave.sources.files import exists, numbered_lines, parts
 
 EXPRESSION_TYPE = "Gene Expression"
 
@@ -137,18 +137,24 @@ def _coordinates(spark: SparkSession, file: str) -> tuple[DataFrame, tuple[int,
     """Entries of a MatrixMarket coordinate file, 1-based gene and cell made 0-based, and the declared sizes.
 
     The size line looks like an entry: it is the first line that is no comment and
-    is left out by its row id, found by looking at the start of the file only. A
-    plain file is read by many tasks, a compressed one by one task and then spread.
+    is left out by its row id, found by looking at the start of the first part only. A
+    plain file is read by many tasks, a compressed part by one task and then spread.
     """
-    rows = spark.read.text(file).withColumn("id", F.monotonically_increasing_id()).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    size_line = rows.first()
+    told = ~F.col("value").startswith("%") & (F.trim("value") != "")
+    size_line, later = None, parts(spark, file)
+    while size_line is None and later:
+        rows = spark.read.text(later.pop(0)).withColumn("id", F.monotonically_increasing_id()).where(told)
+        size_line = rows.first()
     sizes = re.fullmatch(r"\s*(\d+)\s+(\d+)\s+(\d+)\s*", size_line["value"]) if size_line else None
     if sizes is None:
         raise ValueError(f"{file} has no size line")
-    parts = F.split(F.trim("value"), r"\s+")
-    number = lambda i, kind: F.get(parts, F.lit(i)).try_cast(kind)
-    value = F.when(F.size(parts) == 2, F.lit(1.0)).when(F.size(parts) == 3, number(2, "double"))
-    entries = rows.where(F.col("id") != size_line["id"]).select(
+    rows = rows.where(F.col("id") != size_line["id"]).select("value")
+    if later:
+        rows = rows.union(spark.read.text(later).where(told))
+    fields = F.split(F.trim("value"), r"\s+")
+    number = lambda i, kind: F.get(fields, F.lit(i)).try_cast(kind)
+    value = F.when(F.size(fields) == 2, F.lit(1.0)).when(F.size(fields) == 3, number(2, "double"))
+    entries = rows.select(
         (number(1, "long") - 1).alias("cell_idx"), (number(0, "long") - 1).alias("gene_idx"), value.alias("count")
     )
     entries = entries.repartition("cell_idx", "gene_idx") if file.endswith(".gz") else entries

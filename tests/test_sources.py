@@ -185,6 +185,37 @@ def test_a_wide_line_is_split_in_one_pass(spark):
     assert [r.n for r in sizes] == [200_002, 200_002]
 
 
+def test_a_folder_of_parts_is_one_file(spark, tmp_path):
+    """Parts count in the order of their names, whatever their sizes; the size line is that of the first part with one."""
+    folder = tmp_path / "of parts"
+    texts = {
+        "genes.tsv": ["G1\ta\n", "G2\tb\nG3\tc\n" * 1],
+        "barcodes.tsv": ["AA-1\n", "CC-1\n" + "GG-1\n"],
+        "matrix.mtx": ["%%MatrixMarket matrix coordinate integer general\n", "% sizes follow\n3 3 4\n3 3 4\n", "1 1 5\n2 1 6\n" + " " * 500 + "1 2 7\n"],
+    }
+    for name, pieces in texts.items():
+        (folder / name).mkdir(parents=True)
+        for i, piece in enumerate(pieces):
+            (folder / name / f"part-{i:05d}.txt").write_text(piece)
+    exp = read_10x_types(spark, str(folder))["Gene Expression"]
+    assert sorted((r.cell_idx, r.gene_idx, r["count"]) for r in exp.expr.collect()) == [(0, 0, 5.0), (0, 1, 6.0), (1, 0, 7.0), (2, 2, 4.0)]
+    assert [r.cell_id for r in exp.cells.orderBy("cell_idx").collect()] == ["AA", "CC", "GG"]
+
+
+def test_written_lines_are_sorted_by_many_tasks(spark, tmp_path):
+    lines = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("a")).withColumn("line", F.concat(F.lit("line "), "a"))
+    path = str(tmp_path / "lines")
+    with_parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalogue.written_lines(lines, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_parts)
+    assert len(list((tmp_path / "lines").glob("part-*"))) > 1
+    assert numbered_lines(spark, path).where(F.concat(F.lit("line "), "idx") != F.col("line")).count() == 0
+    assert numbered_lines(spark, path).count() == 20_000
+
+
 def test_stream_over_a_folder_of_parts(spark, tmp_path):
     """The vectors table may be one file or a folder of files."""
     rows = spark.range(300).select(

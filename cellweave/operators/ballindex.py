@@ -10,9 +10,11 @@ an approximate answer.
 
 Pages come from one range sort by ball, distance and id: a ball that holds a third of all
 vectors, or equal vectors, spreads over as many pages (and partitions) as it needs, and no
-page is larger than asked for. Queries travel to pages packed by Arrow batch, so a page and
-a packet of queries are what a task holds. The pivots and the node table are broadcast;
-their numbers are bounded by ``MAX_PIVOTS`` bytes and ``MAX_PAGES``.
+page is larger than asked for. On their first visit queries travel to pages packed by Arrow
+batch. Queries that are not done by then are held in slices of bounded size while the pages
+stream past them, so a vector is shuffled once per slice and not once per visit. The pivots
+and the node table are broadcast; their numbers are bounded by ``MAX_PIVOTS`` bytes and
+``MAX_PAGES``. Tables that grow are joined by sorting, never broadcast.
 """
 
 from __future__ import annotations
@@ -41,6 +43,13 @@ FIRST_PAGES, MOST_PAGES = 2, 1024
 PLANNED = 4_000_000
 ASSIGNED_ROWS = 1024
 
+#: Bytes of queries and their neighbours that a task holds while pages stream past, tasks of a search at
+#: least (if there are so many pages), comparisons worth a task, rows of pages compared at once.
+HELD_BYTES = 64 * 2**20
+TASKS = 48
+TASK_PAIRS = 4_000_000
+CHUNK_ROWS = 2048
+
 DECIMALS = 10  # distances are compared at this precision, ties go to the smaller id
 CANCELS = 1e-6  # share of the squared norms below which a squared distance is summed anew
 SLACK = 1e-7  # of the bounds, relative to the distance from the pivot, far above rounding errors
@@ -102,10 +111,11 @@ class Nodes:
     high: np.ndarray
     metric: str
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per query and page the least distance of the metric, and the distance from the pivot."""
-        away = _euclidean(queries, self.pivots)[:, self.ball]
-        bound = np.maximum(np.maximum(away - self.high, self.low - away) - SLACK * (1 + away), 0.0)
+    def bounds(self, queries: np.ndarray, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Per query and page (all, or those ``at`` places) the least distance of the metric, and the distance from the pivot."""
+        balls, ball = np.unique(self.ball[at], return_inverse=True)
+        away = _euclidean(queries, self.pivots[balls])[:, ball]
+        bound = np.maximum(np.maximum(away - self.high[at], self.low[at] - away) - SLACK * (1 + away), 0.0)
         if self.metric == "cosine":  # for unit vectors half the squared distance; zero vectors are never nearer than that
             bound = bound**2 / 2
         return bound, away
@@ -283,26 +293,150 @@ def _search(index: BallIndex, queries: DataFrame, k: int, pages: int | None) ->
         step = min(2 * step, MOST_PAGES)
         going = state.where("NOT done")
         visits = going.mapInArrow(packets, "visited long, cells array<long>, points array<double>")
-        pages_seen = visits.join(index.leaves, visits.visited == index.leaves.page).select("cells", "points", "ids", "vecs")
+        # few queries visit many pages, so neither side is small
+        pages_seen = visits.join(index.leaves.hint("merge"), F.col("visited") == F.col("page")).select("cells", "points", "ids", "vecs")
         found = pages_seen.mapInArrow(compare, "cell_idx long, nn array<long>, dist array<double>")
         pairs = F.arrays_zip("dist", "nn")
         merged = found.groupBy("cell_idx").agg(F.flatten(F.collect_list(pairs)).alias("new"))
         best = F.slice(F.array_sort(F.concat(pairs, "new")), 1, k)
-        moved = going.join(merged, "cell_idx").select("cell_idx", "vec", best.alias("b"), F.concat("seen", "next").alias("seen"))
+        moved = going.join(merged.hint("merge"), "cell_idx").select("cell_idx", "vec", best.alias("b"), F.concat("seen", "next").alias("seen"))
         moved = moved.select("cell_idx", "vec", F.col("b.nn").alias("nn"), F.col("b.dist").alias("dist"), "seen")
         state, now = materialize_with(moved.mapInArrow(lambda b, s=step: plan(b, s), planned), "visits", left=F.count_if(~F.col("done")))
         results.append(state.where("done"))
+        if pages is None and now["left"]:
+            results.append(materialize(_finished(index, state.where("NOT done"), now["left"], k), "finished"))
+            break
     if not results:
         results = [state]
-    every = results[0]
+    every = results[0].select("cell_idx", "nn", "dist")
     for more in results[1:]:
-        every = every.unionByName(more)
+        every = every.unionByName(more.select("cell_idx", "nn", "dist"))
     hit = F.posexplode(F.arrays_zip("nn", "dist")).alias("nn_rank", "hit")
     return every.select("cell_idx", hit).select(
         "cell_idx", (F.col("nn_rank") + 1).alias("nn_rank"), F.col("hit.nn").alias("nn_cell_idx"), F.col("hit.dist").alias("dist")
     )
 
 
+class _Held:
+    """Queries of a task and the best neighbours they found among the pages that came past."""
+
+    def __init__(self, task: int, nodes: Nodes, k: int) -> None:
+        self.task, self.nodes, self.k = task, nodes, k
+        self.rows: list[pa.RecordBatch] = []
+        self.x: np.ndarray | None = None
+
+    def take(self, rows: pa.RecordBatch) -> None:
+        self.rows.append(rows)
+
+    def _open(self) -> None:
+        table = pa.Table.from_batches(self.rows)
+        self.rows = []
+        self.ids = list_matrix(table.column("ids"))[:, 0]
+        self.x = list_matrix(table.column("vecs"))
+        self.limit = table.column("worst").to_numpy().copy()  # of the pages seen before
+        self.worst = self.limit.copy()
+        self.seen = list_matrix(table.column("seen"))
+        self.nn = np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
+        self.dist = np.full((len(self.ids), self.k), np.inf)
+
+    def visit(self, rows: pa.RecordBatch) -> None:
+        if self.x is None:
+            self._open()
+        sizes = np.diff(rows.column("ids").offsets.to_numpy())
+        lo = 0
+        while lo < len(sizes):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), CHUNK_ROWS, "right")))
+            chunk = rows.slice(lo, hi - lo)
+            ids = chunk.column("ids").flatten().to_numpy()
+            order = np.argsort(ids, kind="stable")
+            vecs = chunk.column("vecs").flatten().to_numpy().reshape(len(ids), -1)[order]
+            at = np.searchsorted(self.nodes.page, chunk.column("page").to_numpy())
+            self._compare(at, np.repeat(np.arange(len(at)), sizes[lo:hi])[order], ids[order], vecs)
+            lo = hi
+
+    def _compare(self, at: np.ndarray, owner: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
+        for lo in range(0, len(self.ids), ASSIGNED_ROWS):
+            x, worst = self.x[lo:lo + ASSIGNED_ROWS], self.worst[lo:lo + ASSIGNED_ROWS]
+            seen = (self.seen[lo:lo + ASSIGNED_ROWS, :, None] == at).any(axis=1)
+            ahead = ~seen & (self.nodes.bounds(x, at)[0] <= worst[:, None])
+            rows = np.flatnonzero(ahead.any(axis=1))
+            if not len(rows):
+                continue
+            dist = distances(x[rows], vecs, self.nodes.metric)
+            dist[seen[rows][:, owner]] = np.inf
+            near = dist.min(axis=1) <= worst[rows]
+            rows, dist = rows[near], dist[near]
+            if not len(rows):
+                continue
+            best, rows = smallest(dist, min(self.k, len(ids))), rows + lo
+            dist = np.hstack([self.dist[rows], np.take_along_axis(dist, best, axis=1)])
+            nn = np.hstack([self.nn[rows], ids[best]])
+            order = np.lexsort((nn, dist), axis=-1)[:, : self.k]  # ties go to the smaller id
+            self.dist[rows] = np.take_along_axis(dist, order, axis=1)
+            self.nn[rows] = np.take_along_axis(nn, order, axis=1)
+            self.worst[rows] = np.minimum(self.limit[rows], self.dist[rows, -1])
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.x is None:  # no page came
+            return
+        for lo in range(0, len(self.ids), ASSIGNED_ROWS):
+            some = slice(lo, lo + ASSIGNED_ROWS)
+            dist = self.dist[some]
+            held = np.isfinite(dist) & (dist <= self.limit[some, None])
+            offsets = np.append(0, np.cumsum(held.sum(axis=1))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[held])) for v in (self.nn[some], dist)]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[some]), *lists], ["cell_idx", "nn", "dist"])
+
+
+def _finished(index: BallIndex, going: DataFrame, left: int, k: int) -> DataFrame:
+    """``(cell_idx, nn, dist)`` of queries that are not done: the best of their state and of all pages they have not seen.
+
+    A task holds a slice of the queries and sees a share of the pages, so that what is
+    shuffled is pages x slices, queries x shares and the neighbours found in every share.
+    """
+    nodes = going.sparkSession.sparkContext.broadcast(index.nodes)
+    n_pages, width = len(index.nodes.page), index.nodes.pivots.shape[1]
+    slices = math.ceil(left * 8 * (width + 2 * k) / HELD_BYTES)
+    shares = max(1, min(n_pages, TASKS // slices, math.ceil(left * index.size / slices / TASK_PAIRS)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    worst = F.when(F.size("dist") >= k, F.get("dist", F.lit(k - 1))).otherwise(F.lit(float("inf")))
+    asked = going.select("*", each(shares).alias("share")).select(
+        (part("cell_idx", slices) * shares + F.col("share")).cast("int").alias("task"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("page"),
+        F.array("cell_idx").alias("ids"), F.col("vec").alias("vecs"), worst.alias("worst"), "seen",
+    )
+    passing = index.leaves.select("*", each(slices).alias("slice")).select(
+        (F.col("slice") * shares + part("page", shares)).cast("int").alias("task"), F.lit(1).alias("kind"), "page",
+        "ids", "vecs", F.lit(None).cast("double").alias("worst"), F.lit(None).cast("array<int>").alias("seen"),
+    )
+    rows = asked.unionByName(passing).repartitionById(slices * shares, F.col("task")).sortWithinPartitions("task", "kind", "page")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            task, kind = batch.column("task").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.diff(task) | np.diff(kind)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(task)]):
+                if lo == hi:
+                    continue
+                if kind[lo] == 0 and (held is None or held.task != task[lo]):
+                    if held is not None:
+                        yield from held.found()
+                    held = _Held(int(task[lo]), nodes.value, k)
+                if held is not None and held.task == task[lo]:
+                    (held.visit if kind[lo] else held.take)(batch.slice(lo, hi - lo))
+        if held is not None:
+            yield from held.found()
+
+    found = rows.mapInArrow(stream, "cell_idx long, nn array<long>, dist array<double>")
+    pairs = F.arrays_zip("dist", "nn")
+    merged = found.where(F.size("nn") > 0).groupBy("cell_idx").agg(F.flatten(F.collect_list(pairs)).alias("new"))
+    every = F.when(F.col("new").isNull(), pairs).otherwise(F.concat(pairs, "new"))
+    best = F.slice(F.array_sort(every), 1, k)
+    joined = going.join(merged.hint("merge"), "cell_idx", "left").select("cell_idx", best.alias("b"))
+    return joined.select("cell_idx", F.col("b.nn").alias("nn"), F.col("b.dist").alias("dist"))
+
+
 def _worst(dist: pa.ListArray, k: int) -> np.ndarray:
     """The distance of the k-th neighbour, infinite with fewer."""
     counts = np.diff(dist.offsets.to_numpy())

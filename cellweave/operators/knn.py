@@ -13,7 +13,7 @@ from cellweave.operators.ballindex import PAGE_ROWS, build_index, distances, pre
 from cellweave.operators.vectors import list_matrix, matrix_list
 from cellweave.session import materialize
 
-BROADCAST_BYTES = 256 * 2**20
+BROADCAST_BYTES = 32 * 2**20  # the driver holds such a sample several times while it is sent
 
 
 def nearest(

@@ -512,3 +512,21 @@ def test_figure_numbers(spark):
     assert a == pytest.approx(1.577, rel=0.02) and b == pytest.approx(0.895, rel=0.02)
     with pytest.raises(ValueError):
         dense_vectors(None, None, spark.range(vectors.MAX_GENES + 1).withColumnRenamed("id", "gene_idx"), None)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_exact_search_in_slices_and_shares(spark, monkeypatch, metric):
+    """Queries that are not done after a first visit: held in several slices, pages in several shares, with copies and ties."""
+    monkeypatch.setattr(ballindex, "HELD_BYTES", 20_000)
+    monkeypatch.setattr(ballindex, "TASK_PAIRS", 1_000)
+    monkeypatch.setattr(ballindex, "CHUNK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 12)).round(1)
+    x[50:90] = x[50]
+    index = ballindex.build_index(vector_frame(spark, x).repartition(3), metric, page_rows=16)
+    found = index.search(vector_frame(spark, x), 7)
+    rows = found.toPandas().sort_values(["cell_idx", "nn_rank"])
+    dist = ballindex.distances(ballindex.prepared(x, metric), ballindex.prepared(x, metric), metric)
+    want = np.lexsort((np.broadcast_to(np.arange(400), dist.shape), dist), axis=-1)[:, :7]
+    assert (rows.nn_cell_idx.to_numpy().reshape(400, 7) == want).all()
+    assert np.allclose(rows.dist.to_numpy().reshape(400, 7), np.take_along_axis(dist, want, axis=1))

@@ -327,3 +327,17 @@ def test_pipeline_stages(spark):
     groups = simhash.near_duplicates(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in groups.collect()})
     assert os.path.exists(RANKS) and corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_toxicity_is_fitted_in_a_task(spark):
+    """The driver gets the model; no text of the sample comes to it."""
+    texts = [(i, ("vile gobsnark " if i % 3 == 0 else "kind words ") + f"here and there {i * 7919}", int(i % 3 == 0)) for i in range(90)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
+    assert sample.groupBy("label").count().orderBy("label").collect() == [(0, 60), (1, 30)]
+    model = toxicity.train(docs, labels)
+    want = toxicity.fit([t for _, t, y in texts if y], [t for _, t, y in texts if not y], 30 / 90)
+    assert model.landmarks == want.landmarks and model.landmarks
+    assert np.array_equal(model.plane, want.plane) and (model.scale, model.shift) == (want.scale, want.shift)
+    assert toxicity.train(docs.limit(0), labels.limit(0)).landmarks == []

@@ -1,4 +1,8 @@
-"""Neighbour graphs and modularity clustering as joins and aggregations."""
+"""Neighbour graphs and modularity clustering as joins and aggregations.
+
+Tables of nodes, links and communities grow with the graph and are joined anew in
+every round, so they are joined by sorting and never sent through the driver.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +42,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """
     first = labels.select(F.col("node").alias("src"), F.col("community").alias("a"))
     second = labels.select(F.col("node").alias("dst"), F.col("community").alias("b"))
-    ends = edges.join(first, "src").join(second, "dst")
+    ends = edges.join(first.hint("merge"), "src").join(second.hint("merge"), "dst")
     per = (
         ends.select(F.explode(F.array(
             F.struct(F.col("a").alias("community"), (F.col("a") == F.col("b")).cast("long").alias("inner")),
@@ -85,12 +89,12 @@ def louvain(edges: DataFrame, seed: int = 0) -> DataFrame:
             break
         best_q = q
         members = materialize(
-            members.join(placed.select(F.col("community").alias("upper"), F.col("node").alias("community")), "community")
+            members.join(placed.select(F.col("community").alias("upper"), F.col("node").alias("community")).hint("merge"), "community")
             .select("node", F.col("upper").alias("community")),
             "members",
         )
     degree = single.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    merged = degree.join(members, "node").select("node", "k", "community", F.lit(turn).alias("turn"))
+    merged = degree.join(members.hint("merge"), "node").select("node", "k", "community", F.lit(turn).alias("turn"))
     return number_by_size(_settled(single, merged, total)[0])
 
 
@@ -126,10 +130,10 @@ def _sweep(links: DataFrame, state: DataFrame, total: float) -> DataFrame:
     """
     here = state.select(F.col("node").alias("src"), "k", F.col("community").alias("home"), "turn")
     volume = state.groupBy("community").agg(F.sum("k").alias("volume"))
-    there = state.select(F.col("node").alias("dst"), "community").join(volume, "community")
+    there = state.select(F.col("node").alias("dst"), "community").join(volume.hint("merge"), "community")
     weight = F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.col("w"))
     pull = (
-        links.join(there, "dst").join(here, "src")
+        links.join(there.hint("merge"), "dst").join(here.hint("merge"), "src")
         .groupBy("src", "k", "home", "turn", "community")
         .agg(F.sum(weight).alias("into"), F.max("volume").alias("volume"))
     )
@@ -152,7 +156,7 @@ def _contract(links: DataFrame, placed: DataFrame) -> DataFrame:
     a = placed.select(F.col("node").alias("src"), F.col("community").alias("a"))
     b = placed.select(F.col("node").alias("dst"), F.col("community").alias("b"))
     return (
-        links.join(a, "src").join(b, "dst")
+        links.join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
         .groupBy(F.col("a").alias("src"), F.col("b").alias("dst"))
         .agg(F.sum("w").alias("w"))
     )
@@ -171,4 +175,4 @@ def number_by_size(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "first")  # one row per community
     numbered = sizes.select("community", F.row_number().over(order).alias("number"))
-    return members.join(numbered, "community").select("node", F.col("number").alias("community"))
+    return members.join(numbered.hint("merge"), "community").select("node", F.col("number").alias("community"))

@@ -5,7 +5,8 @@ one row that holds the positions of its cells. In a superstep every block receiv
 needs from the others: the positions its links lead to, those of a hashed draw of far
 cells, or a field that all cells make up on a grid. It then moves its own cells for some
 rounds while the received positions stand still. With one block nothing stands still and
-all rounds are one superstep. Nothing is kept on the driver but the extent of the layout.
+all rounds are one superstep. Nothing is kept on the driver but the extent of the layout,
+and no table that grows with the cells is broadcast through it.
 
 Blocks depend on ids alone, draws on hashes of numbers and rounds, and lists are sorted
 before they are summed, so a layout does not depend on how Spark partitions its tables.
@@ -99,18 +100,18 @@ class Layout:
         self.n, self.block_size = self.numbers.count(), block_size
         self.n_blocks = -(-self.n // block_size)
         block = lambda c: F.expr(f"cast({c} div {block_size} as int)")
-        placed = start.join(self.numbers, "cell_idx").groupBy(block("idx").alias("block")).agg(
+        placed = start.join(self.numbers.hint("merge"), "cell_idx").groupBy(block("idx").alias("block")).agg(
             F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias("s")
         )
         zeros = F.transform("at", lambda x: F.lit(0.0))
         self.state = placed.select("block", F.flatten("s.vec").alias("at")).select("block", "at", zeros.alias("first"), zeros.alias("second"))
         ends = links
         for end, name in (("node", "idx"), ("other", "to")):
-            ends = ends.join(self.numbers.select(F.col("cell_idx").alias(end), F.col("idx").alias(name)), end)
+            ends = ends.join(self.numbers.select(F.col("cell_idx").alias(end), F.col("idx").alias(name)).hint("merge"), end)
         ends = materialize(ends.select(block("idx").alias("block"), "idx", "to", "weight"), "links")
         heavy, seen = materialize_with(ends.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_links), "heavy", n=F.count(F.lit(1)))
-        self.heavy_links = ends.join(heavy, "idx", "left_semi") if seen["n"] else None
-        light = ends.join(heavy, "idx", "left_anti") if seen["n"] else ends
+        self.heavy_links = ends.join(heavy.hint("merge"), "idx", "left_semi") if seen["n"] else None
+        light = ends.join(heavy.hint("merge"), "idx", "left_anti") if seen["n"] else ends
         listed = light.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("idx", "to", "weight"))).alias("e"))
         self.edges = materialize(listed.select("block", F.col("e.idx").alias("node"), F.col("e.to").alias("to"), F.col("e.weight").alias("weight")), "block-links")
         away = light.where(F.col("block") != block("to")).select("block", F.col("to").alias("idx")).distinct()
@@ -156,7 +157,7 @@ class Layout:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), b, np.int32)), pa.array(idx)], ["block", "idx"])
 
             asked = asked.union(self.state.select("block").mapInArrow(draw, "block int, idx long")).distinct()
-        return asked.join(self.positions(), "idx").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias("halo"))
+        return asked.join(self.positions().hint("merge"), "idx").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("idx", "vec"))).alias("halo"))
 
     def _steady(self) -> DataFrame | None:
         """``(block, steady)``: summed forces of the heavy cells."""
@@ -164,8 +165,8 @@ class Layout:
             return None
         here = self.positions()
         pull, c = self.pull, self.components
-        both = self.heavy_links.join(here.withColumnRenamed("vec", "mine"), "idx").join(
-            here.select(F.col("idx").alias("to"), F.col("vec").alias("yours")), "to"
+        both = self.heavy_links.join(here.withColumnRenamed("vec", "mine").hint("merge"), "idx").join(
+            here.select(F.col("idx").alias("to"), F.col("vec").alias("yours")).hint("merge"), "to"
         )
 
         def forces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +188,16 @@ class Layout:
 
     def advance(self, move: Callable[[Block, int, int, dict | None], None], turn: int, rounds: int, field: DataFrame | None = None) -> None:
         """Let every block move its cells for some rounds; ``move(block, turn, rounds, field)`` changes the block in place."""
-        joined, columns = self.state.join(self.edges, "block", "left"), ["block", "at", "first", "second", "node", "to", "weight"]
+        joined, columns = self.state.join(self.edges.hint("merge"), "block", "left"), ["block", "at", "first", "second", "node", "to", "weight"]
         for name, more in (("halo", self._received(turn)), ("steady", self._steady())):
             if more is None:
                 joined = joined.withColumn(name, F.lit(None))
             else:
-                joined = joined.join(more, "block", "left").select(
+                joined = joined.join(more.hint("merge"), "block", "left").select(
                     *joined.columns, F.col(f"{name}.idx").alias(f"{name}_idx"), F.col(f"{name}.{'vec' if name == 'halo' else 'f'}").alias(name)
                 )
-        if field is not None:  # one row of bounded size
-            joined = joined.withColumn("one", F.lit(0)).join(F.broadcast(field.withColumn("one", F.lit(0))), "one").drop("one")
+        if field is not None:  # one row of bounded size, which tasks read from its table and not from the driver
+            joined = joined.crossJoin(field.coalesce(1).hint("shuffle_replicate_nl"))
         c, drawn, draws, size = self.components, self._drawn, self.draws, self.block_size
         field_columns = field.columns if field is not None else []
         kept = [x for x in joined.columns if not (x in ("halo", "steady") and f"{x}_idx" not in joined.columns)]
@@ -234,7 +235,7 @@ class Layout:
 
     def result(self) -> DataFrame:
         """``(cell_idx, vec)``"""
-        return self.positions().join(self.numbers, "idx").select("cell_idx", "vec")
+        return self.positions().join(self.numbers.hint("merge"), "idx").select("cell_idx", "vec")
 
 
 @lru_cache(maxsize=2)

@@ -530,3 +530,34 @@ def test_exact_search_in_slices_and_shares(spark, monkeypatch, metric):
     want = np.lexsort((np.broadcast_to(np.arange(400), dist.shape), dist), axis=-1)[:, :7]
     assert (rows.nn_cell_idx.to_numpy().reshape(400, 7) == want).all()
     assert np.allclose(rows.dist.to_numpy().reshape(400, 7), np.take_along_axis(dist, want, axis=1))
+
+
+def test_growing_tables_are_not_sent_through_the_driver(spark, monkeypatch):
+    """The joins of a search, of the rounds of Louvain and of a layout have no broadcast side but bounded ones."""
+    from cellweave.operators import layout
+
+    plans, write, with_totals = [], graph.materialize, graph.materialize_with
+
+    def shown(df, name="stage", *args):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name, *args)
+
+    def shown_with(df, name, **totals):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return with_totals(df, name, **totals)
+
+    for module in (ballindex, graph, layout):
+        monkeypatch.setattr(module, "materialize", shown)
+        monkeypatch.setattr(module, "materialize_with", shown_with)
+    x = np.random.default_rng(2).normal(size=(300, 6))
+    index = ballindex.build_index(vector_frame(spark, x), "euclidean", page_rows=16)
+    near = index.search(vector_frame(spark, x), 5)
+    edges = write(graph.graph_edges(near), "edges")
+    graph.louvain(edges, 1).count()
+    embed.fit_umap(vector_frame(spark, x), n_neighbors=5, n_epochs=10, block_size=100).count()
+    embed.fit_tsne(vector_frame(spark, x), max_iter=20, block_size=100).count()
+    sent = [(name, plan) for name, plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoop" in plan]
+    # a row for each partition of the numbered cells
+    assert {name for name, _ in sent} <= {"numbers", "links", "block-links"}, sent[0]
+    assert all(plan.count("BroadcastHashJoin") <= 2 for name, plan in sent)
+    assert {"state", "visits", "finished", "layout", "field"} <= {name for name, _ in plans}

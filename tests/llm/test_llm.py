@@ -331,7 +331,7 @@ def test_pipeline_stages(spark):
 
 def test_toxicity_is_fitted_in_a_task(spark):
     """The driver gets the model; no text of the sample comes to it."""
-    texts = [(i, ("vile gobsnark " if i % 3 == 0 else "kind words ") + f"here and there {i * 7919}", int(i % 3 == 0)) for i in range(90)]
+    texts = [(i, ("vile gobsnark " if i % 3 == 0 else "kind words ") + " ".join(f"{(i * 31 + j) * 7919:x}" for j in range(20)), int(i % 3 == 0)) for i in range(90)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
     sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")

@@ -22,6 +22,7 @@ columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import WORD, blocks
-from cellweave.session import materialize
+from cellweave.session import arrow_batches, materialize
 
 WINDOW = 13
 GAP = 16
 
+#: Bytes of the batches in which texts and rows of the index travel to Python, one row at least: a task
+#: holds a few of them at once, and the buffers of many tasks stay with an executor until it collects garbage.
+BATCH_BYTES = 4 << 20
+
 #: Bytes of test texts searched at once; a larger test set is searched in several passes.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+
+#: Windows looked up at once.
+LOOKED_UP = 1 << 16
 
 INDEX = "doc_ids array<{id}>, n_words array<int>, starts array<int>, terms array<string>, offsets array<int>, positions array<int>"
 HITS = "block long, at int, items array<string>, near array<string>, spans array<struct<s:int,e:int>>"
@@ -78,18 +86,52 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     schema = INDEX.format(id=docs.schema[doc_id].dataType.simpleString())
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     index = read.mapInArrow(_indexed, schema).withColumn("block", F.monotonically_increasing_id())
-    return materialize(index, "postings", compression="zstd")
+    small = {"parquet.block.row.count.limit": 1, "parquet.page.size.row.check.min": 1}  # readers hold a row group at once
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return materialize(index, "postings", compression="zstd", **small)
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Distinct windows of test texts as arrays, for a slice has a window for almost every word."""
+
+    vocabulary: list[bytes]
+    grid: np.ndarray  # windows x words, places in the vocabulary; a shorter window repeats its first word
+    length: np.ndarray  # words of a window
+    first: np.ndarray  # per window, and one past the last, the place of its texts in ``owner``
+    owner: np.ndarray
 
+    def __len__(self) -> int:
+        return len(self.grid)
 
-def windows(texts: list[bytes], size: int = WINDOW) -> tuple[list[bytes], list[list[int]], list[list[int]]]:
-    """Test vocabulary, the distinct windows as lists of its places, and the texts each window stands in."""
+    def words(self, w: int) -> np.ndarray:
+        return self.grid[w, : self.length[w]]
+
+    def owners(self, w: int) -> np.ndarray:
+        """The texts a window stands in, by rising number."""
+        return self.owner[self.first[w] : self.first[w + 1]]
+
+
+def windows(texts: list[bytes], size: int = WINDOW) -> Windows:
+    """Test vocabulary, the distinct windows as places in it, and the texts each window stands in."""
     vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[int]] = {}
+    rows = [np.empty((0, size + 2), np.int32)]
     for i, text in enumerate(texts):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
-        for k in range(max(1, len(ids) - size + 1) if ids else 0):
-            found.setdefault(tuple(ids[k : k + size]), set()).add(i)
-    return list(vocabulary), [list(w) for w in found], [sorted(x) for x in found.values()]
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(text)], np.int32)
+        if not len(ids):
+            continue
+        if len(ids) < size:
+            found = np.concatenate((ids, np.full(size - len(ids), ids[0], np.int32)))[None, :]
+        else:
+            found = np.unique(np.lib.stride_tricks.sliding_window_view(ids, size), axis=0)
+        at = np.full((len(found), 1), i, np.int32)
+        rows.append(np.hstack([found, np.full_like(at, min(len(ids), size)), at]))
+    every = np.concatenate(rows)
+    every = every[np.lexsort(every.T[::-1])]  # equal windows together, their texts rising
+    new = np.ones(len(every), bool)
+    new[1:] = (every[1:, :-1] != every[:-1, :-1]).any(axis=1)
+    first = np.append(np.flatnonzero(new), len(every))
+    return Windows(list(vocabulary), every[new, :size], every[new, size], first, every[:, -1].copy())
 
 
 def phrase_starts(lists: list[np.ndarray], slop: int = 0) -> np.ndarray:
@@ -113,13 +155,11 @@ def _searcher(test, slop: int):
         names, texts = test.value
         if not any(map(words, texts)):
             return
-        vocabulary, found, owners = windows(texts)
-        width = max(map(len, found), default=0)
-        grid = np.array([w + [w[0]] * (width - len(w)) for w in found], np.int64).reshape(-1, width)
-        lookup = pa.array(vocabulary, pa.binary()).cast(pa.string())
+        found = windows(texts)
+        lookup = pa.array(found.vocabulary, pa.binary()).cast(pa.string())
         for batch in batches:
             for row in range(batch.num_rows):
-                out = _search_block(batch, row, lookup, found, owners, grid, names, slop)
+                out = _search_block(batch, row, lookup, found, names, slop)
                 if out is not None:
                     yield out
 
@@ -130,7 +170,16 @@ def _values(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))[row].values
 
 
-def _search_block(batch, row, lookup, found, owners, grid, names, slop):
+def _held(at: np.ndarray, found: Windows) -> Iterator[int]:
+    """Windows all of whose words have a place."""
+    for lo in range(0, len(found), LOOKED_UP):
+        left = np.arange(lo, min(lo + LOOKED_UP, len(found)))
+        for words_at in found.grid[lo : lo + LOOKED_UP].T:
+            left = left[at[words_at[left - lo]] >= 0]
+        yield from left
+
+
+def _search_block(batch: pa.RecordBatch, row: int, lookup: pa.Array, found: Windows, names: list, slop: int) -> pa.RecordBatch | None:
     terms = _values(batch, "terms", row)
     if not len(terms) or not len(found):
         return None
@@ -143,10 +192,10 @@ def _search_block(batch, row, lookup, found, owners, grid, names, slop):
     cover = np.zeros(int(starts[-1]) + int(sizes[-1]) + GAP + 1, np.int32)
     exact: set[tuple[int, str]] = set()
     near: set[tuple[int, str]] = set()
-    for w in np.flatnonzero((at[grid] >= 0).all(axis=1)):
-        lists = [positions[offsets[t] : offsets[t + 1]] for t in at[found[w]]]
+    for w in _held(at, found):
+        lists = [positions[offsets[t] : offsets[t + 1]] for t in at[found.words(w)]]
         places = phrase_starts(lists)
-        items = [names[i] for i in owners[w]]
+        items = [names[i] for i in found.owners(w)]
         if len(places):
             np.add.at(cover, places, 1)
             np.add.at(cover, places + len(lists), -1)
@@ -198,7 +247,7 @@ def search(index: DataFrame, tests: DataFrame, item_id: str = "item_id", text: s
     for part in range(parts):
         rows = read.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
         test = spark.sparkContext.broadcast(([r.item for r in rows], [r.text.encode() for r in rows]))
-        hits = index.mapInArrow(_searcher(test, slop), HITS)
+        hits = index.drop("doc_ids").mapInArrow(_searcher(test, slop), HITS)
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -206,9 +255,10 @@ def search(index: DataFrame, tests: DataFrame, item_id: str = "item_id", text: s
 def contamination(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text: str = "text", slop: int = 2) -> DataFrame:
     """One row per document: words, words hit, items with a phrase and near it, and the verdict."""
     index = build_index(docs, doc_id, text)
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        hits = materialize(search(index, tests, slop=slop), "hits")
     merged = (
-        materialize(search(index, tests, slop=slop), "hits")
-        .groupBy("block", "at")
+        hits.groupBy("block", "at")
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.size(F.array_distinct(F.flatten(F.collect_list("near")))).cast("long").alias("n_near"),

@@ -5,11 +5,14 @@ import itertools
 import math
 import os
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -19,6 +22,7 @@ from cellweave.llm import bpe, context_tree, decontaminate, host_rules, licenses
 from cellweave.llm.common import LOWER, WORD
 from cellweave.llm.oracles import ORACLES
 from cellweave.llm.queries import PIECES, QUERIES, RANKS
+from cellweave.session import arrow_batches
 
 SMALL = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(60_000))
@@ -124,6 +128,40 @@ def test_decontamination_by_brute_force(spark, docs, empty):
     assert decontaminate.contamination(docs, near, slop=2).filter("n_near = 1 AND n_hit = 0").count() == 4
 
 
+def test_decontamination_holds_few_rows_of_the_index(spark):
+    """Rows of the index are read and sent to Python a few at a time, and windows are no Python objects."""
+    word = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(word[(i * j) % 3000] for j in range(1, 40_000))) for i in range(60)]
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in index.inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)]
+    assert index.count() > 2 and max(groups) == 1
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    with arrow_batches(spark, decontaminate.BATCH_BYTES):
+        sent = [r.n for r in index.mapInArrow(counted, "n long").collect()]
+    assert len(sent) > 1 and max(sent) < 2 * decontaminate.BATCH_BYTES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(decontaminate.BATCH_BYTES)
+
+    texts = [" ".join(word[(i * j) % 2999] for j in range(1, 60)).encode() for i in range(1, 2001)]
+    tracemalloc.start()
+    found = decontaminate.windows(texts + texts[:5])
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 60_000 and held < 400 * len(found)
+    seen = {}
+    for i, text in enumerate(texts[:50] + texts[:5] + [b"w1 w2", b"w1", b"w1 w1", b" "]):
+        ws = text.split()
+        for k in range(max(1, len(ws) - 12) if ws else 0):
+            seen.setdefault(tuple(ws[k : k + 13]), set()).add(i)
+    small = decontaminate.windows(texts[:50] + texts[:5] + [b"w1 w2", b"w1", b"w1 w1", b" "])
+    got = {tuple(small.vocabulary[x] for x in small.words(w)): {*small.owners(w).tolist()} for w in range(len(small))}
+    assert got == seen
+
+
 def test_host_rules(docs, empty):
     def brute(text):
         ws = re.findall(r"[^\x20\x09-\x0D]+", text or "")

@@ -44,11 +44,17 @@ PLANNED = 4_000_000
 ASSIGNED_ROWS = 1024
 
 #: Bytes of queries and their neighbours that a task holds while pages stream past, tasks of a search at
-#: least (if there are so many pages), comparisons worth a task, rows of pages compared at once.
+#: least (if there are so many comparisons), shares of the pages at most (each share gives every query its own
+#: neighbours), comparisons worth a task, rows of pages compared at once, pairs measured at once.
 HELD_BYTES = 64 * 2**20
 TASKS = 48
+SHARES = 4
 TASK_PAIRS = 4_000_000
 CHUNK_ROWS = 2048
+MEASURED = 50_000
+
+#: Norm above which products are taken in double precision.
+SINGLE = 1e30
 
 DECIMALS = 10  # distances are compared at this precision, ties go to the smaller id
 CANCELS = 1e-6  # share of the squared norms below which a squared distance is summed anew
@@ -317,6 +323,11 @@ def _search(index: BallIndex, queries: DataFrame, k: int, pages: int | None) ->
     )
 
 
+def _error(width: int, kind: type) -> float:
+    """Twice the bound of the relative error of a sum of products, with the rounding of their factors."""
+    return (width + 8) * float(np.finfo(kind).eps)
+
+
 class _Held:
     """Queries of a task and the best neighbours they found among the pages that came past."""
 
@@ -333,11 +344,19 @@ class _Held:
         self.rows = []
         self.ids = list_matrix(table.column("ids"))[:, 0]
         self.x = list_matrix(table.column("vecs"))
+        self.norm = (self.x**2).sum(axis=1)
+        self.wide = self._wide(slice(None), np.float32)
         self.limit = table.column("worst").to_numpy().copy()  # of the pages seen before
         self.worst = self.limit.copy()
         self.seen = list_matrix(table.column("seen"))
         self.nn = np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
         self.dist = np.full((len(self.ids), self.k), np.inf)
+        self.new: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+    def _wide(self, rows: np.ndarray | slice, kind: type) -> np.ndarray:
+        """Queries with two columns more, whose products with those of the pages are half the page's norm and the greatest error."""
+        x, norm = self.x[rows], self.norm[rows]
+        return np.column_stack([x, np.ones(len(x)), np.sqrt(norm) * _error(x.shape[1], kind)]).astype(kind)
 
     def visit(self, rows: pa.RecordBatch) -> None:
         if self.x is None:
@@ -355,30 +374,62 @@ class _Held:
             lo = hi
 
     def _compare(self, at: np.ndarray, owner: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
+        """Pairs that may be near by a product in single precision, with its greatest error, are measured in full."""
+        norm = (vecs**2).sum(axis=1)
+        euclidean = self.nodes.metric == "euclidean"
+        single = max(norm.max(), self.norm.max()) < SINGLE
+        kind = np.float32 if single else np.float64
+        half = norm / 2 * (_error(vecs.shape[1], kind) - 1) if euclidean else np.zeros(len(norm))
+        wide = np.column_stack([vecs, half, np.sqrt(norm)]).astype(kind)
         for lo in range(0, len(self.ids), ASSIGNED_ROWS):
-            x, worst = self.x[lo:lo + ASSIGNED_ROWS], self.worst[lo:lo + ASSIGNED_ROWS]
-            seen = (self.seen[lo:lo + ASSIGNED_ROWS, :, None] == at).any(axis=1)
-            ahead = ~seen & (self.nodes.bounds(x, at)[0] <= worst[:, None])
-            rows = np.flatnonzero(ahead.any(axis=1))
-            if not len(rows):
-                continue
-            dist = distances(x[rows], vecs, self.nodes.metric)
-            dist[seen[rows][:, owner]] = np.inf
-            near = dist.min(axis=1) <= worst[rows]
-            rows, dist = rows[near], dist[near]
+            some = slice(lo, lo + ASSIGNED_ROWS)
+            seen = (self.seen[some, :, None] == at).any(axis=1)
+            rows = np.flatnonzero((~seen & (self.nodes.bounds(self.x[some], at)[0] <= self.worst[some, None])).any(axis=1))
             if not len(rows):
                 continue
-            best, rows = smallest(dist, min(self.k, len(ids))), rows + lo
-            dist = np.hstack([self.dist[rows], np.take_along_axis(dist, best, axis=1)])
-            nn = np.hstack([self.nn[rows], ids[best]])
-            order = np.lexsort((nn, dist), axis=-1)[:, : self.k]  # ties go to the smaller id
-            self.dist[rows] = np.take_along_axis(dist, order, axis=1)
-            self.nn[rows] = np.take_along_axis(nn, order, axis=1)
-            self.worst[rows] = np.minimum(self.limit[rows], self.dist[rows, -1])
+            here = rows + lo
+            most = self.worst[here] + 2 * 10.0**-DECIMALS
+            least = (self.norm[here] - most**2) / 2 if euclidean else 1.0 - most
+            mine = self.wide[here] if single else self._wide(here, kind)
+            near = np.flatnonzero(mine @ wide.T >= np.nextafter(least.astype(kind), kind(-np.inf))[:, None])
+            row, other = np.divmod(near, len(ids))
+            fresh = ~seen[rows[row], owner[other]]
+            self._measure(lo, here[row[fresh]], other[fresh], ids, vecs)
+
+    def _measure(self, lo: int, row: np.ndarray, other: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
+        """Keep pairs that are among the best by their distances, and settle a block of rows when many are kept."""
+        for some in np.split(np.arange(len(row)), range(MEASURED, len(row), MEASURED)):
+            r, o = row[some], other[some]
+            if self.nodes.metric == "cosine":
+                dist = 1.0 - np.einsum("ij,ij->i", self.x[r], vecs[o])
+            else:
+                dist = np.sqrt(((self.x[r] - vecs[o]) ** 2).sum(axis=1))
+            dist, last, nn = np.round(dist, DECIMALS) + 0.0, self.dist[r, -1], ids[o]
+            keep = (dist <= self.limit[r]) & ((dist < last) | ((dist == last) & (nn < self.nn[r, -1])))
+            if keep.any():
+                new = self.new.setdefault(lo, [])
+                new.append((r[keep], nn[keep], dist[keep]))
+                if sum(len(x[0]) for x in new) > max(MEASURED // 2, ASSIGNED_ROWS * self.k // 2):
+                    self._settle(lo)
+
+    def _settle(self, lo: int) -> None:
+        """Merge what was kept for a block of rows into their best; ties go to the smaller id."""
+        r, nn, dist = (np.concatenate(x) for x in zip(*self.new.pop(lo)))
+        rows, place = np.unique(r, return_inverse=True)
+        place = np.append(np.repeat(np.arange(len(rows)), self.k), place)
+        nn, dist = np.append(self.nn[rows], nn), np.append(self.dist[rows], dist)
+        order = np.lexsort((nn, dist, place))
+        sizes = np.bincount(place)
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        best = order[np.arange(len(order)) - first < self.k]
+        self.nn[rows], self.dist[rows] = nn[best].reshape(-1, self.k), dist[best].reshape(-1, self.k)
+        self.worst[rows] = np.minimum(self.limit[rows], self.dist[rows, -1])
 
     def found(self) -> Iterator[pa.RecordBatch]:
         if self.x is None:  # no page came
             return
+        for lo in list(self.new):
+            self._settle(lo)
         for lo in range(0, len(self.ids), ASSIGNED_ROWS):
             some = slice(lo, lo + ASSIGNED_ROWS)
             dist = self.dist[some]
@@ -396,8 +447,10 @@ def _finished(index: BallIndex, going: DataFrame, left: int, k: int) -> DataFram
     """
     nodes = going.sparkSession.sparkContext.broadcast(index.nodes)
     n_pages, width = len(index.nodes.page), index.nodes.pivots.shape[1]
-    slices = math.ceil(left * 8 * (width + 2 * k) / HELD_BYTES)
-    shares = max(1, min(n_pages, TASKS // slices, math.ceil(left * index.size / slices / TASK_PAIRS)))
+    least = math.ceil(left * (12 * width + 16 * k) / HELD_BYTES)
+    tasks = max(least, min(TASKS, math.ceil(left * index.size / TASK_PAIRS)))
+    shares = min(n_pages, SHARES, math.ceil(tasks / least))
+    slices = max(least, math.ceil(tasks / shares))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     worst = F.when(F.size("dist") >= k, F.get("dist", F.lit(k - 1))).otherwise(F.lit(float("inf")))

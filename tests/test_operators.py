@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -561,3 +562,35 @@ def test_growing_tables_are_not_sent_through_the_driver(spark, monkeypatch):
     assert {name for name, _ in sent} <= {"numbers", "links", "block-links"}, sent[0]
     assert all(plan.count("BroadcastHashJoin") <= 2 for name, plan in sent)
     assert {"state", "visits", "finished", "layout", "field"} <= {name for name, _ in plans}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_streamed_pages_measure_few_pairs_in_full(monkeypatch, metric):
+    """Products in single precision leave few pairs to measure, and lose no neighbour: copies, near copies, zeros, great lengths."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 24))
+    x[100:300], x[300:400], x[400:450] = x[0], x[1] + rng.normal(size=(100, 24)) * 1e-7, 0.0
+    x[500:520] *= 1e4
+    x = ballindex.prepared(x, metric)
+    k, size, asked = 9, 250, np.arange(0, 3000, 5)
+    starts = np.arange(0, len(x), size)
+    nodes = ballindex.Nodes(x[:1], np.arange(len(starts)), np.zeros(len(starts), int), np.zeros(len(starts)), np.full(len(starts), 1e9), metric)
+    dist = ballindex.distances(x[asked], x, metric)
+    limit = np.sort(dist[:, :size], axis=1)[:, k - 1]
+    lists = lambda v, kind: pa.array([*v], pa.list_(kind))
+    held = ballindex._Held(0, nodes, k)
+    columns = [lists([[i] for i in asked], pa.int64()), lists([*x[asked]], pa.float64()), pa.array(limit), lists([[0]] * len(asked), pa.int32())]
+    held.take(pa.RecordBatch.from_arrays(columns, ["ids", "vecs", "worst", "seen"]))
+    measured, measure = [], ballindex._Held._measure
+    monkeypatch.setattr(ballindex._Held, "_measure", lambda self, lo, row, *rest: (measured.append(len(row)), measure(self, lo, row, *rest)))
+    monkeypatch.setattr(ballindex, "MEASURED", 700)
+    for p, lo in enumerate(starts):
+        columns = [pa.array([p]), lists([range(lo, lo + size)], pa.int64()), lists([x[lo : lo + size].ravel()], pa.float64())]
+        held.visit(pa.RecordBatch.from_arrays(columns, ["page", "ids", "vecs"]))
+    got = {i: [*zip(d, n)] for b in held.found() for i, n, d in zip(*(b.column(c).to_pylist() for c in ("cell_idx", "nn", "dist")))}
+    assert sum(measured) < 0.15 * len(asked) * len(x)
+    for row, i in enumerate(asked):
+        others = sorted(zip(dist[row, size:], range(size, len(x))))[:k]
+        expected = [(d, n) for d, n in others if d <= limit[row]]
+        assert [n for _, n in got.get(i, [])] == [n for _, n in expected]
+        assert np.allclose([d for d, _ in got.get(i, [])], [d for d, _ in expected], rtol=1e-9, atol=2e-10)

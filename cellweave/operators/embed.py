@@ -256,6 +256,13 @@ def tsne_pull(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
     return diff * (w / (1 + (diff**2).sum(axis=1)))[:, None]
 
 
+def tsne_sums(block: Block) -> np.ndarray:
+    """``block.sums`` of ``tsne_pull`` along the links, a coordinate at a time."""
+    diff = [mine[block.node] - around[block.other] for mine, around in zip(block.at.T.copy(), block.around().T.copy())]
+    share = block.weight / (1 + sum(d * d for d in diff))
+    return np.stack([np.bincount(block.node, d * share, len(block.at)) for d in diff], axis=1).astype(float)
+
+
 def fit_tsne(vectors: DataFrame, components: int = 2, max_iter: int = 500, seed: int = 0, block_size: int = BLOCK) -> DataFrame:
     """``(cell_idx, vec)``: t-SNE of all cells given.
 
@@ -280,14 +287,16 @@ def fit_tsne(vectors: DataFrame, components: int = 2, max_iter: int = 500, seed:
             low, high = block.at.min(axis=0), block.at.max(axis=0)
             if field is None:
                 own = Grid.over(low, high)
-                read = own.read(own.potentials(own.spread(block.at, charges(block.at))), block.at)
+                nodes = own.nodes(block.at)
+                read = own.read(own.potentials(own.spread(block.at, charges(block.at), nodes)), block.at, nodes)
                 z = read[:, 0].sum() - len(block.at)
             else:
                 own = Grid.over(np.minimum(low, fixed.min(axis=0)), np.maximum(high, fixed.max(axis=0)))
-                change = own.spread(block.at, charges(block.at)) - own.spread(fixed, charges(fixed))
-                read = own.read(own.potentials(change), block.at) + others.read(potentials, block.at)
+                nodes = own.nodes(block.at)
+                change = own.spread(block.at, charges(block.at), nodes) - own.spread(fixed, charges(fixed))
+                read = own.read(own.potentials(change), block.at, nodes) + others.read(potentials, block.at)
                 z = field["z"] - n
-            pull = block.sums(tsne_pull(block.at[block.node] - block.around()[block.other], block.weight)) + block.steady[:, :-1]
+            pull = tsne_sums(block) + block.steady[:, :-1]
             grad = 4 * ((12.0 if t < early else 1.0) * pull - repulsion(block.at, read) / max(z, 1e-12))
             gain = np.exp(block.second)
             gain = np.where(np.sign(grad) == np.sign(block.first), gain * 0.8, gain + 0.2).clip(0.01)

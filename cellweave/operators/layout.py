@@ -28,9 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.vectors import list_matrix, matrix_list
-from cellweave.session import materialize, materialize_with
+from cellweave.session import arrow_batches, materialize, materialize_with
 
 BLOCK = 16_384
+
+#: Bytes of the batches in which blocks travel to Python, one block at least.
+BATCH_BYTES = 4 << 20
 HEAVY = 512
 PART_BITS = 33
 
@@ -110,12 +113,13 @@ class Layout:
             ends = ends.join(self.numbers.select(F.col("cell_idx").alias(end), F.col("idx").alias(name)).hint("merge"), end)
         ends = materialize(ends.select(block("idx").alias("block"), "idx", "to", "weight"), "links")
         heavy, seen = materialize_with(ends.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_links), "heavy", n=F.count(F.lit(1)))
-        self.heavy_links = ends.join(heavy.hint("merge"), "idx", "left_semi") if seen["n"] else None
+        self.heavy_links = materialize(ends.join(heavy.hint("merge"), "idx", "left_semi"), "heavy-links") if seen["n"] else None
         light = ends.join(heavy.hint("merge"), "idx", "left_anti") if seen["n"] else ends
         listed = light.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("idx", "to", "weight"))).alias("e"))
         self.edges = materialize(listed.select("block", F.col("e.idx").alias("node"), F.col("e.to").alias("to"), F.col("e.weight").alias("weight")), "block-links")
         away = light.where(F.col("block") != block("to")).select("block", F.col("to").alias("idx")).distinct()
         self.needs = materialize(away, "needs")
+        self.box: list[float] | None = None  # least and greatest coordinates, known after a superstep
 
     def supersteps(self, rounds: int, inner: int) -> list[tuple[int, int]]:
         """``(first round, rounds)`` of every superstep."""
@@ -228,10 +232,18 @@ class Layout:
                     )
                     given = {f: row[f].values.to_numpy() if hasattr(row[f], "values") else row[f].as_py() for f in field_columns} or None
                     move(block, turn, rounds, given)
-                    packed = [matrix_list(x.reshape(1, -1)) for x in (block.at, block.first, block.second)]
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *packed], ["block", "at", "first", "second"])
-
-        self.state = materialize(joined.select(*kept).mapInArrow(step, STATE), "layout")
+                    box = block.at.min(axis=0), block.at.max(axis=0)
+                    packed = [matrix_list(x.reshape(1, -1)) for x in (block.at, block.first, block.second, *box)]
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *packed], ["block", "at", "first", "second", "low", "high"])
+
+        blocks = joined.select(*kept)
+        with arrow_batches(blocks.sparkSession, BATCH_BYTES):
+            moved, seen = materialize_with(
+                blocks.mapInArrow(step, f"{STATE}, low array<double>, high array<double>"), "layout",
+                **{f"{end}{i}": f(F.col(end)[i]) for end, f in (("low", F.min), ("high", F.max)) for i in range(c)},
+            )
+        self.state = moved.drop("low", "high")
+        self.box = [seen[f"{end}{i}"] for end in ("low", "high") for i in range(c)]
 
     def result(self) -> DataFrame:
         """``(cell_idx, vec)``"""
@@ -280,28 +292,30 @@ class Grid:
         cell = np.clip(np.floor(u), 0, self.intervals - 1)
         t = (u - cell)[:, :, None] - PLACES
         weight = np.empty_like(t)
+        places = t.transpose(2, 0, 1).copy()
         for k, place in enumerate(PLACES):
-            rest = np.delete(np.arange(len(PLACES)), k)
-            weight[:, :, k] = t[:, :, rest].prod(axis=2) / (place - PLACES[rest]).prod()
+            a, b, c = np.delete(np.arange(len(PLACES)), k)
+            weight[:, :, k] = places[a] * places[b] * places[c] / (place - PLACES[[a, b, c]]).prod()
         node = (len(PLACES) * cell.astype(np.int64))[:, :, None] + np.arange(len(PLACES))
         both = node[:, 0, :, None] * self.side + node[:, 1, None, :]
         return both.reshape(len(at), -1), (weight[:, 0, :, None] * weight[:, 1, None, :]).reshape(len(at), -1)
 
-    def spread(self, at: np.ndarray, charges: np.ndarray) -> np.ndarray:
-        """``(charges, nodes)`` sums of points x charges."""
-        node, weight = self.nodes(at)
+    def spread(self, at: np.ndarray, charges: np.ndarray, nodes: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """``(charges, nodes)`` sums of points x charges; ``nodes`` are those of the points if known."""
+        node, weight = nodes or self.nodes(at)
         return np.stack([np.bincount(node.ravel(), (weight * q[:, None]).ravel(), self.side**2) for q in charges.T])
 
     def potentials(self, sums: np.ndarray) -> np.ndarray:
         """Node potentials: of the kernel ``1/(1+d^2)`` for the first charge, of its square for all."""
         side, size = self.side, 2 * self.side
         kernels = kernel_transforms(side, self.step / len(PLACES))
-        charges = np.fft.rfft2(sums.reshape(-1, side, side), s=(size, size))
+        # along rows only where there are sums, and where potentials are wanted
+        charges = np.fft.fft(np.fft.rfft(sums.reshape(-1, side, side), n=size, axis=2), n=size, axis=1)
         both = np.concatenate([charges[:1] * kernels[0], charges * kernels[1]])
-        return np.fft.irfft2(both, s=(size, size))[:, :side, :side].reshape(len(both), -1)
+        return np.fft.irfft(np.fft.ifft(both, axis=1)[:, :side], n=size, axis=2)[:, :, :side].reshape(len(both), -1)
 
-    def read(self, potentials: np.ndarray, at: np.ndarray) -> np.ndarray:
-        node, weight = self.nodes(at)
+    def read(self, potentials: np.ndarray, at: np.ndarray, nodes: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        node, weight = nodes or self.nodes(at)
         return np.stack([(p[node] * weight).sum(axis=1) for p in potentials], axis=1)
 
 
@@ -355,6 +369,8 @@ def field_of(layout: Layout, grid: Grid) -> DataFrame:
 
 def extent(layout: Layout) -> tuple[list[float], list[float]]:
     """Least and greatest coordinates."""
+    if layout.box is not None:
+        return layout.box[:2], layout.box[2:]
     places = F.filter("at", lambda x, i: i % 2 == 0), F.filter("at", lambda x, i: i % 2 == 1)
     row = layout.state.agg(*(f(g(x)) for x in places for f, g in ((F.min, F.array_min), (F.max, F.array_max)))).first()
     return [row[0], row[2]], [row[1], row[3]]

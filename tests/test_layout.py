@@ -120,3 +120,21 @@ def test_placing_others_near_their_group(spark):
     layout = embed.fit_umap(model, n_epochs=40, seed=2)
     xy = placed(embed.place_by_neighbours(every, model, layout, n_epochs=30, seed=2))
     assert np.allclose(xy[:90], placed(layout)) and apart(xy, label) > 0.95
+
+
+def test_supersteps_read_no_table_twice_for_what_is_known(spark):
+    """Links of heavy cells are found once, a layout's extent comes with its superstep, forces are summed a coordinate at a time."""
+    at = np.random.default_rng(6).normal(size=(40, 2))
+    pairs = [(0, j, 0.1 + j / 40) for j in range(1, 40)]
+    links = spark.createDataFrame(pairs + [(j, i, w) for i, j, w in pairs], "node long, other long, weight double")
+    layout = Layout(vector_frame(spark, at), links, 2, embed.tsne_pull, block_size=15, heavy_links=10)
+    assert "Join" not in layout.heavy_links._jdf.queryExecution().executedPlan().toString()
+    def move(block: Block, turn, rounds, field):
+        slow = block.sums(embed.tsne_pull(block.at[block.node] - block.around()[block.other], block.weight))
+        assert (embed.tsne_sums(block) == slow).all()
+        block.at += 1 + block.base
+
+    layout.advance(move, 0, 1)
+    rows = placed(layout.result())
+    low, high = layout.box[:2], layout.box[2:]
+    assert extent(layout) == (low, high) and low == [*rows.min(axis=0)] and high == [*rows.max(axis=0)]

@@ -86,7 +86,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     schema = INDEX.format(id=docs.schema[doc_id].dataType.simpleString())
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     index = read.mapInArrow(_indexed, schema).withColumn("block", F.monotonically_increasing_id())
-    small = {"parquet.block.row.count.limit": 1, "parquet.page.size.row.check.min": 1}  # readers hold a row group at once
+    # readers hold a row group at once; no value comes often in one, so dictionaries would only cost time
+    small = {"parquet.block.row.count.limit": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
         return materialize(index, "postings", compression="zstd", **small)
 
